@@ -9,6 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 from heddle.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.toxicity import fit, toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.exact_dedup import exact_dedup
 
@@ -30,6 +37,7 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op9_pack": op9_pack,
     "op10_decontaminate": op10_decontaminate,
