@@ -34,6 +34,18 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op7_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.shard_ring import ring_shards
+
+    return ring_shards(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.url_filter import judge_urls
+
+    return judge_urls(table(spark, sf_dir, "pages"))
+
+
 def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,6 +58,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
     "op4_jaccard_join": op4_jaccard_join,
+    "op7_shard_ring": op7_shard_ring,
+    "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_decontaminate": op10_decontaminate,
 }
