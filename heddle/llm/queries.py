@@ -28,12 +28,32 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.quality import fit, quality
+
+    docs = table(spark, sf_dir, "documents")
+    return quality(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.jaccard_join import jaccard_join
 
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.license_scan import license_scan, template_table
+
+    return license_scan(table(spark, sf_dir, "documents"), template_table(spark))
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.language_id import fit, identify
+
+    docs = table(spark, sf_dir, "documents")
+    return identify(docs, fit(docs))
+
+
 def op7_shard_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.shard_ring import ring_shards
 
@@ -57,14 +77,42 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_toxicity": op1_toxicity,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_quality": op3_quality,
     "op4_jaccard_join": op4_jaccard_join,
+    "op5_license_scan": op5_license_scan,
+    "op6_language_id": op6_language_id,
     "op7_shard_ring": op7_shard_ring,
     "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_decontaminate": op10_decontaminate,
 }
 
+def _license_sql() -> str:
+    from heddle.llm.license_scan import TEMPLATES
+
+    values = ", ".join("('{}', '{}')".format(a, b.replace("'", "''")) for a, b in TEMPLATES)
+    return rf"""
+        WITH templates(license_id, text) AS (VALUES {values}), tw AS (
+            SELECT license_id, row_number() OVER () AS k, regexp_extract_all(lower(text), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM templates
+        ), t AS (
+            SELECT DISTINCT license_id, k, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM tw)
+        ), dw AS (
+            SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), d AS (
+            SELECT doc_id, i, array_to_string(w[i : i + 2], ' ') AS s FROM (SELECT *, unnest(generate_series(1, greatest(len(w) - 2, 1))) AS i FROM dw WHERE len(w) > 0)
+        ), firsts AS (
+            SELECT d.doc_id, d.s, min(d.i) AS i FROM d SEMI JOIN t ON d.s = t.s GROUP BY ALL
+        ), held AS (
+            SELECT f.doc_id, t.license_id, t.k, count(*) AS n, min(f.i) AS i FROM firsts f JOIN t ON f.s = t.s GROUP BY ALL
+        ), shares AS (
+            SELECT doc_id, license_id, n / m AS containment, i FROM held JOIN (SELECT k, count(*) AS m FROM t GROUP BY k) USING (k) WHERE n / m >= 0.8
+        )
+        SELECT doc_id, license_id, max(containment) AS containment, arg_max(i, (containment, -i)) - 1 AS first_shingle FROM shares GROUP BY doc_id, license_id
+    """.replace("\\\\x", "\\x")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op5_license_scan": _license_sql(),
     "op2_exact_dedup": r"""
         WITH d AS (
             SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g') AS t, length(coalesce(text, '')) AS n FROM documents
