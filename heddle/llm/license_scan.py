@@ -82,12 +82,15 @@ def template_table(spark: SparkSession, templates: list[tuple[str, str]] = TEMPL
 
 def license_scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """One row for each document and licence: doc_id, license_id, containment, first_shingle."""
-    known = templates.select("license_id", shingles(words(F.col("text"))).alias("t")).where(F.size("t") > 0)
-    known = materialise(known.select("license_id", F.array_distinct("t").alias("t"), F.array_distinct(F.flatten(F.transform(windows(F.col("t")), bands))).alias("bands")))
+    # Words are a column of their own before shingles refer to them (else every shingle would split the
+    # text again), and the row number beside the shingles keeps the filter from moving below them.
+    known = templates.select("license_id", words(F.col("text")).alias("w")).select("license_id", shingles(F.col("w")).alias("t"), F.monotonically_increasing_id().alias("uid"))
+    known = materialise(known.where(F.size("t") > 0).select("license_id", F.array_distinct("t").alias("t"), F.array_distinct(F.flatten(F.transform(windows(F.col("t")), bands))).alias("bands")))
     sizes = known.agg(F.sum(F.size("t")).alias("shingles"), F.sum(F.size("bands")).alias("bands"), F.count("*").alias("n")).first()
     by_band = known.select("license_id", "t", F.explode("bands").alias("band"))
     small = (sizes["bands"] or 0) <= LITERAL_VALUES
-    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("uid"), shingles(words(F.col("text"))).alias("s"))
+    found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
+    found = found.select("doc_id", F.monotonically_increasing_id().alias("uid"), shingles(F.col("w")).alias("s"))
     if small:
         values = known.select(F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("b")).first()
         of = lambda xs: F.array(*[F.lit(x) for x in xs or [0]])
