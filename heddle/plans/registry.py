@@ -6,5 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+from heddle.operators.metrics import METRICS
+from heddle.plans.metric_sql import SQL as METRIC_SQL
+from heddle.sources.views import with_views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {key: m.compute for key, m in METRICS.items()}
+ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in METRIC_SQL.items()}
