@@ -6,9 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.operators.metrics import METRICS
-from heddle.plans.metric_sql import SQL as METRIC_SQL
+from heddle.operators import ledger, metrics
+from heddle.plans import ledger_sql, metric_sql
 from heddle.sources.views import with_views
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {key: m.compute for key, m in METRICS.items()}
-ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in METRIC_SQL.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {key: m.compute for key, m in metrics.METRICS.items()}
+QUERIES["p12_metric_rollup"] = metrics.rollup
+QUERIES |= ledger.QUERIES
+
+_SQL = metric_sql.SQL | ledger_sql.SQL
+ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in _SQL.items()}
+ORACLE_SQL["p12_metric_rollup"] = " UNION ALL ".join(
+    f"SELECT '{key}' AS metric_key, day, dimension_json, value, numerator, denominator FROM ({ORACLE_SQL[key]}) WHERE day IS NOT NULL AND value IS NOT NULL" for key in metric_sql.SQL
+)
