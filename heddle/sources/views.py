@@ -251,7 +251,7 @@ VIEWS: dict[str, str] = {
     "blocks": r"""
         SELECT doc_id, lang, source, (i - 1)::BIGINT AS idx, 1 + ((i - 1) // 5) AS page, text, length(text) <= 60 AND NOT regexp_matches(text, '[.!?:;,|]$') AS is_heading
         FROM (SELECT doc_id, lang, source, unnest(l) AS text, unnest(generate_series(1, len(l))) AS i
-              FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), x -> trim(x)), x -> x <> '') AS l FROM documents))
+              FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))
     """,
     "turns": "SELECT conv_id AS segment_id, turn AS position, CASE role WHEN 'user' THEN 'A' WHEN 'assistant' THEN 'B' ELSE 'editorial' END AS speaker, coalesce(text, '') AS text FROM conversations",
     "edges": f"""
