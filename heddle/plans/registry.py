@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.operators import documents, evidence, ledger, metrics
-from heddle.plans import document_sql, evidence_sql, ledger_sql, metric_sql
+from heddle.operators import documents, evidence, graphs, ledger, metrics, scripts
+from heddle.plans import document_sql, evidence_sql, graph_script_sql, ledger_sql, metric_sql
 from heddle.sources.views import with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {key: m.compute for key, m in metrics.METRICS.items()}
 QUERIES["p12_metric_rollup"] = metrics.rollup
-QUERIES |= ledger.QUERIES | documents.QUERIES | evidence.QUERIES
+QUERIES |= ledger.QUERIES | documents.QUERIES | evidence.QUERIES | graphs.QUERIES | scripts.QUERIES
 
-_SQL = metric_sql.SQL | ledger_sql.SQL | document_sql.SQL | evidence_sql.SQL
+_SQL = metric_sql.SQL | ledger_sql.SQL | document_sql.SQL | evidence_sql.SQL | graph_script_sql.SQL
 ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in _SQL.items()}
 ORACLE_SQL["p12_metric_rollup"] = " UNION ALL ".join(
     f"SELECT '{key}' AS metric_key, day, dimension_json, value, numerator, denominator FROM ({ORACLE_SQL[key]}) WHERE day IS NOT NULL AND value IS NOT NULL" for key in metric_sql.SQL
