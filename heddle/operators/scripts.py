@@ -38,7 +38,7 @@ def t03_near_repeats(spark, sf_dir, least: float = 0.6):
     exactly."""
     same = blocks(spark, sf_dir).groupBy("doc_id", "text").agg(F.min("idx").alias("position"), F.count("*").alias("times"))
     t = shingles(same).select("doc_id", "position", "times", "grams")
-    each = t.select("doc_id", "position", F.size("grams").alias("size"), F.explode("grams").alias("gram"))
+    each = t.select("doc_id", "position", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))  # outer: else a filter on the grams moves below the words
     rarity = each.groupBy("doc_id", "gram").agg(F.count("*").alias("df"))
     place = F.row_number().over(Window.partitionBy("doc_id", "position").orderBy("df", "gram"))
     prefix = each.join(rarity.where("df > 1"), ["doc_id", "gram"], "left").withColumn("df", F.coalesce("df", F.lit(1))).withColumn("place", place)
