@@ -127,8 +127,8 @@ def table_strength(pipes: Column, tabs: Column) -> Column:
 def quality_features(spark, sf_dir) -> DataFrame:
     """One row for each document with blocks or without: what the rules read."""
     b = blocks(spark, sf_dir)
-    norm = F.lower(collapse(F.col("text")))
-    long_texts = b.where(F.length(collapse(F.col("text"))) >= 80).groupBy("doc_id", norm.alias("norm")).agg(F.count("*").alias("n"))
+    flat = b.select("doc_id", collapse(F.col("text")).alias("flat")).where(F.length("flat") >= 80)
+    long_texts = flat.groupBy("doc_id", F.lower("flat").alias("norm")).agg(F.count("*").alias("n"))
     repeated = long_texts.groupBy("doc_id").agg(share(F.sum((F.col("n") - 1) * F.length("norm")), F.sum(F.col("n") * F.length("norm"))).alias("duplicate_ratio"))
     back = F.when(F.col("page") < F.lag("page").over(by_doc()), 1.0).otherwise(0.0)
     per_doc = b.withColumn("back", back).groupBy("doc_id").agg(
@@ -136,8 +136,11 @@ def quality_features(spark, sf_dir) -> DataFrame:
         F.bool_or("is_heading").alias("has_heading"), F.count_if("is_heading").alias("headings"), F.sum("back").alias("backs"), F.countDistinct("page").alias("pages"), F.max("page").alias("last_page"),
     )
     t = F.coalesce("text", F.lit(""))
-    count = lambda p: F.regexp_count(t, F.lit(p))
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", math_strength(count(LATEX), count(INLINE), count(DISPLAY), count(SYMBOLS)).alias("math"), table_strength(count(PIPE_ROW), count(TAB_ROW)).alias("table"))
+    found = {name: F.regexp_count(t, F.lit(p)) for name, p in (("latex", LATEX), ("inline", INLINE), ("display", DISPLAY), ("pipes", PIPE_ROW), ("tabs", TAB_ROW))}
+    found["symbols"] = F.length(t) - F.length(F.translate(t, SYMBOLS.strip("[]"), ""))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", *[c.alias(name) for name, c in found.items()])  # counted once, read often
+    strengths = math_strength(*[F.col(c) for c in ("latex", "inline", "display", "symbols")]).alias("math"), table_strength(F.col("pipes"), F.col("tabs")).alias("table")
+    docs = docs.select("doc_id", "source", *strengths)
     joined = docs.join(per_doc, "doc_id", "left").join(repeated, "doc_id", "left")
     zero = {c: F.coalesce(c, F.lit(0)) for c in ("blocks", "characters", "headings", "pages", "last_page")}
     joined = joined.withColumns(zero | {"duplicate_ratio": F.coalesce("duplicate_ratio", F.lit(0.0)), "corruption_ratio": F.coalesce("corruption_ratio", F.lit(0.0)), "has_heading": F.coalesce("has_heading", F.lit(False))})

@@ -105,9 +105,11 @@ def e40_priorities(spark, sf_dir, must: int = 3, supporting: int = 5, optional:
 
 def postings(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Inverted index over blocks: (term, doc_id, idx, tf, words), and one row with n and mean words."""
-    b = blocks(spark, sf_dir).select("doc_id", "idx", word_list(F.col("text")).alias("w")).where(F.size("w") > 0)
-    terms = b.select("doc_id", "idx", F.size("w").alias("words"), F.explode("w").alias("term"))
-    return terms.groupBy("term", "doc_id", "idx", "words").agg(F.count("*").alias("tf")), b.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("mean_words"))
+    b = blocks(spark, sf_dir).select("doc_id", "idx", word_list(F.col("text")).alias("w"))
+    terms = b.select("doc_id", "idx", F.size("w").alias("words"), F.explode_outer("w").alias("term")).where("term is not null")
+    some = F.when(F.col("n") > 0, F.col("n"))
+    size = b.select(F.size("w").alias("n")).agg(F.count(some).alias("n"), F.avg(some).alias("mean_words"))
+    return terms.groupBy("term", "doc_id", "idx", "words").agg(F.count("*").alias("tf")), size
 
 
 def e46_bm25(spark, sf_dir, most: int = 10, k1: float = 1.2, b: float = 0.75):

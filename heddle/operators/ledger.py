@@ -108,6 +108,7 @@ def o08_trace_nodes(spark, sf_dir):
 def tree_depths(nodes: DataFrame, limit: int = 8) -> DataFrame:
     """node_id, trace_id, depth of each node; a node whose parent is missing is a root.  One equi-join a level;
     nodes deeper than ``limit`` are left out."""
+    nodes = nodes.select("node_id", "parent_id", "trace_id").persist()
     known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
     roots = nodes.join(known, "parent_id", "left_anti").select("node_id", "trace_id", F.lit(0).alias("depth"))
     levels, level = [roots], roots

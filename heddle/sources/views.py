@@ -157,7 +157,8 @@ def blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of documents: trimmed, not empty, numbered from 0; five to a page."""
     docs = table(spark, sf_dir, "documents")
     lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), F.trim), lambda x: x != "")
-    out = docs.select("doc_id", "lang", "source", F.posexplode(lines).alias("idx", "text"))
+    # Outer, and filtered on what comes out: else Spark would split every text once more to see whether it has lines.
+    out = docs.select("doc_id", "lang", "source", F.posexplode_outer(lines).alias("idx", "text")).where("text is not null")
     heading = (F.length("text") <= 60) & ~F.col("text").rlike(r"[.!?:;,|]$")
     return out.select("doc_id", "lang", "source", F.col("idx").cast("long").alias("idx"), (1 + F.floor(F.col("idx") / 5)).alias("page"), "text", heading.alias("is_heading"))
 
