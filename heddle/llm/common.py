@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -91,10 +91,25 @@ def in_bitmap(bits_of: bytes, values) -> "object":
     return (words[(v >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str) -> DataFrame:
-    """mapInArrow over a function that is built once in each task."""
+def told_apart(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
+    """(rows whose doc_id is surely not in ``ids``, the others): a bitmap of the ids' hashes decides.
 
-    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from make()(batches)
+    The bitmap is a broadcast table of at most 2^(bits-6) longs whatever the input, so that the first part
+    needs no shuffle; only the second, which holds all of ``ids`` and a few more, has to be joined."""
 
-    return df.mapInArrow(body, schema)
+    def slot_and_bit(column) -> tuple:
+        h = F.xxhash64(column)
+        return F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")
+
+    slot, bit = slot_and_bit("_id")
+    words = ids.select(F.col("doc_id").alias("_id")).select(slot.alias("_slot"), bit.alias("_b")).groupBy("_slot").agg(F.bit_or("_b").alias("_word"))
+    slot, bit = slot_and_bit("doc_id")
+    marked = docs.withColumn("_at", slot).join(F.broadcast(words), F.col("_at") == F.col("_slot"), "left")
+    some = F.coalesce(F.col("_word").bitwiseAND(bit) != 0, F.lit(False))
+    return marked.where(~some).select(*docs.columns), marked.where(some).select(*docs.columns)
+
+
+def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose doc_id is in ``ids`` (a materialised doc_id column without nulls)."""
+    rest, maybe = told_apart(docs, ids)
+    return rest.unionByName(maybe.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti"))

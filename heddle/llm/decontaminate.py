@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap, in_bitmap, materialise
+from heddle.llm.common import bitmap, in_bitmap, materialise, without
 from heddle.llm.wordgrams import Words, chunks, gram_hashes, words_of
 
 WINDOW = 10
@@ -140,6 +140,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that share a window with the benchmark, all columns."""
-    bad = decontaminate(docs, benchmark).where("contaminated").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]), "left_anti")
+    """``docs`` without those that share a window with the benchmark, all columns; rows with a null
+    doc_id go if any of them does."""
+    bad = materialise(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct())
+    left = without(docs.where("doc_id is not null"), bad.where("doc_id is not null"))
+    nameless = docs.where("doc_id is null")
+    return left if not bad.where("doc_id is null").isEmpty() else left.unionByName(nameless)

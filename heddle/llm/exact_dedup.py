@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, runs, tasks_for
+from heddle.llm.common import materialise, runs, tasks_for, told_apart
 
 WHITE = b" \t\n\v\f\r"
 
@@ -207,9 +207,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def keep_first_copies(docs: DataFrame) -> DataFrame:
-    """``docs`` with one row of each group of equal texts, all its columns."""
-    kept = exact_dedup(docs).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    """``docs`` with one row of each group of equal texts, all its columns.
+
+    Only rows that share their doc_id's place in a bitmap with a dropped row are shuffled with their text;
+    among them the kept row is found by doc_id and text, and of repeated rows one stays."""
+    decided = materialise(exact_dedup(docs).select("doc_id", "kept", "text_sha256"))
+    rest, maybe = told_apart(docs, decided.where("not kept").select("doc_id"))
+    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
     white = "translate(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '')"
-    named = docs.withColumn("_text_sha", F.sha2(F.expr(white).cast("binary"), 256))
+    named = maybe.withColumn("_text_sha", F.sha2(F.expr(white).cast("binary"), 256))
     found = named.join(kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text_sha"] == kept["_sha"]), "left_semi")
-    return found.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha")
+    return rest.unionByName(found.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha"))

@@ -40,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap, in_bitmap, materialise, runs, tasks_for
+from heddle.llm.common import bitmap, in_bitmap, materialise, runs, tasks_for, without
 from heddle.llm.components import connected_components
 from heddle.llm.wordgrams import mix, shingle_sets
 
@@ -311,5 +311,5 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` without those whose class has a smaller doc_id, all columns; a null doc_id always stays."""
-    gone = jaccard_join(docs).where("doc_id <> class_id").select(F.col("doc_id").alias("_id")).distinct()
-    return docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    gone = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
+    return without(docs, materialise(gone))
