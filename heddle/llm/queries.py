@@ -122,6 +122,29 @@ ORACLE_SQL: dict[str, str] = {
         SELECT d.doc_id, g.keep_id, g.group_size, d.doc_id = g.keep_id AS kept, sha256(d.t) AS text_sha256
         FROM d JOIN g ON d.t = g.t
     """,
+    "op4_jaccard_join": r"""
+        WITH RECURSIVE w AS (
+            SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
+        ), s AS (
+            SELECT DISTINCT doc_id, array_to_string(w[i : i + 4], ' ') AS s FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 4, 1))) AS i FROM w WHERE len(w) > 0)
+        ), k AS (
+            SELECT doc_id, sha256(string_agg(s, '|' ORDER BY s)) AS k FROM s GROUP BY 1 UNION ALL SELECT doc_id, doc_id::VARCHAR FROM w WHERE len(w) = 0
+        ), c AS (
+            SELECT doc_id, min(doc_id) OVER (PARTITION BY k) AS rep, count(*) OVER (PARTITION BY k) AS size FROM k
+        ), r AS (
+            SELECT s.doc_id, s.s, count(*) OVER (PARTITION BY s.doc_id) AS n FROM s JOIN c ON c.doc_id = s.doc_id AND c.rep = c.doc_id
+        ), links AS (
+            SELECT a.doc_id AS a, b.doc_id AS b FROM r a JOIN r b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 5 * count(*) >= 4 * (a.n + b.n - count(*))
+        ), reach AS (
+            SELECT DISTINCT a AS node, a AS root FROM links UNION SELECT l.b, reach.root FROM reach JOIN links l ON l.a = reach.node
+        ), root AS (
+            SELECT node, min(root) AS root FROM reach GROUP BY 1
+        ), linked AS (
+            SELECT l.a, sum(c.size) AS n FROM links l JOIN c ON c.doc_id = l.b GROUP BY 1
+        )
+        SELECT c.doc_id, coalesce(root.root, c.rep) AS class_id, (c.size - 1 + coalesce(linked.n, 0))::BIGINT AS n_links, c.rep AS copies_id
+        FROM c LEFT JOIN root ON root.node = c.rep LEFT JOIN linked ON linked.a = c.rep
+    """,
     "op10_decontaminate": r"""
         WITH d AS (
             SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents
