@@ -96,6 +96,48 @@ def s11_breaker(events: DataFrame) -> DataFrame:
     return events.groupBy("project_id").applyInPandasWithState(_breaker, BREAKER_OUT, "count int", "append", GroupStateTimeout.NoTimeout)
 
 
+CACHE_OUT = "user_id string, event_id long, result string"
+HOURS_24 = pd.Timedelta(hours=24)
+
+
+def _cache(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """An entry lives for 24 hours after it was stored (purchase); a lookup (click) hits, or says why not."""
+    stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
+    out = []
+    for batch in batches:
+        for at, event_id, kind in batch.sort_values(["at", "event_id"])[["at", "event_id", "event_type"]].itertuples(index=False):
+            if kind == "purchase":
+                stored = at
+            elif kind == "click":
+                out.append((key[0], event_id, "absent" if stored is None else "hit" if at - stored <= HOURS_24 else "expired"))
+    if stored is not None:
+        state.update((int(stored.value // 1000),))
+    yield pd.DataFrame(out, columns=["user_id", "event_id", "result"])
+
+
+def s10_cache(events: DataFrame) -> DataFrame:
+    """Cache lookups with a time to live, from one time of state for each user."""
+    return events.groupBy("user_id").applyInPandasWithState(_cache, CACHE_OUT, "stored long", "append", GroupStateTimeout.NoTimeout)
+
+
+def _last_ten(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Alerts while four or more of a project's last ten events are errors."""
+    last = list(state.get[0]) if state.exists else []
+    out = []
+    for batch in batches:
+        for event_id, kind in batch.sort_values(["at", "event_id"])[["event_id", "event_type"]].itertuples(index=False):
+            last = [*last[-9:], int(kind == "error")]
+            if sum(last) >= 4:
+                out.append((key[0], event_id, sum(last)))
+    state.update((last,))
+    yield pd.DataFrame(out, columns=["project_id", "event_id", "errors"])
+
+
+def s12_alerts(events: DataFrame) -> DataFrame:
+    """Rolling alerts, from a list of ten flags of state for each project."""
+    return events.groupBy("project_id").applyInPandasWithState(_last_ten, BREAKER_OUT, "last array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
 def _day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", iso(F.to_date("w.start"))).drop("w")
 
@@ -108,6 +150,8 @@ QUERIES = {
     "s06_conversion_stream": lambda spark, sf_dir: collected(s06_conversions(event_stream(spark, sf_dir)), "append").groupBy("user_id").agg(F.countDistinct("event_id").alias("signups"), F.count("*").alias("purchases")),
     "s08_latest_stream": lambda spark, sf_dir: collected(s08_latest(event_stream(spark, sf_dir)), "complete"),
     "s09_actives_stream": lambda spark, sf_dir: _day(collected(s09_trailing_actives(event_stream(spark, sf_dir)), "complete")),
+    "s10_cache_stream": lambda spark, sf_dir: collected(s10_cache(event_stream(spark, sf_dir)), "append").groupBy("user_id", "result").agg(F.count("*").alias("lookups")),
+    "s12_alert_stream": lambda spark, sf_dir: collected(s12_alerts(event_stream(spark, sf_dir)), "append"),
     "s11_breaker_stream": lambda spark, sf_dir: collected(s11_breaker(event_stream(spark, sf_dir)), "append"),
 }
 
@@ -121,6 +165,10 @@ SQL = {
         s AS (SELECT project_id, sum(new) OVER (PARTITION BY project_id ORDER BY ts) AS n FROM g), c AS (SELECT project_id, n, count(*) AS events FROM s GROUP BY ALL) SELECT project_id, count(*) AS sessions, sum(events)::BIGINT AS events, max(events) AS largest FROM c GROUP BY 1""",
     "s06_conversion_stream": "SELECT a.user_id::VARCHAR AS user_id, count(DISTINCT a.event_id) AS signups, count(*) AS purchases FROM events a JOIN events b ON a.user_id = b.user_id AND a.event_type = 'signup' AND b.event_type = 'purchase' AND b.ts >= a.ts AND b.ts <= a.ts + INTERVAL 7 DAY GROUP BY 1",
     "s08_latest_stream": f"WITH {_E} SELECT project_id, event_id, event_type FROM e QUALIFY row_number() OVER (PARTITION BY project_id ORDER BY ts DESC, event_id DESC) = 1",
+    "s10_cache_stream": f"""WITH {_E}, l AS (SELECT user_id, event_type, ts, last_value(CASE WHEN event_type = 'purchase' THEN ts END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS stored FROM e)
+        SELECT user_id, CASE WHEN stored IS NULL THEN 'absent' WHEN ts - stored <= INTERVAL 24 HOUR THEN 'hit' ELSE 'expired' END AS result, count(*) AS lookups FROM l WHERE event_type = 'click' GROUP BY ALL""",
+    "s12_alert_stream": f"""WITH {_E}, r AS (SELECT project_id, event_id, sum((event_type = 'error')::INT) OVER (PARTITION BY project_id ORDER BY ts, event_id ROWS BETWEEN 9 PRECEDING AND CURRENT ROW)::INT AS errors FROM e)
+        SELECT project_id, event_id, errors FROM r WHERE errors >= 4""",
     "s11_breaker_stream": f"""WITH {_E}, o AS (SELECT *, row_number() OVER (PARTITION BY project_id ORDER BY ts, event_id) AS r, sum((event_type <> 'error')::INT) OVER (PARTITION BY project_id ORDER BY ts, event_id) AS run FROM e),
         c AS (SELECT project_id, event_id, row_number() OVER (PARTITION BY project_id, run ORDER BY ts, event_id) AS n FROM o WHERE event_type = 'error') SELECT project_id, event_id, 3 AS errors FROM c WHERE n % 3 = 0""",
 }
