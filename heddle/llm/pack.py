@@ -55,9 +55,8 @@ class TokenIds:
 
     def __init__(self, path: str) -> None:
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.exact = Tokenizer.from_file(path)
+        self.path, self.exact = path, None
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = [t["content"] for t in spec.get("added_tokens", [])]
@@ -69,6 +68,10 @@ class TokenIds:
 
     def __call__(self, text: str) -> np.ndarray:
         if self.other.search(text):
+            if self.exact is None:  # few tasks need it
+                from tokenizers import Tokenizer
+
+                self.exact = Tokenizer.from_file(self.path)
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
