@@ -1,0 +1,8 @@
+"""Structured Streaming jobs."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in tasks travel with their code, so that executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
