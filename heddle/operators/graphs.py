@@ -32,11 +32,40 @@ def reach(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFram
 
 
 def g02_prerequisite_closure(spark, sf_dir):
-    """Selected cells and all their prerequisites, with hops."""
+    """A sample that its SQL fixes: every 97th cell and its prerequisites of at most four hops.  The whole job is
+    ``g01_selected_cells``."""
     steps = edges(spark, sf_dir).where("type = 'prerequisite'").select(F.col("target").alias("from_cell"), F.col("source").alias("to_cell")).distinct()
     return reach(cells(spark, sf_dir).where("cell % 97 = 0").select("cell"), steps, 4)
 
 
+def settled(df: DataFrame) -> DataFrame:
+    """``df`` computed, without its lineage: else the plan of a loop doubles with each pass."""
+    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
+
+
+def selected_closure(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
+    """(cell, hop, origin): as ``reach``, with the seed that each cell is there for: of those that lead to it in the
+    fewest hops the smallest; a seed is its own."""
+    seen = seeds.select("cell", F.lit(0).alias("hop"), F.col("cell").alias("origin")).distinct()
+    seen, steps = settled(seen), steps.persist()
+    front = seen
+    for hop in range(1, hops + 1):
+        found = front.join(steps, F.col("cell") == F.col("from_cell")).groupBy(F.col("to_cell").alias("cell")).agg(F.min("origin").alias("origin"))
+        front = settled(found.join(seen, "cell", "left_anti").select("cell", F.lit(hop).alias("hop"), "origin"))
+        if front.isEmpty():
+            break
+        seen = seen.unionByName(front)
+    return seen
+
+
+def g01_selected_cells(spark, sf_dir, deepest: int = 2):
+    """Cells up to tier ``deepest`` (the standard compression) and all their prerequisites within 25 hops."""
+    c = cells(spark, sf_dir)
+    needs = edges(spark, sf_dir).where("type = 'prerequisite'").select(F.col("target").alias("from_cell"), F.col("source").alias("to_cell")).distinct()
+    known = needs.join(c.select(F.col("cell").alias("to_cell")), "to_cell", "left_semi")
+    return selected_closure(c.where(F.col("tier") <= deepest).select("cell"), known)
+
+
 def strongest_edges(spark, sf_dir) -> DataFrame:
     """One edge for each (source, target, type): the heaviest, then the most confident."""
     best = F.max(F.struct("weight", "confidence")).alias("m")
