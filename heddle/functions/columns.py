@@ -73,5 +73,21 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(both / either)
 
 
+def edit_similarity(a: Column, b: Column) -> Column:
+    """1 less the edit distance in characters over the longer length."""
+    return 1 - F.levenshtein(a, b) / F.greatest(F.length(a), F.length(b), F.lit(1))
+
+
+def as_symbols(words: Column, known: Column) -> Column:
+    """An array of words as a text with one character for each, its place in ``known``: so that an edit distance counts words."""
+    code = F.transform(words, lambda w: F.lpad(F.hex(F.array_position(known, w) + 0x10000), 8, "0"))
+    return F.decode(F.unhex(F.array_join(code, "")), "UTF-32")
+
+
+def fold_for_sound(text: Column) -> Column:
+    """For comparing what is said: as for matching, and all but letters, digits and marks is a space."""
+    return F.trim(F.regexp_replace(fold_for_match(text), r"(?U)[^\w]+", " "))
+
+
 def text_key(text: Column, size: int = 64) -> Column:
     return F.substring(F.sha2(text.cast("binary"), 256), 1, size)

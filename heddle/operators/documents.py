@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.columns import collapse, fold_for_match, share, token_estimate
+from heddle.functions.columns import as_symbols, collapse, fold_for_match, share, token_estimate
 from heddle.sources.views import blocks, table
 
 
@@ -216,7 +216,7 @@ def q22_gates(spark, sf_dir):
 
 
 def q29_character_error(spark, sf_dir):
-    """Edit distance and error rate of each benchmark item against the next."""
+    """ASCII characters only, as its SQL: see ``q29_text_metrics`` for whole texts."""
     plain = F.regexp_replace(F.lower(collapse(F.col("text"))), "[^ -~]", "")
     items = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("t"))
     after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
@@ -224,4 +224,17 @@ def q29_character_error(spark, sf_dir):
     return items.join(after, "item_id").select("item_id", d.cast("long").alias("distance"), (d / F.greatest(F.length("t"), F.lit(1))).alias("error_rate"), (F.col("t") == F.col("u")).alias("exact"))
 
 
+def q29_text_metrics(spark, sf_dir):
+    """Each benchmark item against the next, whole texts: edit distances and error rates in characters and in words."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", collapse(F.coalesce("text", F.lit(""))).alias("t"))
+    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
+    words = lambda c: F.filter(F.split(c, " "), lambda w: w != "")
+    pairs = items.join(after, "item_id").withColumns({"v": words(F.col("t")), "w": words(F.col("u"))}).withColumn("known", F.array_distinct(F.concat("v", "w")))
+    d, dw = F.levenshtein("t", "u"), F.levenshtein(as_symbols(F.col("v"), F.col("known")), as_symbols(F.col("w"), F.col("known")))
+    return pairs.select(
+        "item_id", d.cast("long").alias("distance"), (d / F.greatest(F.length("t"), F.lit(1))).alias("error_rate"), dw.cast("long").alias("word_distance"),
+        (dw / F.greatest(F.size("v"), F.lit(1))).alias("word_error_rate"), (F.col("t") == F.col("u")).alias("exact"),
+    )
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] in "bq" and name[1:3].isdigit()}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.columns import jaccard, share
+from heddle.functions.columns import edit_similarity, fold_for_sound, jaccard, share
 from heddle.operators.documents import pack_in_order
 from heddle.operators.evidence import word_list
 from heddle.sources.views import blocks, model_calls, product_events, real, turns
@@ -112,7 +112,7 @@ def t35_repeated_phrases(spark, sf_dir, size: int = 6):
 
 
 def t36_truncated(spark, sf_dir):
-    """Edit similarity of a turn's last six words with the next turn's; below 0.55 the tail is taken as cut."""
+    """Two tails of six words, ASCII characters only, as its SQL: see ``t36_cut_tails`` for whole tails, six against ten."""
     tail = F.regexp_replace(F.array_join(F.slice(word_list(F.col("text")), -6, 6), " "), "[^ -~]", "")
     t = turns(spark, sf_dir).where(F.size(word_list(F.col("text"))) >= 6).select("segment_id", "position", tail.alias("t"))
     t = t.withColumn("u", F.lead("t").over(in_order())).where("u is not null")
@@ -120,6 +120,24 @@ def t36_truncated(spark, sf_dir):
     return t.select("segment_id", "position", similar.alias("similarity"), (similar < 0.55).alias("cut"))
 
 
+def cut_tail(expected: Column, actual: Column) -> Column:
+    """Whether the last six words of one array aren't like the last ten of another; false where there are none."""
+    tail = lambda words, n: F.array_join(F.slice(words, -F.least(F.lit(n), F.greatest(F.size(words), F.lit(1))), n), " ")
+    return (F.size(expected) > 0) & (edit_similarity(tail(expected, 6), tail(actual, 10)) < 0.55)
+
+
+def next_turns(spark, sf_dir) -> DataFrame:
+    """Each turn with the next one of its segment: their folded texts a, b and words v, w."""
+    t = turns(spark, sf_dir).select("segment_id", "position", fold_for_sound(F.col("text")).alias("a")).withColumn("b", F.lead("a").over(in_order())).where("b is not null")
+    words = lambda c: F.filter(F.split(c, " "), lambda x: x != "")
+    return t.withColumns({"v": words(F.col("a")), "w": words(F.col("b"))})
+
+
+def t36_cut_tails(spark, sf_dir):
+    """Turns whose last six words aren't like the last ten of the next turn."""
+    return next_turns(spark, sf_dir).select("segment_id", "position", cut_tail(F.col("v"), F.col("w")).alias("cut"))
+
+
 def t40_identical_retries(spark, sf_dir):
     """Consecutive calls of a run with the same stage, model and status: a retry that would repeat itself."""
     mark = F.concat_ws("|", "stage", "model", "status")

@@ -1,9 +1,8 @@
 """Queries that do a survey row's whole job, against brute force on small tables."""
 
-from heddle.operators import graphs
-
-EDGE_TYPES = graphs.edges.__globals__["EDGE_TYPES"]
+import re
 
+from heddle.operators import documents, graphs, scripts
 
 def graph_tables(spark, folder, cells, edges):
     """``cells`` (key, size) as parts; ``edges`` (source, target, discount, quantity) as orders of two lines."""
@@ -32,3 +31,49 @@ def test_selected_cells_reach_25_hops(spark, tmp_path):
         level = found
     assert got == expected
     assert got[115] == (25, 140) and 114 not in got and got[1] == (1, 2) and got[3] == (2, 2)
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+ITEMS = ["Ünï café one", "Uni cafe one", "متن دوم ساده است", "جمله دیگر ساده نبود", "one two  three", "three two one 😀", None, "الف"]
+
+
+def test_text_metrics(spark, tmp_path):
+    spark.createDataFrame(list(enumerate(ITEMS)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    got = {r["item_id"]: (r["distance"], r["error_rate"], r["word_distance"], r["word_error_rate"], r["exact"]) for r in documents.q29_text_metrics(spark, str(tmp_path)).collect()}
+    texts = [" ".join((t or "").split()) for t in ITEMS]
+    for i, (t, u) in enumerate(zip(texts, texts[1:])):
+        d, w = distance(t, u), distance(t.split(), u.split())
+        assert got[i] == (d, d / max(len(t), 1), w, w / max(len(t.split()), 1), t == u)
+    assert len(got) == len(ITEMS) - 1 and got[0][0] > 0 and not got[2][4]
+
+
+def sound(text):
+    return re.sub(r"\W+", " ", text.lower()).strip()
+
+
+def cut(a, b):
+    e, f = " ".join(a.split()[-6:]), " ".join(b.split()[-10:])
+    return bool(e) and 1 - distance(e, f) / max(len(e), len(f), 1) < 0.55
+
+
+LONG = " ".join(f"word{i}" for i in range(30))
+SAID = ["یک دو سه چهار پنج شش هفت", "هشت نه ده بیست سی چهل", "یک دو سه چهار پنج شش هفت", LONG, LONG + " and quite another ending of the same turn", LONG, "", "Привет, мир!", "привет мир", LONG + " " + LONG, LONG + " " + LONG]
+
+
+def turn_tables(spark, folder):
+    spark.createDataFrame([(1, i, "user", t) for i, t in enumerate(SAID)], "conv_id long, turn int, role string, text string").write.parquet(f"{folder}/conversations.parquet")
+    return [(sound(a), sound(b)) for a, b in zip(SAID, SAID[1:])]
+
+
+def test_cut_tails(spark, tmp_path):
+    pairs = turn_tables(spark, tmp_path)
+    got = {r["position"]: r["cut"] for r in scripts.t36_cut_tails(spark, str(tmp_path)).collect()}
+    assert got == {i: cut(a, b) for i, (a, b) in enumerate(pairs)} and got[0] and not got[7]
