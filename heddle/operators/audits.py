@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.functions.columns import fold_for_match, half_even, share, token_estimate
+from heddle.functions.columns import edit_similarity, fold_for_match, half_even, share, token_estimate
 from heddle.operators.documents import pack_in_order
 from heddle.operators.evidence import word_list
+from heddle.operators.scripts import cut_tail, next_turns
 from heddle.sources.views import blocks, cells, edges, model_calls, prices, product_events, real, spans, table, turns
 
 
@@ -230,7 +231,8 @@ def t29_glossary(spark, sf_dir):
 
 
 def t33_text_pairs(spark, sf_dir):
-    """Each turn against the next: edit similarity of their openings, and the verdict."""
+    """The first 20 words of each turn against the next turn's, ASCII characters only, as its SQL: see ``t33_text_verdicts``
+    for whole texts."""
     plain = F.regexp_replace(F.lower("text"), "[^ -~]", "")
     opening = F.array_join(F.slice(F.split(plain, " "), 1, 20), " ")
     t = turns(spark, sf_dir).select("segment_id", "position", opening.alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("segment_id").orderBy("position"))).where("b is not null")
@@ -238,6 +240,17 @@ def t33_text_pairs(spark, sf_dir):
     return t.select("segment_id", "position", similar.alias("similarity"), F.when(similar >= 0.85, "match").when(similar >= 0.3, "partial").otherwise("different").alias("verdict"))
 
 
+def t33_text_verdicts(spark, sf_dir, passes: float = 0.9, review: float = 0.78):
+    """Each turn against the next, whole texts: edit similarity, phrases of six words that the next one repeats (T35),
+    a tail that it cuts (T36), and the verdict.  Missing sentences (T34) aren't looked for."""
+    similar = F.when((F.col("a") == "") | (F.col("b") == ""), 0.0).otherwise(edit_similarity(F.col("a"), F.col("b")))
+    grams = F.when(F.size("w") >= 12, F.transform(F.sequence(F.lit(1), F.size("w") - 5), lambda i: F.array_join(F.slice("w", i, 6), " "))).otherwise(F.array().cast("array<string>"))
+    t = next_turns(spark, sf_dir).withColumns({"similarity": similar, "grams": grams, "truncated": cut_tail(F.col("v"), F.col("w"))})
+    t = t.withColumn("repeated", F.size("grams") > F.size(F.array_distinct("grams")))
+    verdict = F.when((F.col("similarity") >= passes) & ~F.col("repeated") & ~F.col("truncated"), "pass").when((F.col("similarity") >= review) & ~F.col("truncated"), "manual_review").otherwise("regenerate")
+    return t.select("segment_id", "position", "similarity", "repeated", "truncated", verdict.alias("verdict"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] in "bcegoqt" and name[1:3].isdigit()}
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"

@@ -2,7 +2,7 @@
 
 import re
 
-from heddle.operators import documents, graphs, scripts
+from heddle.operators import audits, documents, graphs, scripts
 
 def graph_tables(spark, folder, cells, edges):
     """``cells`` (key, size) as parts; ``edges`` (source, target, discount, quantity) as orders of two lines."""
@@ -77,3 +77,17 @@ def test_cut_tails(spark, tmp_path):
     pairs = turn_tables(spark, tmp_path)
     got = {r["position"]: r["cut"] for r in scripts.t36_cut_tails(spark, str(tmp_path)).collect()}
     assert got == {i: cut(a, b) for i, (a, b) in enumerate(pairs)} and got[0] and not got[7]
+
+
+def test_text_verdicts(spark, tmp_path):
+    pairs = turn_tables(spark, tmp_path)
+    got = {r["position"]: r for r in audits.t33_text_verdicts(spark, str(tmp_path)).collect()}
+    assert len(got) == len(pairs)
+    for i, (a, b) in enumerate(pairs):
+        similar = 1 - distance(a, b) / max(len(a), len(b)) if a and b else 0
+        w = b.split()
+        grams = [tuple(w[j : j + 6]) for j in range(len(w) - 5)] if len(w) >= 12 else []
+        repeated = len(grams) > len(set(grams))
+        verdict = "pass" if similar >= 0.9 and not repeated and not cut(a, b) else "manual_review" if similar >= 0.78 and not cut(a, b) else "regenerate"
+        assert (abs(got[i]["similarity"] - similar) < 1e-9, got[i]["repeated"], got[i]["truncated"], got[i]["verdict"]) == (True, repeated, cut(a, b), verdict), i
+    assert {r["verdict"] for r in got.values()} == {"pass", "manual_review", "regenerate"}
