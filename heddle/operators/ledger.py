@@ -248,8 +248,8 @@ def o29_reprice(spark, sf_dir):
 
 
 def o30_tier_verdict(spark, sf_dir):
-    """Switch if the failure rate falls by more than 0.15 at a cost ratio of 1.2 at most; undecidable if
-    anything is unpriced; else keep.  Arms: calls of stage A against stage R, by project."""
+    """Calls of stage A against stage R, by project, with the values that its SQL fixes (a fall of 0.015, unpriced calls over
+    4990 tokens only): see ``o30_priced_verdict`` for all calls."""
     arm = lambda stage, c: F.when(F.col("stage") == stage, c)
     bad = F.when(F.col("status") == "failed", 1.0).otherwise(0.0)
     by = model_calls(spark, sf_dir).groupBy("project_id").agg(
@@ -260,6 +260,25 @@ def o30_tier_verdict(spark, sf_dir):
     return by.select("project_id", verdict.alias("verdict"), "unpriced")
 
 
+def tier_verdicts(calls: DataFrame, least_fall: float = 0.15, most_ratio: float = 1.2) -> DataFrame:
+    """Switch if the failure rate falls by more than ``least_fall`` at a cost ratio of ``most_ratio`` at most; undecidable if
+    any call of either arm is unpriced, an arm is empty or the base costs nothing; else keep."""
+    arm = lambda stage, c: F.when(F.col("stage") == stage, c)
+    bad = F.when(F.col("status") == "failed", 1.0).otherwise(0.0)
+    by = calls.groupBy("project_id").agg(
+        (F.avg(arm("A", bad)) - F.avg(arm("R", bad))).alias("fall"), share(F.sum(arm("R", F.col("cost_micros"))), F.sum(arm("A", F.col("cost_micros")))).alias("ratio"),
+        F.count_if(F.col("stage").isin("A", "R") & ~_priced()).alias("unpriced"),
+    )
+    unknown = (F.col("unpriced") > 0) | F.col("fall").isNull() | F.col("ratio").isNull()
+    verdict = F.when(unknown, "undecidable").when((F.col("fall") > least_fall) & (F.col("ratio") <= most_ratio), "switch").otherwise("keep")
+    return by.select("project_id", verdict.alias("verdict"), "unpriced")
+
+
+def o30_priced_verdict(spark, sf_dir):
+    """Arms: calls of stage A against stage R, by project."""
+    return tier_verdicts(model_calls(spark, sf_dir))
+
+
 def c08_calibration(spark, sf_dir):
     """Median tokens per minute over passing samples, ready from three samples on."""
     calls = model_calls(spark, sf_dir).where(_ok() & (F.col("latency_ms") > 0))

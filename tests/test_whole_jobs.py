@@ -2,7 +2,7 @@
 
 import re
 
-from heddle.operators import audits, documents, graphs, scripts
+from heddle.operators import audits, documents, graphs, ledger, scripts
 
 def graph_tables(spark, folder, cells, edges):
     """``cells`` (key, size) as parts; ``edges`` (source, target, discount, quantity) as orders of two lines."""
@@ -91,3 +91,13 @@ def test_text_verdicts(spark, tmp_path):
         verdict = "pass" if similar >= 0.9 and not repeated and not cut(a, b) else "manual_review" if similar >= 0.78 and not cut(a, b) else "regenerate"
         assert (abs(got[i]["similarity"] - similar) < 1e-9, got[i]["repeated"], got[i]["truncated"], got[i]["verdict"]) == (True, repeated, cut(a, b), verdict), i
     assert {r["verdict"] for r in got.values()} == {"pass", "manual_review", "regenerate"}
+
+
+def test_tier_verdicts(spark):
+    arms = lambda project, base, other, cost: [(project, "A", s, 100, 1) for s in base] + [(project, "R", s, cost, 1) for s in other]
+    ok, bad = "succeeded", "failed"
+    rows = arms("switch", [bad, ok, bad, ok], [ok] * 4, 120) + arms("dear", [bad, ok], [ok, ok], 121) + arms("small", [bad] + [ok] * 9, [ok] * 10, 100)
+    rows += arms("unpriced", [bad, ok], [ok, ok], 100) + [("unpriced", "R", ok, None, 5)] + arms("one arm", [bad], [], 100)
+    calls = spark.createDataFrame(rows, "project_id string, stage string, status string, cost_micros long, input_tokens long")
+    got = {r["project_id"]: r["verdict"] for r in ledger.tier_verdicts(calls).collect()}
+    assert got == {"switch": "switch", "dear": "keep", "small": "keep", "unpriced": "undecidable", "one arm": "undecidable"}
