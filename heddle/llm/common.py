@@ -109,7 +109,17 @@ def told_apart(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFra
     return marked.where(~some).select(*docs.columns), marked.where(some).select(*docs.columns)
 
 
-def without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (a materialised doc_id column without nulls)."""
-    rest, maybe = told_apart(docs, ids)
-    return rest.unionByName(maybe.join(ids.select(F.col("doc_id").alias("_id")), F.col("doc_id") == F.col("_id"), "left_anti"))
+def without_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
+    """``docs`` without the rows in ``gone`` (doc_id, text_sha256; materialised, each once); of equal rows in ``once``
+    (the same columns) one stays.  A null doc_id is a value like others."""
+    rest, maybe = told_apart(docs, gone.select("doc_id") if once is None else gone.select("doc_id").unionByName(once.select("doc_id")))
+    keyed = maybe.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
+
+    def among(rows: DataFrame, how: str) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"))
+        return keyed.join(rows, keyed["doc_id"].eqNullSafe(rows["_id"]) & (keyed["_sha"] == rows["_key"]), how)
+
+    if once is None:
+        return rest.unionByName(among(gone, "left_anti").drop("_sha"))
+    left = rest.unionByName(among(gone.unionByName(once), "left_anti").drop("_sha"))
+    return left.unionByName(among(once, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha"))

@@ -23,6 +23,7 @@ repeated items count once; an empty benchmark hits nothing; other columns are no
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap, in_bitmap, materialise, without
+from heddle.llm.common import bitmap, in_bitmap, materialise, without_rows
 from heddle.llm.wordgrams import Words, chunks, gram_hashes, words_of
 
 WINDOW = 10
@@ -70,10 +71,12 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 _CANDIDATE = pa.struct([("at", pa.int32()), ("n", pa.int32()), ("body", pa.string())])
-_FOUND = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()), ("windows", pa.list_(_CANDIDATE))])
+_FOUND = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("n_words", pa.int64()), ("windows", pa.list_(_CANDIDATE)), ("text_sha256", pa.string())])
 
 
-def _document_windows(prints_of: bytes, windows_of: bytes, lengths: list[int]):
+def _document_windows(prints_of: bytes, windows_of: bytes, lengths: list[int], keyed: bool):
+    schema = _FOUND if keyed else _FOUND.remove(4)
+
     def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         uid = TaskContext.get().partitionId() << 40
         for batch in batches:
@@ -95,30 +98,32 @@ def _document_windows(prints_of: bytes, windows_of: bytes, lengths: list[int]):
                 owner = np.searchsorted(w.first, spans[0], side="right") - 1
                 for a, length, row in zip(spans[0].tolist(), spans[1].tolist(), owner.tolist()):
                     rows[row].append({"at": a - int(w.first[row]), "n": length, "body": w.text(a, a + length)})
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(np.arange(uid, uid + j - i)), pa.array(n.astype(np.int64)), pa.array(rows, type=_FOUND.field("windows").type)],
-                    schema=_FOUND,
-                )
+                columns = [batch.column(0).slice(i, j - i), pa.array(np.arange(uid, uid + j - i)), pa.array(n.astype(np.int64)), pa.array(rows, type=_FOUND.field("windows").type)]
+                if keyed:
+                    columns.append(pa.array([hashlib.sha256(batch.column(1)[i + k].as_buffer()).hexdigest() if found else None for k, found in enumerate(rows)], pa.string()))
+                yield pa.RecordBatch.from_arrays(columns, schema=schema)
                 uid += j - i
 
     return body
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20) -> DataFrame:
-    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated."""
+def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int = 32 << 20, keyed: bool = False) -> DataFrame:
+    """One row for each document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated; with ``keyed``
+    text_sha256, which is null where no window may be an item's."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     known = materialise(items.mapInArrow(_item_windows, "item_id long, n int, body string, hash long, print long"))
     size = known.agg(F.count("*").alias("n"), F.sum(F.length("body") + 32).alias("bytes"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("short")).first()
     bits = min(max(20, (16 * (size["n"] or 1)).bit_length()), 27)
-    probe = _document_windows(bitmap(known, "print", bits), bitmap(known, "hash", bits), sorted(size["short"]))
+    probe = _document_windows(bitmap(known, "print", bits), bitmap(known, "hash", bits), sorted(size["short"]), keyed)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
-        probe, "doc_id long, uid long, n_words long, windows array<struct<at: int, n: int, body: string>>"
+        probe, "doc_id long, uid long, n_words long, windows array<struct<at: int, n: int, body: string>>" + (", text_sha256 string" if keyed else "")
     )
     by_body = known.groupBy("body").agg(F.collect_set("item_id").alias("items"))
     if (size["bytes"] or 0) <= broadcast_bytes:
         by_body = F.broadcast(by_body)
-    each = found.select("doc_id", "uid", "n_words", F.explode_outer("windows").alias("w")).select(
-        "doc_id", "uid", "n_words", "w.at", "w.n", F.coalesce("w.body", F.concat(F.lit(" "), F.col("uid"))).alias("body")
+    key = ["text_sha256"] if keyed else []
+    each = found.select("doc_id", "uid", "n_words", *key, F.explode_outer("windows").alias("w")).select(
+        "doc_id", "uid", "n_words", *key, "w.at", "w.n", F.coalesce("w.body", F.concat(F.lit(" "), F.col("uid"))).alias("body")
     )  # a body that no window has, another for each document, where there is none: no key is hot
     joined = each.join(by_body, "body", "left")
     hit = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("n")).alias("to")))
@@ -134,15 +139,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
     return (
         joined.groupBy("uid")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_set(hit).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"))
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in key], F.collect_set(hit).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
+        .select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), *key)
     )
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``docs`` without those that share a window with the benchmark, all columns; rows with a null
-    doc_id go if any of them does."""
-    bad = materialise(decontaminate(docs, benchmark).where("contaminated").select("doc_id").distinct())
-    left = without(docs.where("doc_id is not null"), bad.where("doc_id is not null"))
-    nameless = docs.where("doc_id is null")
-    return left if not bad.where("doc_id is null").isEmpty() else left.unionByName(nameless)
+    """``docs`` without those that share a window with the benchmark, all columns; a row is told by doc_id and text,
+    so that others with its doc_id, or with none, stay."""
+    return without_rows(docs, materialise(decontaminate(docs, benchmark, keyed=True).where("contaminated").select("doc_id", "text_sha256").distinct()))

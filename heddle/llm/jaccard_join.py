@@ -41,7 +41,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap, in_bitmap, materialise, runs, tasks_for, without
+from heddle.llm.common import bitmap, in_bitmap, materialise, runs, tasks_for, without_rows
 from heddle.llm.components import connected_components
 from heddle.llm.wordgrams import mix, shingle_sets
 
@@ -98,10 +98,9 @@ def _sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 cls.append((uid + row).to_bytes(17, "big"))
                 sk.append(b"")
                 toks.append(np.zeros(0, np.int64))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), pa.array(np.arange(uid, uid + len(n))), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(toks, pa.list_(pa.int64()))],
-            names=["doc_id", "uid", "n", "cls", "sketch", "tokens"],
-        )
+        names = ["doc_id", "uid", "n", "cls", "sketch", "tokens"]
+        columns = [batch.column(0), pa.array(np.arange(uid, uid + len(n))), pa.array(n, pa.int32()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary()), pa.array(toks, pa.list_(pa.int64()))]
+        yield pa.RecordBatch.from_arrays(columns + batch.columns[2:], names=names + batch.schema.names[2:])
         uid += len(n)
 
 
@@ -277,16 +276,20 @@ def _in_blocks(rows: DataFrame, limit: int) -> DataFrame:
     return rows.withColumn("p", F.explode(pairs)).select("bucket", "parent", "rep", "block", "p.one", "p.two")
 
 
-def jaccard_join(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
+def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest doc_id that links lead to), n_links
     (other documents with a similarity of at least 0.8), copies_id (smallest doc_id with
-    the same shingles)."""
+    the same shingles); with ``keyed`` text_sha256 and elected: whether its (doc_id, text_sha256) is the smallest of
+    its class, among the rows with a doc_id and among those without one."""
     tasks = tasks_for(docs)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sketched = materialise(texts.mapInArrow(_sketched, "doc_id long, uid long, n int, cls binary, sketch binary, tokens array<long>"))
+    key = ["text_sha256"] if keyed else []
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *[F.sha2(F.col("text").cast("binary"), 256).alias(c) for c in key])
+    sketched = materialise(texts.mapInArrow(_sketched, "doc_id long, uid long, n int, cls binary, sketch binary, tokens array<long>" + "".join(f", {c} string" for c in key)))
+    row = F.struct("doc_id", *key)
+    firsts = {"first": F.min(F.when(F.col("doc_id").isNotNull(), row)), "nameless": F.min(F.when(F.col("doc_id").isNull(), row))} if keyed else {}
     classes = materialise(
         sketched.groupBy("cls").agg(
-            F.min("uid").alias("rep"), F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens")
+            F.min("uid").alias("rep"), F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), *[c.alias(name) for name, c in firsts.items()]
         )
     )
     top = materialise(_shared(classes.select("rep", F.explode("tokens").alias("bucket")).select("bucket", F.lit(None).cast("long").alias("parent"), "rep")))
@@ -308,13 +311,17 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT) -> DataFrame:
     found = materialise(grouped(full).mapInArrow(_verify, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    joined = classes.select("cls", "rep", "size", "copies_id").join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = joined.join(joined.groupBy("root").agg(F.min("copies_id").alias("class_id")), "root")
-    members = named.select("cls", "class_id", "copies_id", (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
-    return sketched.select("doc_id", "cls").join(members, "cls").select("doc_id", "class_id", "n_links", "copies_id")
+    joined = classes.select("cls", "rep", "size", "copies_id", *firsts).join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    named = joined.drop(*firsts).join(joined.groupBy("root").agg(F.min("copies_id").alias("class_id"), *[F.min(name).alias(name) for name in firsts]), "root")
+    members = named.select("cls", "class_id", "copies_id", *firsts, (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    elected = [row.eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("first")).otherwise(F.col("nameless"))).alias("elected")] if keyed else []
+    return sketched.select("doc_id", "cls", *key).join(members, "cls").select("doc_id", "class_id", "n_links", "copies_id", *key, *elected)
 
 
 def keep_one_of_each(docs: DataFrame) -> DataFrame:
-    """``docs`` without those whose class has a smaller doc_id, all columns; a null doc_id always stays."""
-    gone = jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    return without(docs, materialise(gone))
+    """``docs`` with one row of each class that has a doc_id, and one of those that have none, all columns: that of the
+    smallest doc_id and text hash.  A row is told by both."""
+    linked = jaccard_join(docs, keyed=True).where("n_links > 0")
+    known = materialise(linked.groupBy("doc_id", "text_sha256").agg(F.first("elected").alias("elected"), F.count("*").alias("n")))
+    gone, once = (known.where(which).select("doc_id", "text_sha256") for which in ("not elected", "elected and n > 1"))
+    return without_rows(docs, gone, None if once.isEmpty() else once)
