@@ -13,7 +13,8 @@ when their Jaccard similarity is at least 0.8.
    that a third of all rows with one text is a row a task).
 3. A chosen shingle is a bucket.  Buckets of one class vanish.  Buckets over ``LIMIT`` are split
    again on chosen sketch positions, in as many runs; those still over it afterwards are
-   near copies of each other and are compared in blocks, each a task's work.
+   near copies of each other and are compared in blocks, each a task's work, as are buckets
+   whose sets hold more than ``HASHES`` hashes together.
 4. In a bucket, sizes and sketches pick likely pairs; each pair belongs to the smallest bucket
    that both have chosen and is looked at only there.  Only classes of likely pairs get
    their sets (made anew in a second pass, behind a bitmap of bounded size) and are
@@ -21,8 +22,8 @@ when their Jaccard similarity is at least 0.8.
 5. What leaves a bucket is one row for each class: its number of links and its local
    root; pairs are never written.  Connected components follow from the roots.
 
-A pair whose similarity is 0.8 or more is left out only if its sketches agree in under 0.6
-(four standard deviations) or no run joins it; the target recall is 0.999 for each link.
+A pair whose similarity is 0.8 or more is left out only if its sketches agree in under 0.5
+(about 2 in 100 million at 0.8) or no run joins it; the target recall is 0.999 for each link.
 
 Defined results: null, empty and wordless texts have no set, no links and a class of their
 own; texts of one to four words have one shingle; repeated rows are copies of each other;
@@ -49,8 +50,9 @@ SHINGLE = 5
 SIMILAR = 0.8
 RUNS = 9
 BINS = 64
-LIKELY = 0.6
+LIKELY = 0.5
 LIMIT = 8192
+HASHES = 2_000_000  # of a block: two of them are compared at once, 32 MB a copy
 
 _SEEDS = np.array([mix(np.zeros(1, np.uint64), 1000 + r)[0] for r in range(RUNS)], dtype=np.uint64)
 _BIN_EDGES = np.array([i << 58 for i in range(BINS)], dtype=np.uint64)
@@ -118,12 +120,12 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         parents = batch.column("bucket").to_numpy().view(np.uint64)
         sketches = _sketches(batch.column("sketch"))
-        reps = batch.column("rep").to_numpy()
+        reps, sizes = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
         for i in range(batch.num_rows):
             subs = sub_buckets(int(parents[i]), sketches[i : i + 1])[0]
             subs = np.unique(subs[subs != 0])
             yield pa.RecordBatch.from_arrays(
-                [pa.array(subs.view(np.int64)), pa.array(np.full(len(subs), parents[i].view(np.int64))), pa.array(np.full(len(subs), reps[i]))], names=["bucket", "parent", "rep"]
+                [pa.array(subs.view(np.int64)), pa.array(np.full(len(subs), parents[i].view(np.int64))), pa.array(np.full(len(subs), reps[i])), pa.array(np.full(len(subs), sizes[i], np.int32))], names=["bucket", "parent", "rep", "n"]
             )
 
 
@@ -263,20 +265,20 @@ def _sets_of(wanted: bytes):
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(bucket, parent, rep) rows in buckets of two or more, with the bucket's size."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m")).where("m >= 2")
-    return rows.join(sizes, "bucket")
+    """(bucket, parent, rep) rows in buckets of two or more, with the bucket's size and the sum of its sets' sizes n."""
+    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m >= 2")
+    return rows.drop("n").join(sizes, "bucket")
 
 
-def _in_blocks(rows: DataFrame, limit: int) -> DataFrame:
+def _in_blocks(rows: DataFrame, limit: int, hashes: int = HASHES) -> DataFrame:
     """Adds the block pairs that each row takes part in; one pair (0, 0) for a small bucket."""
-    parts = F.ceil(F.col("m") / F.lit(limit)).cast("int")
+    parts = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") / F.lit(limit)), F.ceil(F.col("hashes") / F.lit(hashes)))).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
     return rows.withColumn("p", F.explode(pairs)).select("bucket", "parent", "rep", "block", "p.one", "p.two")
 
 
-def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False) -> DataFrame:
+def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False, hashes: int = HASHES) -> DataFrame:
     """One row for each document: doc_id, class_id (smallest doc_id that links lead to), n_links
     (other documents with a similarity of at least 0.8), copies_id (smallest doc_id with
     the same shingles); with ``keyed`` text_sha256 and elected: whether its (doc_id, text_sha256) is the smallest of
@@ -292,18 +294,18 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False) -> Da
             F.min("uid").alias("rep"), F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), *[c.alias(name) for name, c in firsts.items()]
         )
     )
-    top = materialise(_shared(classes.select("rep", F.explode("tokens").alias("bucket")).select("bucket", F.lit(None).cast("long").alias("parent"), "rep")))
+    top = materialise(_shared(classes.select("rep", "n", F.explode("tokens").alias("bucket")).select("bucket", F.lit(None).cast("long").alias("parent"), "rep", "n")))
     buckets = top.where(F.col("m") <= limit)
     if not top.where(F.col("m") > limit).isEmpty():
-        large = top.where(F.col("m") > limit).select("bucket", "rep").join(classes.select("rep", "sketch"), "rep")
-        parted = materialise(_shared(large.mapInArrow(_split, "bucket long, parent long, rep long")))
+        large = top.where(F.col("m") > limit).select("bucket", "rep").join(classes.select("rep", "n", "sketch"), "rep")
+        parted = materialise(_shared(large.mapInArrow(_split, "bucket long, parent long, rep long, n int")))
         buckets = buckets.unionByName(parted)
     light = classes.select("rep", "n", "sketch", "tokens", "size", "cls")
 
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, *_KEYS).sortWithinPartitions(*_KEYS)
 
-    told = _in_blocks(buckets, limit).join(light.drop("cls", "size"), "rep")
+    told = _in_blocks(buckets, limit, hashes).join(light.drop("cls", "size"), "rep")
     marked = materialise(grouped(told).mapInArrow(_mark, "bucket long, parent long, one int, two int, block int, rep long"))
     wanted = marked.select("rep").distinct().join(classes.select("rep", "copies_id"), "rep").select(F.xxhash64("copies_id").alias("h"))
     sets = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInArrow(_sets_of(bitmap(wanted, "h", 24)), "cls binary, set binary")
