@@ -3,8 +3,8 @@
 Filters of two, three and four bytes run over windows of ``WINDOW`` bytes, each filter's maximum over
 the window goes through a rectifier into a softmax over the learned languages; a text's log
 probabilities are the mean over all its windows, weighted by their bytes.  The network
-is trained in numpy on at most ``TRAIN_DOCS`` labelled documents (the smallest hashes of
-doc_id; a documented bound) and applied to whole texts in one pass without a shuffle.
+is trained in numpy on at most ``TRAIN_DOCS`` labelled documents of each language (the smallest
+hashes of doc_id; a documented bound), so that every labelled language is learned, and applied to whole texts in one pass without a shuffle.
 
 For inference the filters become tables over pairs of bytes, so that a window costs three
 table look-ups a byte for all filters at once.
@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from heddle.llm.toxicity import held_out
@@ -30,7 +30,7 @@ from heddle.llm.wordgrams import chunks
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
-TRAIN_DOCS = 4000
+TRAIN_DOCS = 1000  # of each language
 TRAIN_WINDOWS = 4  # of each document
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 
@@ -130,8 +130,9 @@ class Network:
 
 def fit(docs: DataFrame) -> Network:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(0, 5))
-    chosen = known.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
-    rows = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("_place", place).where(F.col("_place") <= TRAIN_DOCS).select("doc_id", "lang")
+    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
     return Network(rows["text"].tolist(), rows["lang"].tolist())
 
 
