@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -16,22 +17,72 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir.  Where it is unset, a temporary one if the
+    master is local (tests); on a cluster, where no such folder would be shared, an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='heddle-')}"
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
 
+_written: list[tuple[SparkSession, str]] = []
+
+
 def materialise(df: DataFrame) -> DataFrame:
-    """Write once to the shared folder and read back: cuts lineage, survives lost executors."""
+    """Write once to the shared folder and read back: cuts lineage, survives lost executors.
+
+    What is written stays until ``forget`` or the driver's end, since results are read when the caller asks for them."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/heddle-{uuid.uuid4().hex}"
+    _written.append((spark, path))
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def written() -> int:
+    """A mark for ``forget``."""
+    return len(_written)
+
+
+def forget(mark: int = 0, but: int = 0) -> None:
+    """Deletes what ``materialise`` wrote since ``mark``, except for the last ``but`` of them."""
+    end = len(_written) - but
+    for spark, path in _written[mark:end]:
+        at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    del _written[mark:end]
+
+
+@atexit.register
+def _forget_at_the_end() -> None:
+    try:
+        forget()
+    except Exception:  # noqa: BLE001 - the session has ended already: its folder is the cluster's to clean
+        _written.clear()
+
+
+#: Bytes of a text above which it is not taken into a sample for fitting (it is scored like any other).
+SAMPLE_TEXT = 64 << 10
+
+
+def held_out(remainder: int, modulus: int, id_col: str = "doc_id"):
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
+
+
+def sample_texts(docs: DataFrame, chosen: DataFrame, most_bytes: int):
+    """(doc_id, label, text) on the driver, in the order of doc_id's hash: texts of the ``chosen`` (doc_id, label), which must
+    be of bounded number.  No text over ``SAMPLE_TEXT`` bytes, of a repeated doc_id the smallest, and of each label
+    only as many as have ``most_bytes`` together."""
+    texts = docs.select("doc_id", "text").where(F.octet_length(F.coalesce("text", F.lit(""))) <= SAMPLE_TEXT).join(F.broadcast(chosen), "doc_id")
+    one = texts.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    held = F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 1).over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    rows = one.withColumn("_held", held).where(F.col("_held") <= most_bytes).select("doc_id", "label", "text", F.xxhash64("doc_id").alias("_h"))
+    return rows.toPandas().sort_values(["_h", "doc_id"])
+
+
 def tasks_for(df: DataFrame) -> int:
     """Shuffle partitions to ask for where a keyed repartition feeds Python."""
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -91,22 +142,26 @@ def in_bitmap(bits_of: bytes, values) -> "object":
     return (words[(v >> np.uint64(6)).astype(np.int64)] >> (v & np.uint64(63))) & np.uint64(1) == 1
 
 
+def marked(column: str, bits: int = 24) -> tuple:
+    """(slot, bit) of a column's hash in a bitmap held as a table."""
+    return F.shiftright(F.xxhash64(column).bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")
+
+
+def marks(df: DataFrame, column: str, bits: int = 24) -> DataFrame:
+    """The bitmap (_slot, _word) of a column's values: at most 2^(bits-6) rows whatever the input, so that it may be broadcast."""
+    slot, bit = marked(column, bits)
+    return df.select(slot.alias("_slot"), bit.alias("_b")).groupBy("_slot").agg(F.bit_or("_b").alias("_word"))
+
+
 def told_apart(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(rows whose doc_id is surely not in ``ids``, the others): a bitmap of the ids' hashes decides.
 
     The bitmap is a broadcast table of at most 2^(bits-6) longs whatever the input, so that the first part
     needs no shuffle; only the second, which holds all of ``ids`` and a few more, has to be joined."""
-
-    def slot_and_bit(column) -> tuple:
-        h = F.xxhash64(column)
-        return F.shiftright(h.bitwiseAND(F.lit((1 << bits) - 1)), 6).cast("int"), F.expr(f"shiftleft(1L, cast(xxhash64({column}) & 63 as int))")
-
-    slot, bit = slot_and_bit("_id")
-    words = ids.select(F.col("doc_id").alias("_id")).select(slot.alias("_slot"), bit.alias("_b")).groupBy("_slot").agg(F.bit_or("_b").alias("_word"))
-    slot, bit = slot_and_bit("doc_id")
-    marked = docs.withColumn("_at", slot).join(F.broadcast(words), F.col("_at") == F.col("_slot"), "left")
+    slot, bit = marked("doc_id", bits)
+    flagged = docs.withColumn("_at", slot).join(F.broadcast(marks(ids, "doc_id", bits)), F.col("_at") == F.col("_slot"), "left")
     some = F.coalesce(F.col("_word").bitwiseAND(bit) != 0, F.lit(False))
-    return marked.where(~some).select(*docs.columns), marked.where(some).select(*docs.columns)
+    return flagged.where(~some).select(*docs.columns), flagged.where(some).select(*docs.columns)
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:

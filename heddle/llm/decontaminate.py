@@ -1,17 +1,20 @@
 """Benchmark decontamination by winnowing.
 
 A window is ten consecutive words of a benchmark item; an item of one to nine words is
-one window.  Of any ten words, winnowing keeps the smallest of the six hashes of five
-consecutive words, so every span of ten words that a document shares with an item has
+one window.  Of any ten words, winnowing keeps the place of the smallest of the six hashes of five
+consecutive words (the last of equal ones), so every span of ten words that a document shares with an item has
 a kept fingerprint in common with it.
 
 1. Items give windows and fingerprints.  Two bitmaps of bounded size hold the
    fingerprints' and the windows' hashes.
-2. A pass over the documents keeps each text's fingerprints and, where one is among
-   the items', extends it: only windows around it whose hash is known go on, as text.
+2. A pass over the documents keeps each text's fingerprints - about two of seven places - and joins them with the
+   items' through the bitmap.  A hit is extended: the windows around its place, and no others, whose hash is known go on,
+   as text.
 3. Those windows are joined with the items' windows on the text itself, so that no
    hash decides.  The items' side is broadcast only if its measured size is within
-   ``broadcast_bytes``; else Spark shuffles both sides.
+   ``broadcast_bytes``; else Spark shuffles both sides, a window's rows in ``SALTS`` parts.
+4. Windows that the same items hold share one set of items; rows carry the set's key, and each document's sets
+   become one list of items at the end.
 
 Items of one to nine words have no fingerprint of their own; each of their lengths is
 probed at every position by the hash of that many words.
@@ -37,19 +40,32 @@ from heddle.llm.wordgrams import Words, chunks, gram_hashes, words_of
 
 WINDOW = 10
 GRAM = 5
+SALTS = 16
 
 _ITEM = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("body", pa.string()), ("hash", pa.int64()), ("print", pa.int64())])
 
 
-def winnow(words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For each window's first word: its fingerprint, its own hash, and whether it is whole."""
+def winnow(words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """(first word of each kept fingerprint, its hash): in every run of ``WINDOW`` words of a text the smallest hash of
+    ``GRAM`` words, the last of equal ones."""
     grams, _ = gram_hashes(words, GRAM)
-    own, whole = gram_hashes(words, WINDOW)
-    least = grams.copy()
+    _, whole = gram_hashes(words, WINDOW)
+    least, place = grams.copy(), np.arange(len(grams))
     for j in range(1, WINDOW - GRAM + 1):
         if len(grams) > j:
-            np.minimum(least[:-j], grams[j:], out=least[:-j])
-    return least, own, whole
+            later = grams[j:] <= least[:-j]
+            least[:-j][later] = grams[j:][later]
+            place[:-j][later] = np.arange(j, len(grams))[later]
+    kept = np.unique(place[whole])
+    return kept, grams[kept]
+
+
+def around(words: Words, places: np.ndarray) -> np.ndarray:
+    """First words of the windows that hold the fingerprints at ``places``."""
+    _, whole = gram_hashes(words, WINDOW)
+    starts = np.unique(places[:, None] - np.arange(WINDOW - GRAM + 1)[None, :])
+    starts = starts[starts >= 0]
+    return starts[whole[starts]]
 
 
 def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,7 +73,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         ids = batch.column(0).to_pylist()
         for i, j in chunks(batch.column(1)):
             w = words_of(batch.column(1).slice(i, j - i))
-            prints, own, whole = winnow(w)
+            own, _ = gram_hashes(w, WINDOW)
+            _, hashes = winnow(w)
             short = {n: gram_hashes(w, n)[0] for n in range(1, WINDOW) if (w.count() == n).any()}
             rows = []
             for row in range(j - i):
@@ -65,7 +82,8 @@ def _item_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 if 0 < b - a < WINDOW:
                     rows.append((ids[i + row], b - a, w.text(a, b), int(short[b - a][a].view(np.int64)), None))
                 for at in range(a, b - WINDOW + 1):
-                    rows.append((ids[i + row], WINDOW, w.text(at, at + WINDOW), int(own[at].view(np.int64)), int(prints[at].view(np.int64))))
+                    rows.append((ids[i + row], WINDOW, w.text(at, at + WINDOW), int(own[at].view(np.int64)), None))
+            rows += [(None, None, None, None, h) for h in hashes.view(np.int64).tolist()]  # fingerprints stand in rows of their own
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), _ITEM)], schema=_ITEM)
 
@@ -83,9 +101,9 @@ def _document_windows(prints_of: bytes, windows_of: bytes, lengths: list[int], k
             for i, j in chunks(batch.column(1)):
                 w = words_of(batch.column(1).slice(i, j - i))
                 n = w.count()
-                prints, own, whole = winnow(w)
-                at = np.flatnonzero(whole)
-                at = at[in_bitmap(prints_of, prints[at])]
+                kept, hashes = winnow(w)
+                at = around(w, kept[in_bitmap(prints_of, hashes)])
+                own, _ = gram_hashes(w, WINDOW)
                 at = at[in_bitmap(windows_of, own[at])]
                 spans = [at, np.full(len(at), WINDOW)]
                 for length in lengths:
@@ -112,21 +130,25 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     text_sha256, which is null where no window may be an item's."""
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
     known = materialise(items.mapInArrow(_item_windows, "item_id long, n int, body string, hash long, print long"))
-    size = known.agg(F.count("*").alias("n"), F.sum(F.length("body") + 32).alias("bytes"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("short")).first()
+    size = known.agg(F.count("*").alias("n"), F.sum(F.length("body") + 100).alias("bytes"), F.collect_set(F.when(F.col("n") < WINDOW, F.col("n"))).alias("short")).first()
     bits = min(max(20, (16 * (size["n"] or 1)).bit_length()), 27)
     probe = _document_windows(bitmap(known, "print", bits), bitmap(known, "hash", bits), sorted(size["short"]), keyed)
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         probe, "doc_id long, uid long, n_words long, windows array<struct<at: int, n: int, body: string>>" + (", text_sha256 string" if keyed else "")
     )
-    by_body = known.groupBy("body").agg(F.collect_set("item_id").alias("items"))
-    if (size["bytes"] or 0) <= broadcast_bytes:
-        by_body = F.broadcast(by_body)
+    listed = F.array_sort(F.collect_set(F.col("item_id").cast("string")))
+    by_body = known.where("body is not null").groupBy("body").agg(listed.alias("ids"))
+    by_body = materialise(by_body.select("body", F.sha2(F.array_join("ids", ",").cast("binary"), 256).alias("set_key"), "ids"))
+    sets = by_body.groupBy("set_key").agg(F.first("ids").alias("ids"))
+    bodies = by_body.select("body", "set_key")
+    small = (size["bytes"] or 0) <= broadcast_bytes
+    bodies = F.broadcast(bodies) if small else bodies.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     key = ["text_sha256"] if keyed else []
     each = found.select("doc_id", "uid", "n_words", *key, F.explode_outer("windows").alias("w")).select(
         "doc_id", "uid", "n_words", *key, "w.at", "w.n", F.coalesce("w.body", F.concat(F.lit(" "), F.col("uid"))).alias("body")
     )  # a body that no window has, another for each document, where there is none: no key is hot
-    joined = each.join(by_body, "body", "left")
-    hit = F.when(F.col("items").isNotNull(), F.struct("at", (F.col("at") + F.col("n")).alias("to")))
+    joined = each.join(bodies, "body", "left") if small else each.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(bodies, ["body", "salt"], "left")
+    hit = F.when(F.col("set_key").isNotNull(), F.struct("at", (F.col("at") + F.col("n")).alias("to")))
     covered = F.aggregate(
         F.array_sort("spans"),
         F.struct(F.lit(0).cast("long").alias("sum"), F.lit(0).alias("to")),
@@ -136,11 +158,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
         ),
         lambda x: x["sum"],
     )
-    ids = F.array_sort(F.transform("items", lambda x: x.cast("string")))
-    return (
-        joined.groupBy("uid")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in key], F.collect_set(hit).alias("spans"), F.array_distinct(F.flatten(F.collect_set("items"))).alias("items"))
-        .select("doc_id", "n_words", covered.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join(ids, ",").cast("binary"), 256).alias("items_sha256"), (F.size("spans") > 0).alias("contaminated"), *key)
+    grouped = joined.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in key], F.collect_set(hit).alias("spans"), F.collect_set("set_key").alias("sets"))
+    counted = materialise(grouped.select("uid", "doc_id", "n_words", covered.alias("n_hit"), "sets", *key))
+    of_sets = counted.where(F.size("sets") > 0).select("uid", F.explode("sets").alias("set_key")).join(sets, "set_key").groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    items = F.coalesce("ids", F.array().cast("array<string>"))
+    return counted.join(of_sets, "uid", "left").select(
+        "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("sets") > 0).alias("contaminated"), *key
     )
 
 

@@ -9,8 +9,9 @@ Two texts are equal when they are identical after deleting space and U+0009-U+00
    and forgotten; a later copy then starts a new terminal, which step 2 joins.
 2. Only terminals are shuffled, by length and content hash, so that a text held by a
    third of all rows arrives as one row for each task.  The owners' tries
-   again compare full bytes; Spark's sort (which spills) brings them in the order of
-   length and hash, so that a finished subtree can leave the memory.
+   hold all keys of a length that their hashes bring them and again compare full bytes; Spark's sort (which
+   spills) brings keys in the order of length and hash, so that past ``trie_bytes``, at the next hash, everything
+   in the trie is finished and leaves the memory.
 3. Rows find their terminal's owner by the terminal's number; no number has more
    rows than one task has read.
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, runs, tasks_for, told_apart
+from heddle.llm.common import materialise, tasks_for, told_apart
 
 WHITE = b" \t\n\v\f\r"
 
@@ -171,21 +172,35 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 _OWNER = pa.schema([("rep", pa.int64()), ("keep_id", pa.int64()), ("keep_uid", pa.int64()), ("group_size", pa.int64())])
 
 
-def _owners(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches sorted by length and hash; a subtree is complete when the next hash comes."""
-    for group in runs(batches, ["norm_len", "text_sha256"]):
-        trie = Trie()
-        for rep, key, n, chars, best_id, uid in zip(*(group.column(c).to_pylist() for c in ("rep", "payload", "n", "best_chars", "best_id", "best_uid"))):
-            record = trie.terminal(key)
-            rank = (-chars, _LAST if best_id is None else best_id, uid)
-            if record:
-                record[0].append(rep)
-                record[1] += n
-                record[2] = min(record[2], rank)
-            else:
-                record += [[rep], n, rank]
+def _owners(trie_bytes: int):
+    def finished(trie: Trie) -> pa.RecordBatch:
         out = [(rep, None if best[1] == _LAST else best[1], best[2], n) for _, (reps, n, best) in trie.walk() for rep in reps]
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _OWNER)], schema=_OWNER)
+        return pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out), _OWNER)], schema=_OWNER)
+
+    def body(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Terminals sorted by length and hash: equal texts come one after the other."""
+        trie, length, sha = Trie(), None, None
+        for batch in batches:
+            for start in range(0, batch.num_rows, _OUT_ROWS):
+                part = batch.slice(start, _OUT_ROWS)
+                columns = [part.column(c).to_pylist() for c in ("norm_len", "text_sha256", "rep", "payload", "n", "best_chars", "best_id", "best_uid")]
+                for key_length, key_sha, rep, key, n, chars, best_id, uid in zip(*columns):
+                    if length is not None and (key_length != length or (key_sha != sha and trie.held > trie_bytes)):
+                        yield finished(trie)
+                        trie = Trie()
+                    length, sha = key_length, key_sha
+                    record = trie.terminal(key)
+                    rank = (-chars, _LAST if best_id is None else best_id, uid)
+                    if record:
+                        record[0].append(rep)
+                        record[1] += n
+                        record[2] = min(record[2], rank)
+                    else:
+                        record += [[rep], n, rank]
+        if length is not None:
+            yield finished(trie)
+
+    return body
 
 
 def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", trie_bytes: int = 96 << 20) -> DataFrame:
@@ -196,7 +211,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     owners = (
         terminals.repartition(tasks_for(docs), "norm_len", "text_sha256")
         .sortWithinPartitions("norm_len", "text_sha256")
-        .mapInArrow(_owners, "rep long, keep_id long, keep_uid long, group_size long")
+        .mapInArrow(_owners(trie_bytes), "rep long, keep_id long, keep_uid long, group_size long")
     )
     return (
         local.where("payload is null")

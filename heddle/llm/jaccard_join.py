@@ -4,18 +4,19 @@ Sets are the distinct five-word shingles of a text (see ``wordgrams``); two sets
 when their Jaccard similarity is at least 0.8.
 
 1. One pass makes each text's set and keeps its digest, size, a sketch of 64 minima and the
-   shingles that it *chooses*: in each of ``RUNS`` runs every shingle is taken with
+   shingles that it *chooses*: in each run every shingle is taken with
    probability 1 / (0.8 x set size), by a hash that is the same for all texts; where a run
    takes none, it takes the one of the smallest hash.  Two sets of equal size and similarity
    0.8 share a chosen shingle in a run with probability 0.67 by the first rule and about
-   0.87 with the second, in any of nine runs with over 0.999999.
+   0.87 with the second.  Runs are repeated until the first rule alone reaches ``RECALL``: nine times.
 2. Texts with equal sets become one class (a hash aggregate with map-side combine, so
    that a third of all rows with one text is a row a task).
-3. A chosen shingle is a bucket.  Buckets of one class vanish.  Buckets over ``LIMIT`` are split
-   again on chosen sketch positions, in as many runs; those still over it afterwards are
-   near copies of each other and are compared in blocks, each a task's work, as are buckets
-   whose sets hold more than ``HASHES`` hashes together.
-4. In a bucket, sizes and sketches pick likely pairs; each pair belongs to the smallest bucket
+3. A chosen shingle is a bucket.  Buckets of one class vanish.  A bucket over ``LIMIT`` is split
+   again on chosen sketch positions, in as many runs, and so are its buckets, down to ``LEVELS``; those
+   still over the limit afterwards are near copies of each other and are compared in blocks, each a task's work, as are
+   buckets whose sets hold more than ``HASHES`` hashes together.  (The number of links of each text
+   is asked for, so all pairs of a group of different near copies have to be looked at.)
+4. In a bucket, sizes and sketches pick likely pairs; each pair belongs, on each level, to the smallest bucket
    that both have chosen and is looked at only there.  Only classes of likely pairs get
    their sets (made anew in a second pass, behind a bitmap of bounded size) and are
    compared exactly.
@@ -34,6 +35,7 @@ empty result; other columns are not read.
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,18 +44,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import bitmap, in_bitmap, materialise, runs, tasks_for, without_rows
+from heddle.llm.common import bitmap, in_bitmap, marked, marks, materialise, runs, tasks_for, without_rows
 from heddle.llm.components import connected_components
 from heddle.llm.wordgrams import mix, shingle_sets
 
 SHINGLE = 5
 SIMILAR = 0.8
-RUNS = 9
+RECALL = 0.9999
+LEVELS = 3
 BINS = 64
 LIKELY = 0.5
 LIMIT = 8192
 HASHES = 2_000_000  # of a block: two of them are compared at once, 32 MB a copy
 
+HOT = 256  # rows of a bucket from which its join is dealt in ``SALTS`` parts
+SALTS = 16
+
+
+def runs_for(recall: float, similar: float = SIMILAR) -> int:
+    """Runs after which two sets of equal size and this similarity share a chosen shingle with probability ``recall``."""
+    common = 2 * similar / (1 + similar) / similar  # expected number of shared shingles that a run takes
+    return math.ceil(math.log(1 - recall) / -common)
+
+
+RUNS = runs_for(RECALL)
 _SEEDS = np.array([mix(np.zeros(1, np.uint64), 1000 + r)[0] for r in range(RUNS)], dtype=np.uint64)
 _BIN_EDGES = np.array([i << 58 for i in range(BINS)], dtype=np.uint64)
 _LAST = np.uint64(2**64 - 1)
@@ -118,15 +132,14 @@ def sub_buckets(parent: int, sketches: np.ndarray) -> np.ndarray:
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        parents = batch.column("bucket").to_numpy().view(np.uint64)
+        paths, parents = batch.column("path").to_pylist(), batch.column("bucket").to_numpy().view(np.uint64)
         sketches = _sketches(batch.column("sketch"))
         reps, sizes = batch.column("rep").to_numpy(), batch.column("n").to_numpy()
         for i in range(batch.num_rows):
             subs = sub_buckets(int(parents[i]), sketches[i : i + 1])[0]
             subs = np.unique(subs[subs != 0])
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(subs.view(np.int64)), pa.array(np.full(len(subs), parents[i].view(np.int64))), pa.array(np.full(len(subs), reps[i])), pa.array(np.full(len(subs), sizes[i], np.int32))], names=["bucket", "parent", "rep", "n"]
-            )
+            path = pa.array([[*paths[i], int(parents[i].view(np.int64))]] * len(subs), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(subs.view(np.int64)), path, pa.array(np.full(len(subs), reps[i])), pa.array(np.full(len(subs), sizes[i], np.int32))], names=["bucket", "path", "rep", "n"])
 
 
 def _sketches(column: pa.Array) -> np.ndarray:
@@ -160,13 +173,15 @@ def likely_pairs(n: np.ndarray, sketches: np.ndarray, block: np.ndarray, across:
 
 def _owned(group: pa.Table, left: np.ndarray, right: np.ndarray, sketches: np.ndarray) -> np.ndarray:
     """Which pairs belong to this bucket: the smallest that both have chosen, on each level."""
-    bucket, parent = group.column("bucket")[0].as_py(), group.column("parent")[0].as_py()
-    top = np.uint64((bucket if parent is None else parent) % 2**64)
+    path = [x % 2**64 for x in (*group.column("path")[0].as_py(), group.column("bucket")[0].as_py())]
+    top = np.uint64(path[0])
     tokens = group.column("tokens").to_pylist()
     below = [set(np.array(t, np.int64).view(np.uint64)[np.array(t, np.int64).view(np.uint64) < top].tolist()) for t in tokens]
     own = np.array([below[i].isdisjoint(below[j]) for i, j in zip(left.tolist(), right.tolist())], dtype=bool)
-    if parent is not None and own.any():
-        subs = [set(x[(x != 0) & (x < np.uint64(bucket % 2**64))].tolist()) for x in sub_buckets(parent % 2**64, sketches)]
+    for parent, bucket in zip(path, path[1:]):
+        if not own.any():
+            break
+        subs = [set(x[(x != 0) & (x < np.uint64(bucket))].tolist()) for x in sub_buckets(parent, sketches)]
         own &= np.array([subs[i].isdisjoint(subs[j]) for i, j in zip(left.tolist(), right.tolist())], dtype=bool)
     return own
 
@@ -189,7 +204,7 @@ def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right = _pairs(group)
         rows = np.unique(np.concatenate([left, right]))
         if len(rows):
-            for batch in group.select(["bucket", "parent", "one", "two", "block", "rep"]).take(rows).combine_chunks().to_batches():
+            for batch in group.select(["bucket", "path", "one", "two", "block", "rep"]).take(rows).combine_chunks().to_batches():
                 yield batch
 
 
@@ -265,9 +280,20 @@ def _sets_of(wanted: bytes):
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """(bucket, parent, rep) rows in buckets of two or more, with the bucket's size and the sum of its sets' sizes n."""
-    sizes = rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m >= 2")
-    return rows.drop("n").join(sizes, "bucket")
+    """(bucket, path, rep, n) rows in buckets of two or more, with the bucket's size and the sum of its sets' sizes n.
+
+    Sizes are joined back by bucket; rows of buckets that share a place in a bitmap with one over ``HOT`` are dealt in
+    parts, with their size row in each, so that no bucket is one task's work."""
+    sizes = materialise(rows.groupBy("bucket").agg(F.count("*").alias("m"), F.sum("n").alias("hashes")).where("m >= 2"))
+    hot = F.broadcast(marks(sizes.where(F.col("m") >= HOT), "bucket"))
+
+    def salted(df: DataFrame, salts) -> DataFrame:
+        flagged = df.join(hot, marked("bucket")[0] == F.col("_slot"), "left")
+        return flagged.withColumn("salt", F.when(F.coalesce(F.col("_word").bitwiseAND(marked("bucket")[1]) != 0, F.lit(False)), salts[0]).otherwise(salts[1])).drop("_slot", "_word")
+
+    mine = salted(rows, (F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int"), F.lit(0)))
+    each = salted(sizes, (F.sequence(F.lit(0), F.lit(SALTS - 1)), F.array(F.lit(0)))).withColumn("salt", F.explode("salt"))
+    return mine.join(each, ["bucket", "salt"]).drop("salt")
 
 
 def _in_blocks(rows: DataFrame, limit: int, hashes: int = HASHES) -> DataFrame:
@@ -275,7 +301,7 @@ def _in_blocks(rows: DataFrame, limit: int, hashes: int = HASHES) -> DataFrame:
     parts = F.least(F.col("m"), F.greatest(F.ceil(F.col("m") / F.lit(limit)), F.ceil(F.col("hashes") / F.lit(hashes)))).cast("int")
     rows = rows.withColumn("parts", parts).withColumn("block", F.pmod(F.xxhash64("rep", "bucket"), F.col("parts")).cast("int"))
     pairs = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda o: F.struct(F.least(o, F.col("block")).alias("one"), F.greatest(o, F.col("block")).alias("two")))
-    return rows.withColumn("p", F.explode(pairs)).select("bucket", "parent", "rep", "block", "p.one", "p.two")
+    return rows.withColumn("p", F.explode(pairs)).select("bucket", "path", "rep", "block", "p.one", "p.two")
 
 
 def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False, hashes: int = HASHES) -> DataFrame:
@@ -294,19 +320,25 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False, hashe
             F.min("uid").alias("rep"), F.count("*").alias("size"), F.min("doc_id").alias("copies_id"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("tokens").alias("tokens"), *[c.alias(name) for name, c in firsts.items()]
         )
     )
-    top = materialise(_shared(classes.select("rep", "n", F.explode("tokens").alias("bucket")).select("bucket", F.lit(None).cast("long").alias("parent"), "rep", "n")))
-    buckets = top.where(F.col("m") <= limit)
-    if not top.where(F.col("m") > limit).isEmpty():
-        large = top.where(F.col("m") > limit).select("bucket", "rep").join(classes.select("rep", "n", "sketch"), "rep")
-        parted = materialise(_shared(large.mapInArrow(_split, "bucket long, parent long, rep long, n int")))
-        buckets = buckets.unionByName(parted)
+    whole = materialise(_shared(classes.select("rep", "n", F.explode("tokens").alias("bucket")).select("bucket", F.array().cast("array<long>").alias("path"), "rep", "n")))
+    buckets = whole.where(F.col("m") <= limit)
+    for level in range(1, LEVELS + 1):
+        over = whole.where(F.col("m") > limit)
+        if over.isEmpty():
+            break
+        if level == LEVELS:
+            buckets = buckets.unionByName(over)
+            break
+        large = over.select("bucket", "path", "rep").join(classes.select("rep", "n", "sketch"), "rep")
+        whole = materialise(_shared(large.mapInArrow(_split, "bucket long, path array<long>, rep long, n int")))
+        buckets = buckets.unionByName(whole.where(F.col("m") <= limit))
     light = classes.select("rep", "n", "sketch", "tokens", "size", "cls")
 
     def grouped(rows: DataFrame) -> DataFrame:
         return rows.repartition(tasks, *_KEYS).sortWithinPartitions(*_KEYS)
 
     told = _in_blocks(buckets, limit, hashes).join(light.drop("cls", "size"), "rep")
-    marked = materialise(grouped(told).mapInArrow(_mark, "bucket long, parent long, one int, two int, block int, rep long"))
+    marked = materialise(grouped(told).mapInArrow(_mark, "bucket long, path array<long>, one int, two int, block int, rep long"))
     wanted = marked.select("rep").distinct().join(classes.select("rep", "copies_id"), "rep").select(F.xxhash64("copies_id").alias("h"))
     sets = docs.select(F.xxhash64(F.col("doc_id").cast("long")).alias("h"), "text").mapInArrow(_sets_of(bitmap(wanted, "h", 24)), "cls binary, set binary")
     full = marked.join(light, "rep").join(sets.dropDuplicates(["cls"]), "cls")

@@ -3,8 +3,8 @@
 Filters of two, three and four bytes run over windows of ``WINDOW`` bytes, each filter's maximum over
 the window goes through a rectifier into a softmax over the learned languages; a text's log
 probabilities are the mean over all its windows, weighted by their bytes.  The network
-is trained in numpy on at most ``TRAIN_DOCS`` labelled documents of each language (the smallest
-hashes of doc_id; a documented bound), so that every labelled language is learned, and applied to whole texts in one pass without a shuffle.
+is trained in numpy on at most ``TRAIN_DOCS`` labelled documents and ``TRAIN_BYTES`` bytes of each language (the smallest
+hashes of doc_id, none over ``common.SAMPLE_TEXT`` bytes; a documented bound), so that every labelled language is learned, and applied to whole texts in one pass without a shuffle.
 
 For inference the filters become tables over pairs of bytes, so that a window costs three
 table look-ups a byte for all filters at once.
@@ -16,7 +16,6 @@ repeated rows each get theirs; an empty table gives an empty result; other colum
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,20 +23,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from heddle.llm.toxicity import held_out
+from heddle.llm.common import held_out, sample_texts
 from heddle.llm.wordgrams import chunks
 
 WINDOW = 256
 WIDTHS = (2, 3, 4)
 FILTERS = 12  # of each width
-TRAIN_DOCS = 1000  # of each language
+TRAIN_DOCS, TRAIN_BYTES = 1000, 8 << 20  # of each language
 TRAIN_WINDOWS = 4  # of each document
 EPOCHS, BATCH, RATE = 6, 64, 0.01
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 _FOLD[48:58] = 48
-_LETTER = re.compile(r"[^\W\d_]")
+
+
+def has_letter(text: str) -> bool:
+    """A character of one of Unicode's letter categories: no digit, fraction, superscript or mark."""
+    return any(map(str.isalpha, text))
 
 
 def windows(raw: bytes) -> np.ndarray:
@@ -131,9 +134,9 @@ class Network:
 def fit(docs: DataFrame) -> Network:
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & ~held_out(0, 5))
     place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("_place", place).where(F.col("_place") <= TRAIN_DOCS).select("doc_id", "lang")
-    rows = known.join(F.broadcast(chosen), ["doc_id", "lang"]).select("doc_id", "lang", "text").toPandas().sort_values(["doc_id", "lang", "text"]).drop_duplicates("doc_id")
-    return Network(rows["text"].tolist(), rows["lang"].tolist())
+    chosen = known.groupBy("doc_id").agg(F.min("lang").alias("lang")).withColumn("_place", place).where(F.col("_place") <= TRAIN_DOCS).select("doc_id", F.col("lang").alias("label"))
+    rows = sample_texts(known.select("doc_id", "text"), chosen, TRAIN_BYTES)
+    return Network(rows["text"].tolist(), rows["label"].tolist())
 
 
 def _predicted(network: Network):
@@ -149,7 +152,7 @@ def _predicted(network: Network):
                 first = np.cumsum([0, *map(len, cut)])
                 logs = network.log_probabilities(np.concatenate(cut), tables) if trained else None
                 for k, text in enumerate(texts):
-                    if not network.languages or not _LETTER.search(text):
+                    if not network.languages or not has_letter(text):
                         continue
                     if not trained:
                         lang[k], score[k] = network.languages[0], 1.0

@@ -8,11 +8,11 @@ text of one or two words has one). Templates are short notices or whole licences
    window has ``BANDS`` MinHash values, one in each band. Two windows of similarity J share a band with
    probability 1 - (1 - J)^64: over 0.998 from J = 0.1 on, which a notice of five words that stands in
    a window reaches. Bands that no template has are dropped before anything is exploded.
-3. A template that shares a band is compared exactly: the share of its distinct shingles that
-   the document holds must be at least 0.8.
+3. Each template that shares a band with a document is compared with it once, word for word: the share of the
+   template's distinct shingles, as text, that the document holds must be at least 0.8.
 
 Everything is DataFrame functions; arrays of a row are at most as long as its text, and only the
-few documents of step 1 are shuffled, without their texts.
+few documents of step 2 are shuffled: their words, once, and numbers.
 
 Defined results: a row for each document and licence found (the best template of the licence);
 null, empty and wordless texts have none; repeated documents each get their rows; no
@@ -64,6 +64,12 @@ def shingles(w: Column) -> Column:
     )
 
 
+def spelled(w: Column) -> Column:
+    """The same shingles as text."""
+    last = F.size(w) - SHINGLE
+    return F.when(last < 0, F.array(F.array_join(w, " "))).otherwise(F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.array_join(F.slice(w, i + 1, F.lit(SHINGLE)), " ")))
+
+
 def windows(s: Column) -> Column:
     """Windows over a shingle array, half a window apart; the last one may be shorter."""
     width, step = WINDOW - SHINGLE + 1, WINDOW // 2
@@ -84,25 +90,29 @@ def license_scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """One row for each document and licence: doc_id, license_id, containment, first_shingle."""
     # Words are a column of their own before shingles refer to them (else every shingle would split the
     # text again), and the row number beside the shingles keeps the filter from moving below them.
-    known = templates.select("license_id", words(F.col("text")).alias("w")).select("license_id", shingles(F.col("w")).alias("t"), F.monotonically_increasing_id().alias("uid"))
-    known = materialise(known.where(F.size("t") > 0).select("license_id", F.array_distinct("t").alias("t"), F.array_distinct(F.flatten(F.transform(windows(F.col("t")), bands))).alias("bands")))
-    sizes = known.agg(F.sum(F.size("t")).alias("shingles"), F.sum(F.size("bands")).alias("bands"), F.count("*").alias("n")).first()
-    by_band = known.select("license_id", "t", F.explode("bands").alias("band"))
-    small = (sizes["bands"] or 0) <= LITERAL_VALUES
+    named = templates.select("license_id", words(F.col("text")).alias("w")).where(F.size("w") > 0).select("license_id", F.array_distinct(spelled(F.col("w"))).alias("t"), shingles(F.col("w")).alias("h"), F.monotonically_increasing_id().alias("template"))
+    known = materialise(named.select("license_id", "template", "t", F.array_distinct("h").alias("h"), F.array_distinct(F.flatten(F.transform(windows(F.col("h")), bands))).alias("bands")))
+    small = (known.agg(F.sum(F.size("bands"))).first()[0] or 0) <= LITERAL_VALUES
     found = docs.select(F.col("doc_id").cast("long").alias("doc_id"), words(F.col("text")).alias("w"))
-    found = found.select("doc_id", F.monotonically_increasing_id().alias("uid"), shingles(F.col("w")).alias("s"))
+    found = found.select("doc_id", "w", F.monotonically_increasing_id().alias("uid"), shingles(F.col("w")).alias("s"))
     if small:
-        values = known.select(F.array_distinct(F.flatten(F.collect_set("t"))).alias("t"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("b")).first()
+        values = known.select(F.array_distinct(F.flatten(F.collect_set("h"))).alias("h"), F.array_distinct(F.flatten(F.collect_set("bands"))).alias("b")).first()
         of = lambda xs: F.array(*[F.lit(x) for x in xs or [0]])
-        found = found.where(F.arrays_overlap("s", of(values["t"])))
-        touched = F.filter(windows(F.col("s")), lambda w: F.arrays_overlap(w, of(values["t"])))
+        found = found.where(F.arrays_overlap("s", of(values["h"])))
+        touched = F.filter(windows(F.col("s")), lambda w: F.arrays_overlap(w, of(values["h"])))
         hits = F.array_intersect(F.flatten(F.transform(touched, bands)), of(values["b"]))
     else:
         hits = F.array_distinct(F.flatten(F.transform(windows(F.col("s")), bands)))
-    rows = found.select("uid", "doc_id", "s", F.explode(hits).alias("band"))
-    met = rows.join(F.broadcast(by_band) if small else by_band, "band")
-    holds = F.size(F.array_intersect("t", "s")) / F.size("t")
-    exact = met.select("uid", "doc_id", "license_id", holds.alias("containment"), F.array_min(F.transform(F.array_intersect("t", "s"), lambda x: F.array_position("s", x))).alias("at")).where(
+    hit = found.select("uid", "doc_id", "w", hits.alias("hits"))
+    if small:  # else every document goes on
+        hit = hit.where(F.size("hits") > 0)
+    hit = materialise(hit)
+    by_band = known.select("template", F.explode("bands").alias("band"))
+    met = hit.select("uid", F.explode("hits").alias("band")).join(F.broadcast(by_band) if small else by_band, "band").select("uid", "template").distinct()
+    light = known.select("template", "license_id", "t")
+    pairs = met.join(F.broadcast(light) if small else light, "template").join(hit.select("uid", "doc_id", spelled(F.col("w")).alias("s")), "uid")
+    both = pairs.select("uid", "doc_id", "license_id", "t", "s", F.array_intersect("t", "s").alias("both"))
+    exact = both.select("uid", "doc_id", "license_id", (F.size("both") / F.size("t")).alias("containment"), F.array_min(F.transform("both", lambda x: F.array_position("s", x))).alias("at")).where(
         F.col("containment") >= CONTAINED
     )
     best = exact.groupBy("uid", "doc_id", "license_id").agg(F.max(F.struct("containment", -F.col("at"))).alias("m"))

@@ -4,17 +4,17 @@ A document is its token ids and one closing id 0.  A document longer than a sequ
 into full pieces after a first, shorter one; nothing else is cut.
 
 1. Each task tokenizes its documents and returns a small row for each piece.
-2. Only a histogram of the lengths (at most ``capacity`` x ``SALTS`` counts, whatever the
-   input) reaches the driver, which plans with it:
+2. Only a histogram of the lengths reaches the driver (at most ``capacity`` counts, then one for each salted part:
+   a length has a part for each ``PART`` of its pieces), which plans with it:
    large lengths are rounded up within ``GROUPS`` groups of equal cardinality; the
    configurations of those few sizes come from a linear program by column generation and are
    rounded down; actual lengths then take the places of the rounded ones; what is left and the
    small lengths go best-fit, in falling order, into what the sequences have free.  Sequences
    that look alike are planned as one class with a multiplicity, so that the plan's size
    depends on the number of lengths and not on the number of documents.
-3. Each piece gets its rank among the pieces of its length - counted within salted parts, so
-   that a length that a third of the documents have isn't one task's work - and finds its
-   sequence and offset in the plan by binary search.
+3. A full piece is a sequence by itself and needs no rank.  Each other piece gets its rank among the pieces of its
+   length - counted within parts of about ``PART`` pieces, so that a length that a third of the documents have
+   isn't one task's work, at any size - and finds its sequence and offset in the plan by binary search.
 
 Defined results: null or empty text is one piece, the id 0 alone; repeated rows are packed
 as often as they come; a null doc_id stays null; an empty table gives an empty result; other
@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import json
 import re
+import warnings
 import zlib
 from collections.abc import Iterator
 
@@ -39,7 +40,7 @@ from heddle.llm.common import materialise
 CAPACITY = 2048
 GROUPS = 64
 SMALL = 1 / 32  # of the capacity: lengths up to it are not grouped
-SALTS = 64
+PART = 1 << 18  # pieces of one length that one task ranks
 END_ID = 0
 
 #: The published splitting pattern of this byte-level vocabulary.
@@ -103,7 +104,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
     k = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))
     x = counts / np.diag(basis)
-    for _ in range(40 * k):
+    for _ in range(100 * k):
         inverse = np.linalg.inv(basis)
         x = np.maximum(inverse @ counts, 0)
         price = inverse.sum(axis=0)
@@ -117,7 +118,7 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
                 best[a:b][better] = (best[a - s : b - s] + price[i])[better]
                 took[a:b][better] = i
         if best[capacity] <= 1 + 1e-7:
-            break
+            break  # no configuration is worth more than it takes: the program is solved
         column, left = np.zeros(k), capacity
         while left > 0:
             if took[left] < 0:
@@ -128,6 +129,8 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
         step = inverse @ column
         ratio = np.where(step > 1e-9, x / np.where(step > 1e-9, step, 1), np.inf)
         basis[:, int(np.argmin(ratio))] = column
+    else:
+        warnings.warn("column generation ended before the program was solved: sequences may be somewhat more than needed", stacklevel=2)
     x = np.maximum(np.linalg.inv(basis) @ counts, 0)
     return [(basis[:, j].astype(int), int(x[j] + 1e-9)) for j in range(k) if x[j] + 1e-9 >= 1]
 
@@ -156,7 +159,8 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, groups: int
         put(capacity, made, 0, 0)
     large = [s for s in sorted(left, reverse=True) if SMALL * capacity < s < capacity and left[s]]
     total = sum(left[s] for s in large)
-    if total >= 4 * groups:
+    groups = min(groups, total // 4)  # four pieces at least to a group
+    if groups:
         members: list[list[list[int]]] = [[]]  # of each group: [length, how many], falling
         room = [total // groups + (i < total % groups) for i in range(groups)]
         at = 0
@@ -235,13 +239,18 @@ def _placed(plan: np.ndarray):
 def pack(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    pieces = materialise(rows.mapInArrow(_pieces(tokenizer_path, capacity), _PIECE_DDL)).withColumn("salt", F.pmod(F.xxhash64("uid"), F.lit(SALTS)).cast("int"))
-    counted = pieces.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"])
+    pieces = materialise(rows.mapInArrow(_pieces(tokenizer_path, capacity), _PIECE_DDL))
+    out = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    full = pieces.where(F.col("length") == capacity).select(*out, (-1 - F.col("uid")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    rest = pieces.where(F.col("length") < capacity)
+    spark = docs.sparkSession
+    lengths = {int(r["length"]): int(r["n"]) for r in rest.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    parts = spark.createDataFrame([(n, -(-count // PART)) for n, count in lengths.items()], "length long, parts long")
+    rest = rest.join(F.broadcast(parts), "length").withColumn("salt", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("long"))
+    counted = rest.groupBy("length", "salt").agg(F.count("*").alias("n")).toPandas().sort_values(["length", "salt"])
     counted["before"] = counted.groupby("length")["n"].cumsum() - counted["n"]
-    plan, _ = plan_sequences(counted.groupby("length")["n"].sum().to_dict(), capacity)
-    offsets = F.broadcast(docs.sparkSession.createDataFrame(counted[["length", "salt", "before"]], "length long, salt int, before long"))
+    plan, _ = plan_sequences(lengths, capacity)
+    offsets = F.broadcast(spark.createDataFrame(counted[["length", "salt", "before"]], "length long, salt long, before long"))
     rank = F.row_number().over(Window.partitionBy("length", "salt").orderBy("uid")) - 1
-    ranked = pieces.withColumn("rank", rank.cast("long")).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    return ranked.select("doc_id", "piece", "start", "length", "ids_crc32", "rank").mapInArrow(
-        _placed(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
-    )
+    ranked = rest.withColumn("rank", rank.cast("long")).join(offsets, ["length", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    return full.unionByName(ranked.select(*out, "rank").mapInArrow(_placed(plan), "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"))

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heddle.llm.common import materialise
-from heddle.llm.toxicity import held_out
+from heddle.llm.common import held_out
 from heddle.llm.trees import condition, paths, trees_of
 
 TRAIN_DOCS = 8000
@@ -92,8 +92,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> RuleEnsemble:
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(1, 3)).groupBy("doc_id").agg(F.max("quality").alias("_label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_DOCS)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    sample = texts.select(F.col("_label").cast("double").alias("label"), *[v.alias(k) for k, v in statistics(F.col("text")).items()])
-    return RuleEnsemble(materialise(sample.coalesce(8)))
+    sample = texts.select("doc_id", F.col("_label").cast("double").alias("label"), *[v.alias(k) for k, v in statistics(F.col("text")).items()])
+    one = sample.groupBy("doc_id").agg(F.min(F.struct(*[c for c in sample.columns if c != "doc_id"])).alias("s")).select("s.*")
+    return RuleEnsemble(materialise(one).coalesce(8))  # few rows by now: the scan above runs in as many tasks as it has
 
 
 def quality(docs: DataFrame, ensemble: RuleEnsemble) -> DataFrame:

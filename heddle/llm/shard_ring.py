@@ -6,10 +6,13 @@ node at or after its cell.  Once a shard is full, what it can't hold goes on clo
 node by node.  With ``slack`` 0 the capacities add up to the number of rows, so that
 counts are at most one apart (the law ``rows``).
 
+Rows that are equal in doc_id, size and checksum are told apart by nothing, so they are first combined into one row with
+their number (with map-side combine) and made rows again at the end, in parts of at most ``PART``.
 Only numbers of rows by (cell, salt) reach the driver, at most ``CELLS`` x ``SALTS`` of them whatever
 the input.  There the overflow is followed node by node, for ranges of rows and not for rows; each
-row then finds its range by its rank in its arc.  Ranks are counted within (cell, salt), so that
-rows of one doc_id, however many, are counted in ``SALTS`` parts.  All of it is DataFrame
+part then finds its ranges by its rank in its arc.  Ranks are counted within (cell, salt), and the salt is a hash of the
+row and its part, so that neither one doc_id nor one text, however common, is one task's work, and the same table gives the
+same placement however its files are cut.  All of it is DataFrame
 operations; the text is read once, for its size and checksum, and never shuffled.
 
 Defined results: null text has the size 8 and the checksum 0; a row with a null doc_id is placed by
@@ -27,6 +30,7 @@ from heddle.llm.common import materialise
 CELLS = 4096
 SALTS = 16
 VIRTUAL = 64
+PART = 1 << 16  # equal rows that are ranked as one
 
 
 def ring(spark, shards: int, virtual: int = VIRTUAL) -> list[tuple[int, int]]:
@@ -68,10 +72,16 @@ def ring_shards(docs: DataFrame, shards: int = 24, virtual: int = VIRTUAL, slack
     light = docs.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32"))
     key = F.coalesce(F.xxhash64(F.lit("key"), "doc_id"), F.lit(0))
     placed = F.when(F.col("doc_id").isNull(), F.xxhash64("size", "text_crc32")).otherwise(key)
-    rows = materialise(light.select("*", placed.alias("h"), F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int").alias("salt"))).withColumn(
-        "cell", F.pmod(F.shiftrightunsigned("h", 20), F.lit(CELLS)).cast("int")
-    )
-    counted = {(r["cell"], r["salt"]): r["n"] for r in rows.groupBy("cell", "salt").agg(F.count("*").alias("n")).collect()}
+    equal = light.groupBy("doc_id", "size", "text_crc32").agg(F.count("*").alias("all"))
+    parted = equal.select("*", placed.alias("h"), F.explode(F.sequence(F.lit(0), F.floor((F.col("all") - 1) / PART))).alias("part"))
+    rows = materialise(
+        parted.select(
+            "doc_id", "size", "text_crc32", "h", "part", F.least(F.lit(PART), F.col("all") - F.col("part") * PART).alias("m"),
+            F.pmod(F.shiftrightunsigned("h", 20), F.lit(CELLS)).cast("int").alias("cell"),
+            F.pmod(F.xxhash64(F.lit("salt"), "doc_id", "size", "text_crc32", "part"), F.lit(SALTS)).cast("int").alias("salt"),
+        )
+    )
+    counted = {(r["cell"], r["salt"]): r["n"] for r in rows.groupBy("cell", "salt").agg(F.sum("m").alias("n")).collect()}
     nodes = ring(spark, shards, virtual)
     arcs, loads, before = [], [0] * len(nodes), []
     at = 0
@@ -93,9 +103,11 @@ def ring_shards(docs: DataFrame, shards: int = 24, virtual: int = VIRTUAL, slack
     # Both tables have bounded sizes: CELLS x SALTS rows, and a few ranges for each virtual node.
     starts = F.broadcast(spark.createDataFrame(before, "cell int, salt int, arc int, before long"))
     ranges = F.broadcast(spark.createDataFrame(plan, "arc int, from_rank long, n long, shard int, first_slot long"))
-    rank = F.row_number().over(Window.partitionBy("cell", "salt").orderBy("h", "doc_id", "text_crc32", "size")) - 1
-    ranked = rows.withColumn("rank", rank).join(starts, ["cell", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
-    found = ranked.join(ranges, (ranked["arc"] == ranges["arc"]) & (F.col("rank") >= F.col("from_rank")) & (F.col("rank") < F.col("from_rank") + F.col("n")))
+    order = Window.partitionBy("cell", "salt").orderBy("h", "doc_id", "text_crc32", "size", "part")
+    ranked = rows.withColumn("rank", F.sum("m").over(order.rowsBetween(Window.unboundedPreceding, 0)) - F.col("m")).join(starts, ["cell", "salt"]).withColumn("rank", F.col("rank") + F.col("before"))
+    met = ranked.join(ranges, (ranked["arc"] == ranges["arc"]) & (F.col("rank") < F.col("from_rank") + F.col("n")) & (F.col("rank") + F.col("m") > F.col("from_rank")))
+    low, high = F.greatest("rank", "from_rank"), F.least(F.col("rank") + F.col("m"), F.col("from_rank") + F.col("n"))
+    found = met.select("doc_id", "size", "text_crc32", "shard", "first_slot", "from_rank", F.explode(F.sequence(low, high - 1)).alias("rank"))
     law = F.lit("rows" if not slack else None).cast("string").alias("law")
     slot = (F.col("first_slot") + F.col("rank") - F.col("from_rank")).cast("long").alias("slot")
     return found.select("doc_id", "size", "text_crc32", law, "shard", slot, F.lit(None).cast("int").alias("grown_shard"))

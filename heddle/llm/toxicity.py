@@ -1,16 +1,20 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained: one on windows of ordinary texts, one on the spans of
-toxic texts that are over-represented there (runs of ``GRAM``-byte strings held by far more
-toxic than ordinary texts).  A window of a text is compressed once with the ordinary
-dictionary and once with the ordinary and the toxic one together; the bytes that the second
-saves are its distance.  Largest distances, how many windows pass thresholds, and the text's
-length go through logistic thresholds calibrated on the same labelled sample, weighted back
-to the classes' shares among all labels.
-
-Fitting reads a sample of at most ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` labelled documents (the
-smallest hashes of doc_id; a documented bound) on the driver.  Scoring is one pass over the
-documents without a shuffle: texts are cut into overlapping windows in numpy and whole batches of
+Two zstandard dictionaries of equal size are made, each from texts of its own class only to be read with: the
+ordinary one by zstandard's trainer from windows of ordinary texts, the toxic one from the passages of toxic
+texts that are over-represented there (runs of ``GRAM``-byte strings held by far more toxic texts than the
+ordinary ones let expect, cut down to their strongest part, rarest first, so that the
+commonest have the cheapest offsets).  A window of a text is compressed once with each; the bytes by which
+the toxic dictionary does better are its distance.  Each window stands behind a short lead that
+both dictionaries end with: without it zstandard would store most windows raw, and their lengths would say nothing.
+The largest distances of a text, how many of its windows reach each threshold, and its
+length go through a logistic calibration, weighted back to the classes' shares among all
+labels.  The calibration sees each sample text only with dictionaries made without its fold.
+
+Fitting reads a bounded sample of labelled documents on the driver: the smallest hashes of doc_id, at most
+``TOXIC_DOCS`` and ``ORDINARY_DOCS`` of them, none over ``common.SAMPLE_TEXT`` bytes, ``SAMPLE_BYTES`` of each class
+together.  Of sample texts that repeat each other's shingles one goes into the dictionaries.  Scoring is one pass over
+the documents without a shuffle: texts are cut into overlapping windows in numpy and whole batches of
 windows go to zstandard in one call.
 
 Defined results: null and empty texts have one empty window and so the score of a text with
@@ -21,6 +25,7 @@ an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,48 +34,38 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.wordgrams import chunks
+from heddle.llm.common import held_out, sample_texts
+from heddle.llm.wordgrams import chunks, shingle_sets
 
-WINDOW, STRIDE = 32, 16
+WINDOW, STRIDE = 20, 10
 GRAM = 5
-TOXIC_DOCS, ORDINARY_DOCS = 2000, 4000
-ORDINARY_BYTES, TOXIC_BYTES = 192 << 10, 2 << 10
-WINDOW_SAMPLE = 60_000
-LEAST_Z, LEAST_RATIO = 12.0, 4.0
-PASS = (4, 6, 8)  # distances whose windows are counted
+TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 16 << 20
+DICTIONARY = 1 << 10  # bytes of each
+LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 2.5, 4, 0.02
+FOLDS = 4
+LARGEST, REACHED = 5, (1, 2, 3, 4, 5, 6)  # distances told one by one; thresholds whose windows are counted
+LEAD = bytes(range(1, 9)) + bytes(range(14, 22))
 
 _FRAME = {"write_content_size": 0, "write_checksum": 0, "write_dict_id": 0, "format": zstandard.FORMAT_ZSTD1_MAGICLESS}
 
 
-def _parameters() -> zstandard.ZstdCompressionParameters:
-    return zstandard.ZstdCompressionParameters(
+def _compressor(content: bytes) -> zstandard.ZstdCompressor:
+    parameters = zstandard.ZstdCompressionParameters(
         window_log=18, chain_log=17, hash_log=17, search_log=1, min_match=4, target_length=0, strategy=zstandard.STRATEGY_DFAST, **_FRAME
     )
-
-
-def _compressor(content: bytes) -> zstandard.ZstdCompressor:
-    parameters = _parameters()
-    trained = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    trained = zstandard.ZstdCompressionDict(content + LEAD, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
     trained.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=trained, compression_params=parameters)
 
 
-def _trained(samples: list[bytes], size: int) -> bytes:
-    """A dictionary's content; samples too few to train on are the dictionary themselves."""
-    try:
-        return zstandard.train_dictionary(size, samples).as_bytes()[-size:]
-    except zstandard.ZstdError:
-        return (b"\n".join(samples) or b"\n" * 8)[-size:].ljust(8, b"\n")
-
-
 def _folded(text: str | None) -> bytes:
     return (text or "").lower().encode("utf-8", "surrogatepass")
 
 
 def _spans(n: int) -> np.ndarray:
     """(start, length) of a text's windows."""
-    start = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE, dtype=np.uint64)
-    return np.stack([start, np.minimum(np.uint64(WINDOW), np.uint64(n) - np.minimum(start, np.uint64(n)))], axis=1)
+    start = np.arange(0, max(1, n - WINDOW + STRIDE), STRIDE, dtype=np.int64)
+    return np.stack([start, np.clip(n - start, 0, WINDOW)], axis=1)
 
 
 def _grams(raw: bytes) -> np.ndarray:
@@ -85,57 +80,98 @@ def _grams(raw: bytes) -> np.ndarray:
 def _held_by(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """All grams with the number of texts that hold them."""
     each = [np.unique(_grams(t)) for t in texts]
-    return np.unique(np.concatenate(each), return_counts=True)
+    return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+
+
+def _count(held: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
+    known, n = held
+    if not len(known):
+        return np.zeros(len(grams))
+    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
+    return np.where(known[at] == grams, n[at], 0)
 
 
-def _over_represented(toxic: list[bytes], ordinary: list[bytes]) -> list[bytes]:
-    grams, n = _held_by(toxic)
-    others, m = _held_by(ordinary)
-    at = np.minimum(np.searchsorted(others, grams), max(0, len(others) - 1))
-    expected = (np.where(others[at] == grams, m[at], 0) if len(others) else np.zeros(len(grams))) + 0.5
-    expected = expected * len(toxic) / len(ordinary)
+def distinct_texts(texts: list[str]) -> np.ndarray:
+    """Which texts mostly hold shingles that no text before them has."""
+    rows = list(shingle_sets(pa.array(texts, pa.string())))
+    sizes = np.array([len(values) for _, values in rows])
+    if not sizes.sum():
+        return np.ones(len(texts), bool)
+    _, first = np.unique(np.concatenate([values for _, values in rows]), return_index=True)
+    own = np.bincount(np.repeat(np.arange(len(rows)), sizes)[first], minlength=len(rows))
+    return own >= 0.7 * sizes
+
+
+def ordinary_dictionary(texts: list[bytes]) -> bytes:
+    """What zstandard trains on windows of ordinary texts; windows too few to train on are the dictionary themselves."""
+    windows = [t[a : a + n] for t in texts for a, n in _spans(len(t)).tolist()]
+    try:
+        return zstandard.train_dictionary(DICTIONARY, windows).as_bytes()[-DICTIONARY:]
+    except zstandard.ZstdError:
+        return b"\n".join(windows)[-DICTIONARY:].ljust(8, b"\n")
+
+
+def toxic_dictionary(texts: list[bytes], ordinary: list[tuple[np.ndarray, np.ndarray]], ordinary_texts: int) -> bytes:
+    """The over-represented passages of toxic texts; ``ordinary``: grams with the number of ordinary texts that hold them."""
+    grams, n = _held_by(texts)
+    expected = (sum(_count(held, grams) for held in ordinary) + 0.5) * len(texts) / max(1, ordinary_texts)
     z = (n - expected) / np.sqrt(expected)
-    marked = (z >= min(LEAST_Z, 0.5 * z.max())) & (n >= LEAST_RATIO * expected) if len(z) else np.zeros(0, bool)
-    chosen = grams[marked]
-    spans = []
-    for text in toxic:
-        hit = np.flatnonzero(np.isin(_grams(text), chosen))
-        edge = np.zeros(len(text) + 2, np.int32)
-        np.add.at(edge, hit, 1)
-        np.add.at(edge, hit + GRAM, -1)
-        inside = np.diff(np.concatenate([[0], np.cumsum(edge) > 0]).astype(np.int8))
-        spans += [text[a:b] for a, b in zip(np.flatnonzero(inside == 1), np.flatnonzero(inside == -1))]
-    return spans
+    marked = (z >= LEAST_Z) & (n >= LEAST_RATIO * expected) & (n >= max(LEAST_TEXTS, LEAST_SHARE * len(texts)))
+    grams, z = grams[marked], z[marked]
+    found: Counter[bytes] = Counter()
+    for text in texts:
+        here = _grams(text)
+        if not len(here) or not len(grams):
+            continue
+        at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
+        weight = np.where(grams[at] == here, z[at], 0.0)
+        place = np.flatnonzero(weight)
+        for run in np.split(place, np.flatnonzero(np.diff(place) > 1) + 1):
+            if len(run):
+                run = run[weight[run] >= weight[run].max() / 2]
+                found[text[run[0] : run[-1] + GRAM]] += 1
+    kept, covered, size = [], set(), 0
+    for passage, texts_of in sorted(found.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
+        own = {passage[i : i + GRAM] for i in range(len(passage) - GRAM + 1)}
+        if texts_of >= max(3, LEAST_SHARE / 2 * len(texts)) and size + len(passage) <= DICTIONARY and not own <= covered:
+            covered |= own
+            kept.append(passage)
+            size += len(passage)
+    return b"".join(reversed(kept)).ljust(8, b"\n")
 
 
 class Distance:
     """Features of texts; ``ordinary`` and ``toxic`` are the dictionaries' contents."""
 
     def __init__(self, ordinary: bytes, toxic: bytes) -> None:
-        self.without, self.with_toxic = _compressor(ordinary), _compressor(ordinary + toxic)
+        self.compressors = _compressor(ordinary), _compressor(toxic)
 
-    def features(self, texts: list[bytes]) -> np.ndarray:
+    def of_windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(distance of every window, number of windows of each text)."""
         spans = [_spans(len(t)) for t in texts]
         counts = np.array([len(s) for s in spans])
-        starts = np.cumsum([0, *(len(t) for t in texts[:-1])]).astype(np.uint64)
         cuts = np.concatenate(spans)
-        cuts[:, 0] += np.repeat(starts, counts)
-        whole = b"".join(texts)
-        empty = cuts[:, 1] == 0
-        saved = np.zeros(len(cuts), np.int64)
-        if (~empty).any():
-            segments = zstandard.BufferWithSegments(whole, np.ascontiguousarray(cuts[~empty]).tobytes())
-            a, b = (c.multi_compress_to_buffer(segments) for c in (self.without, self.with_toxic))
-            saved[~empty] = np.fromiter(map(len, a), np.int64, len(a)) - np.fromiter(map(len, b), np.int64, len(b))
-        first = np.concatenate([[0], np.cumsum(counts)])
-        out = np.zeros((len(texts), 5 + len(PASS) + 1))
+        cuts[:, 0] += np.repeat(np.cumsum([0, *(len(t) for t in texts[:-1])]), counts)
+        whole = np.frombuffer(b"".join(texts) + b"\0" * WINDOW, np.uint8)
+        led = np.empty((len(cuts), len(LEAD) + WINDOW), np.uint8)
+        led[:, : len(LEAD)] = np.frombuffer(LEAD, np.uint8)
+        led[:, len(LEAD) :] = whole[cuts[:, :1] + np.arange(WINDOW)]
+        segments = np.stack([np.arange(len(cuts)) * led.shape[1], cuts[:, 1] + len(LEAD)], axis=1).astype(np.uint64)
+        buffer = zstandard.BufferWithSegments(led.tobytes(), segments.tobytes())
+        a, b = (np.fromiter(map(len, out), np.int64, len(out)) for out in (c.multi_compress_to_buffer(buffer) for c in self.compressors))
+        return a - b, counts
+
+    def features(self, texts: list[bytes]) -> np.ndarray:
+        saved, counts = self.of_windows(texts)
+        first = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(texts)), counts)
         order = np.lexsort((-saved, owner))
-        for k in range(5):
+        out = np.zeros((len(texts), LARGEST + len(REACHED) + 1))
+        for k in range(LARGEST):
             some = counts > k
-            out[some, k] = saved[order[first[:-1][some] + k]]
-        for k, least in enumerate(PASS):
-            out[:, 5 + k] = np.log1p(np.bincount(owner, saved >= least, len(texts)))
+            out[some, k] = saved[order[first[some] + k]]
+        for k, least in enumerate(REACHED):
+            out[:, LARGEST + k] = np.log1p(np.bincount(owner, saved >= least, len(texts)))
         out[:, -1] = np.log(counts)
         return out
 
@@ -149,13 +185,29 @@ class Model:
         if not toxic or not ordinary:
             return
         t, o = [_folded(x) for x in toxic], [_folded(x) for x in ordinary]
-        windows = [x[int(a) : int(a + n)] for x in o for a, n in _spans(len(x)).tolist()]
-        chosen = np.random.default_rng(0).permutation(len(windows))[:WINDOW_SAMPLE]
-        self.ordinary = _trained([windows[i] for i in chosen], ORDINARY_BYTES)
-        self.toxic = _trained([s for s in _over_represented(t, o) if len(s) >= 4], TOXIC_BYTES)
-        x = np.concatenate([Distance(self.ordinary, self.toxic).features(part[i : i + 200]) for part in (t, o) for i in range(0, len(part), 200)])
-        y = np.repeat([1.0, 0.0], [len(t), len(o)])
-        weight = np.where(y == 1, share / len(t), (1 - share) / len(o)) * len(y)
+        new_t, new_o = distinct_texts(toxic), distinct_texts(ordinary)
+        fold_t, fold_o = np.arange(len(t)) % FOLDS, np.arange(len(o)) % FOLDS
+        learned_o = [[x for x, new, f in zip(o, new_o, fold_o) if new and f == k] for k in range(FOLDS)]
+        held = [_held_by(part) for part in learned_o]
+        self.ordinary = ordinary_dictionary([x for part in learned_o for x in part])
+
+        def toxic_without(fold: int) -> bytes:
+            rest = [k for k in range(FOLDS) if k != fold]
+            return toxic_dictionary([x for x, new, f in zip(t, new_t, fold_t) if new and f != fold], [held[k] for k in rest], sum(len(learned_o[k]) for k in rest))
+
+        self.toxic = toxic_without(FOLDS)
+        x, y = [], []
+        for k in range(FOLDS):
+            distance = Distance(self.ordinary, toxic_without(k))
+            for label, texts, fold in ((1.0, t, fold_t), (0.0, o, fold_o)):
+                part = [a for a, f in zip(texts, fold) if f == k]
+                for i in range(0, len(part), 200):
+                    x.append(distance.features(part[i : i + 200]))
+                y += [label] * len(part)
+        self._calibrate(np.concatenate(x), np.array(y), share)
+
+    def _calibrate(self, x: np.ndarray, y: np.ndarray, share: float) -> None:
+        weight = np.where(y == 1, share / y.sum(), (1 - share) / (1 - y).sum()) * len(y)
         self.mean, self.spread = x.mean(axis=0), x.std(axis=0) + 1e-9
         z = np.column_stack([(x - self.mean) / self.spread, np.ones(len(x))])
         w = np.zeros(z.shape[1])
@@ -173,24 +225,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z @ self.weights, -30, 30)))
 
 
-def held_out(remainder: int, modulus: int, id_col: str = "doc_id"):
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % modulus == remainder, F.lit(False))
-
-
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, is_held_out, limits: dict[int, int]) -> tuple[dict[int, list[str]], dict[int, int]]:
-    """Texts and numbers of labelled, not held-out documents by label; at most ``limits`` texts each."""
-    known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~is_held_out).groupBy("doc_id").agg(F.max(label).alias("_label"))
-    totals = {int(r["_label"]): int(r["n"]) for r in known.groupBy("_label").agg(F.count("*").alias("n")).collect()}
-    order = [F.xxhash64("doc_id"), F.col("doc_id")]
-    parts = [known.where(F.col("_label") == v).orderBy(*order).limit(n) for v, n in limits.items()]
-    chosen = parts[0].unionByName(parts[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "_label", "text").toPandas().sort_values(["doc_id", "text"], na_position="first")
-    rows = rows.drop_duplicates("doc_id")
-    return {v: rows.loc[rows["_label"] == v, "text"].tolist() for v in limits}, totals
-
-
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
-    texts, totals = labelled_sample(docs, labels, "toxic", held_out(0, 5), {1: TOXIC_DOCS, 0: ORDINARY_DOCS})
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(0, 5)).groupBy("doc_id").agg(F.max("toxic").alias("label"))
+    totals = {int(r["label"]): int(r["n"]) for r in known.groupBy("label").agg(F.count("*").alias("n")).collect()}
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    chosen = known.where("label = 1").orderBy(*order).limit(TOXIC_DOCS).unionByName(known.where("label = 0").orderBy(*order).limit(ORDINARY_DOCS))
+    rows = sample_texts(docs, chosen, SAMPLE_BYTES)
+    texts = {v: rows.loc[rows["label"] == v, "text"].tolist() for v in (0, 1)}
     return Model(texts[1], texts[0], totals.get(1, 0) / max(1, totals.get(1, 0) + totals.get(0, 0)))
 
 

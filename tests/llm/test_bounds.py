@@ -22,7 +22,7 @@ def test_a_link_with_unlike_sketches_is_likely():
 
 
 def test_groups_of_long_texts_are_compared_in_blocks(spark):
-    bucket = spark.createDataFrame([(1, None, r, 3, 40_000_000) for r in range(3)], "bucket long, parent long, rep long, m long, hashes long")
+    bucket = spark.createDataFrame([(1, [], r, 3, 40_000_000) for r in range(3)], "bucket long, path array<long>, rep long, m long, hashes long")
     assert jaccard_join._in_blocks(bucket, 8192).agg(F.max("two")).first()[0] > 0
     rows = corpus(5, 20, 9, 0.3)
     docs = spark.createDataFrame([(d, t, 1, "x") for d, t in rows], DDL).repartition(5)
