@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm import decontaminate, exact_dedup, jaccard_join, pack, toxicity
-from heddle.llm.common import materialise, table
+from heddle.llm.common import forget, materialise, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,9 +51,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages; what a stage has written for itself goes once its result is written."""
     docs = table(spark, sf_dir, "documents")
     for k, (_, stage) in enumerate(STAGES):
+        mark = written()
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = materialise(docs)
+            forget(mark, but=1)
     return docs
