@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from heddle.sources.store import materialise
 from heddle.sources.views import cells, edges, table
 
 MOST_HOPS = 25
@@ -18,13 +19,11 @@ def reach(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFram
     Breadth first: each pass joins only the newest cells and takes away those seen before, so that cycles
     end and nothing is expanded twice.  At most ``hops`` passes run;
     fewer when nothing is new."""
-    seen = seeds.select("cell", F.lit(0).alias("hop")).distinct()
-    steps = steps.persist()
+    seen, steps = materialise(seeds.select("cell", F.lit(0).alias("hop")).distinct()), materialise(steps)
     front = seen
     for hop in range(1, hops + 1):
         found = front.join(steps, F.col("cell") == F.col("from_cell")).select(F.col("to_cell").alias("cell")).distinct()
-        front = found.join(seen, "cell", "left_anti").select("cell", F.lit(hop).alias("hop"))
-        front = front.persist()
+        front = materialise(found.join(seen, "cell", "left_anti").select("cell", F.lit(hop).alias("hop")))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
@@ -38,20 +37,15 @@ def g02_prerequisite_closure(spark, sf_dir):
     return reach(cells(spark, sf_dir).where("cell % 97 = 0").select("cell"), steps, 4)
 
 
-def settled(df: DataFrame) -> DataFrame:
-    """``df`` computed, without its lineage: else the plan of a loop doubles with each pass."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df.localCheckpoint()
-
-
 def selected_closure(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFrame:
     """(cell, hop, origin): as ``reach``, with the seed that each cell is there for: of those that lead to it in the
     fewest hops the smallest; a seed is its own."""
     seen = seeds.select("cell", F.lit(0).alias("hop"), F.col("cell").alias("origin")).distinct()
-    seen, steps = settled(seen), steps.persist()
+    seen, steps = materialise(seen), materialise(steps)
     front = seen
     for hop in range(1, hops + 1):
         found = front.join(steps, F.col("cell") == F.col("from_cell")).groupBy(F.col("to_cell").alias("cell")).agg(F.min("origin").alias("origin"))
-        front = settled(found.join(seen, "cell", "left_anti").select("cell", F.lit(hop).alias("hop"), "origin"))
+        front = materialise(found.join(seen, "cell", "left_anti").select("cell", F.lit(hop).alias("hop"), "origin"))
         if front.isEmpty():
             break
         seen = seen.unionByName(front)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heddle.functions.columns import half_even, share
+from heddle.sources.store import materialise
 from heddle.sources.views import model_calls, prices, product_events, spans, table
 
 
@@ -106,21 +107,31 @@ def o08_trace_nodes(spark, sf_dir):
 
 
 def tree_depths(nodes: DataFrame, limit: int = 8) -> DataFrame:
-    """node_id, trace_id, depth of each node; a node whose parent is missing is a root.  One equi-join a level;
-    nodes deeper than ``limit`` are left out."""
-    nodes = nodes.select("node_id", "parent_id", "trace_id").persist()
+    """node_id, trace_id, depth of each node; a node whose parent is missing is a root.
+
+    One equi-join a level with what is left of the nodes; each level is written once, so that the next doesn't make it
+    again.  Nodes deeper than ``limit`` are left out here and counted by ``truncated_children``."""
+    nodes = materialise(nodes.select("node_id", "parent_id", "trace_id"))
     known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
-    roots = nodes.join(known, "parent_id", "left_anti").select("node_id", "trace_id", F.lit(0).alias("depth"))
-    levels, level = [roots], roots
+    level = materialise(nodes.join(known, "parent_id", "left_anti").select("node_id", "trace_id", F.lit(0).alias("depth")))
+    levels = [level]
     for depth in range(1, limit + 1):
         above = level.select(F.col("node_id").alias("parent_id"))
-        level = nodes.join(above, "parent_id").select("node_id", "trace_id", F.lit(depth).alias("depth"))
+        level = materialise(nodes.join(above, "parent_id").select("node_id", "trace_id", F.lit(depth).alias("depth")))
+        if level.isEmpty():
+            break
         levels.append(level)
     return reduce(DataFrame.unionByName, levels)
 
 
+def truncated_children(nodes: DataFrame, limit: int = 8) -> DataFrame:
+    """node_id, truncated: how many children of a node at the depth limit the tree doesn't show."""
+    deepest = tree_depths(nodes, limit).where(F.col("depth") == limit).select(F.col("node_id").alias("parent_id"))
+    return nodes.join(deepest, "parent_id").groupBy(F.col("parent_id").alias("node_id")).agg(F.count("*").alias("truncated"))
+
+
 def o10_trace_tree(spark, sf_dir):
-    return tree_depths(trace_nodes(spark, sf_dir), 3).groupBy("trace_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), F.count_if(F.col("depth") == 1).alias("first_level"))
+    return tree_depths(trace_nodes(spark, sf_dir)).groupBy("trace_id").agg(F.count("*").alias("nodes"), F.max("depth").alias("deepest"), F.count_if(F.col("depth") == 1).alias("first_level"))
 
 
 def o11_waterfall(spark, sf_dir, least_width: float = 0.8):

@@ -1,19 +1,20 @@
 """Structured Streaming versions of the rollups: each reads the events as a stream.
 
-The registered queries run a stream over all files that are there (``availableNow``) into a table in
-memory and return it; in production the same transformations write with a checkpoint location."""
+The registered queries run a stream over all files that are there (``availableNow``) into Parquet files in the shared
+folder, with a checkpoint location, and return what was written: no row passes through the driver."""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heddle.functions.columns import iso, ref_week
+from heddle.sources.store import fresh_path
 from heddle.sources.views import table
 
 LATE = "2 hours"
@@ -28,12 +29,23 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def collected(stream: DataFrame, mode: str) -> DataFrame:
-    """Runs a stream over what is there and returns its result table."""
+    """Runs a stream over what is there and returns its result table.
+
+    Each micro-batch is written to a folder of its number, so that one that is run again replaces itself; in the mode
+    ``complete`` the last one is the result."""
     spark = stream.sparkSession
-    name = "heddle_" + uuid.uuid4().hex
-    query = stream.writeStream.outputMode(mode).format("memory").queryName(name).trigger(availableNow=True).start()
+    path, state = fresh_path(spark), fresh_path(spark)
+    spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch_no=-1")
+    last = [-1]
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
+        last[0] = number
+
+    query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(name)
+    rows = spark.read.schema(stream.schema).parquet(f"{path}/batch_no={last[0]}" if mode == "complete" else f"{path}/batch_no=*")
+    return rows.select(*stream.columns)
 
 
 def s01_daily(events: DataFrame) -> DataFrame:
@@ -74,68 +86,98 @@ def s09_trailing_actives(events: DataFrame) -> DataFrame:
     return events.withWatermark("at", LATE).groupBy(F.window("at", "7 days", "1 day").alias("w")).agg(F.approx_count_distinct("user_id", 0.01).alias("users"))
 
 
+def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    """All rows that a micro-batch has of one key, by time and id.  Arrow hands a key over in several chunks that are not
+    in order, so that sorting each alone would be wrong; rows hold a time, a number and a flag only."""
+    return pd.concat(list(batches), ignore_index=True).sort_values(["at", "event_id"], ignore_index=True)
+
+
+def slim(events: DataFrame, key: str, what: Column) -> DataFrame:
+    return events.select(key, "at", "event_id", what.cast("int").alias("flag"))
+
+
 BREAKER_OUT = "project_id string, event_id long, errors int"
 
 
 def _breaker(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Counts errors in a row; a third one opens the breaker and is told."""
-    (count,) = state.get if state.exists else (0,)
-    out = []
-    for batch in batches:
-        for at, event_id, kind in batch.sort_values(["at", "event_id"])[["at", "event_id", "event_type"]].itertuples(index=False):
-            count = count + 1 if kind == "error" else 0
-            if count == 3:
-                out.append((key[0], event_id, count))
-                count = 0
-    state.update((count,))
-    yield pd.DataFrame(out, columns=["project_id", "event_id", "errors"])
+    rows = in_order(batches)
+    error = rows["flag"].to_numpy() == 1
+    before = state.get[0] if state.exists else 0
+    run = np.cumsum(~error)  # 0 until the first row that is no error: that run goes on from before
+    total = np.cumsum(error)
+    start = np.maximum.accumulate(np.where(error, 0, total))
+    count = total - start + np.where(run == 0, before, 0)
+    hit = error & (count % 3 == 0)
+    state.update((int(count[-1] % 3) if error[-1] else 0,))
+    yield pd.DataFrame({"project_id": key[0], "event_id": rows["event_id"][hit], "errors": np.int32(3)})
 
 
 def s11_breaker(events: DataFrame) -> DataFrame:
     """Three errors in a row of a project, with one counter of state for each project."""
-    return events.groupBy("project_id").applyInPandasWithState(_breaker, BREAKER_OUT, "count int", "append", GroupStateTimeout.NoTimeout)
+    flagged = slim(events, "project_id", F.col("event_type") == "error")
+    return flagged.groupBy("project_id").applyInPandasWithState(_breaker, BREAKER_OUT, "count int", "append", GroupStateTimeout.NoTimeout)
 
 
 CACHE_OUT = "user_id string, event_id long, result string"
-HOURS_24 = pd.Timedelta(hours=24)
+HOURS_24 = np.timedelta64(24, "h")
 
 
 def _cache(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """An entry lives for 24 hours after it was stored (purchase); a lookup (click) hits, or says why not."""
-    stored = pd.Timestamp(state.get[0], unit="us") if state.exists else None
-    out = []
-    for batch in batches:
-        for at, event_id, kind in batch.sort_values(["at", "event_id"])[["at", "event_id", "event_type"]].itertuples(index=False):
-            if kind == "purchase":
-                stored = at
-            elif kind == "click":
-                out.append((key[0], event_id, "absent" if stored is None else "hit" if at - stored <= HOURS_24 else "expired"))
-    if stored is not None:
-        state.update((int(stored.value // 1000),))
-    yield pd.DataFrame(out, columns=["user_id", "event_id", "result"])
+    """An entry lives for 24 hours after it was stored (flag 1); a lookup (flag 2) hits, or says why not."""
+    rows = in_order(batches)
+    stored = rows["at"].where(rows["flag"] == 1).ffill()
+    if state.exists:
+        stored = stored.fillna(pd.Timestamp(state.get[0], unit="us"))
+    result = np.where(stored.isna(), "absent", np.where(rows["at"] - stored <= HOURS_24, "hit", "expired"))
+    if not pd.isna(stored.iloc[-1]):
+        state.update((int(stored.iloc[-1].value // 1000),))
+    asked = (rows["flag"] == 2).to_numpy()
+    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"][asked], "result": result[asked]})
 
 
 def s10_cache(events: DataFrame) -> DataFrame:
-    """Cache lookups with a time to live, from one time of state for each user."""
-    return events.groupBy("user_id").applyInPandasWithState(_cache, CACHE_OUT, "stored long", "append", GroupStateTimeout.NoTimeout)
+    """Cache lookups with a time to live, from one time of state for each user: purchases store, clicks look up."""
+    kinds = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2)
+    rows = slim(events.where(F.col("event_type").isin("purchase", "click")), "user_id", kinds)
+    return rows.groupBy("user_id").applyInPandasWithState(_cache, CACHE_OUT, "stored long", "append", GroupStateTimeout.NoTimeout)
 
 
 def _last_ten(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
     """Alerts while four or more of a project's last ten events are errors."""
-    last = list(state.get[0]) if state.exists else []
-    out = []
-    for batch in batches:
-        for event_id, kind in batch.sort_values(["at", "event_id"])[["event_id", "event_type"]].itertuples(index=False):
-            last = [*last[-9:], int(kind == "error")]
-            if sum(last) >= 4:
-                out.append((key[0], event_id, sum(last)))
-    state.update((last,))
-    yield pd.DataFrame(out, columns=["project_id", "event_id", "errors"])
+    rows = in_order(batches)
+    before = np.array(state.get[0] if state.exists else [], dtype=np.int64)[-9:]
+    flags = np.concatenate([before, rows["flag"].to_numpy(dtype=np.int64)])
+    total = np.concatenate([[0], np.cumsum(flags)])
+    at = np.arange(len(before), len(flags)) + 1
+    errors = total[at] - total[np.maximum(at - 10, 0)]
+    state.update((flags[-9:].tolist(),))
+    hit = errors >= 4
+    yield pd.DataFrame({"project_id": key[0], "event_id": rows["event_id"][hit], "errors": errors[hit].astype(np.int32)})
 
 
 def s12_alerts(events: DataFrame) -> DataFrame:
-    """Rolling alerts, from a list of ten flags of state for each project."""
-    return events.groupBy("project_id").applyInPandasWithState(_last_ten, BREAKER_OUT, "last array<int>", "append", GroupStateTimeout.NoTimeout)
+    """Rolling alerts, from a list of nine flags of state for each project."""
+    flagged = slim(events, "project_id", F.col("event_type") == "error")
+    return flagged.groupBy("project_id").applyInPandasWithState(_last_ten, BREAKER_OUT, "last array<int>", "append", GroupStateTimeout.NoTimeout)
+
+
+def s03_recomputed(spark: SparkSession, sf_dir: str, since: str = "2024-01-15") -> DataFrame:
+    """The daily rollup after late data: days before ``since`` from the stream, later ones recomputed from the table."""
+    streamed = _day(collected(s01_daily(event_stream(spark, sf_dir)), "complete")).where(F.col("day") < since)
+    e = table(spark, sf_dir, "events")
+    late = e.where(F.to_date("ts") >= F.lit(since)).groupBy("event_type", iso(F.to_date("ts")).alias("day"))
+    return streamed.unionByName(late.agg(F.count("*").alias("events"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k_sum")))
+
+
+def s09_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact users of the trailing 7 and 30 days of each day: the stream keeps one row of state for each user and day."""
+    seen = collected(event_stream(spark, sf_dir).groupBy("user_id", F.to_date("at").alias("d")).agg(F.count("*").alias("n")), "complete")
+    days = seen.select("d").distinct()
+    spread = seen.select("user_id", "d", F.explode(F.sequence("d", F.date_add("d", 29))).alias("day"))
+    met = spread.join(F.broadcast(days.withColumnRenamed("d", "day")), "day")  # one row for each day
+    last = met.groupBy("day", "user_id").agg(F.max("d").alias("d"))
+    return last.groupBy(iso(F.col("day")).alias("day")).agg(F.count_if(F.date_diff("day", "d") < 7).alias("users_7"), F.count("*").alias("users_30"))
 
 
 def _day(df: DataFrame) -> DataFrame:
@@ -150,6 +192,8 @@ QUERIES = {
     "s06_conversion_stream": lambda spark, sf_dir: collected(s06_conversions(event_stream(spark, sf_dir)), "append").groupBy("user_id").agg(F.countDistinct("event_id").alias("signups"), F.count("*").alias("purchases")),
     "s08_latest_stream": lambda spark, sf_dir: collected(s08_latest(event_stream(spark, sf_dir)), "complete"),
     "s09_actives_stream": lambda spark, sf_dir: _day(collected(s09_trailing_actives(event_stream(spark, sf_dir)), "complete")),
+    "s03_recomputed_days": s03_recomputed,
+    "s09_exact_actives": s09_exact,
     "s10_cache_stream": lambda spark, sf_dir: collected(s10_cache(event_stream(spark, sf_dir)), "append").groupBy("user_id", "result").agg(F.count("*").alias("lookups")),
     "s12_alert_stream": lambda spark, sf_dir: collected(s12_alerts(event_stream(spark, sf_dir)), "append"),
     "s11_breaker_stream": lambda spark, sf_dir: collected(s11_breaker(event_stream(spark, sf_dir)), "append"),
@@ -159,6 +203,10 @@ _WEEK = "strftime(CASE WHEN isodow(ts) = 1 THEN ts::DATE - 7 ELSE date_trunc('we
 _E = "e AS (SELECT event_id, ts, user_id::VARCHAR AS user_id, event_type, json_extract_string(props, '$.k')::INT AS k, 'p' || ((user_id * 7 + json_extract_string(props, '$.k')::INT % 5) % 60) AS project_id FROM events)"
 SQL = {
     "s01_daily_stream": f"WITH {_E} SELECT event_type, count(*) AS events, sum(k)::BIGINT AS k_sum, strftime(ts, '%Y-%m-%d') AS day FROM e GROUP BY ALL",
+    "s03_recomputed_days": f"WITH {_E} SELECT event_type, count(*) AS events, sum(k)::BIGINT AS k_sum, strftime(ts, '%Y-%m-%d') AS day FROM e GROUP BY ALL",
+    "s09_exact_actives": """WITH u AS (SELECT DISTINCT user_id, ts::DATE AS d FROM events), days AS (SELECT DISTINCT d AS day FROM u)
+        SELECT strftime(day, '%Y-%m-%d') AS day, count(DISTINCT CASE WHEN d > day - 7 THEN user_id END) AS users_7, count(DISTINCT user_id) AS users_30
+        FROM days JOIN u ON d <= day AND d > day - 30 GROUP BY 1""",
     "s02_weekly_stream": f"WITH {_E} SELECT {_WEEK} AS week, count(*) AS events, sum(k)::BIGINT AS k_sum FROM e GROUP BY 1",
     "s04_distinct_stream": "SELECT event_type, count(*) AS events, count(DISTINCT event_id) AS ids FROM events GROUP BY 1",
     "s05_session_stream": f"""WITH {_E}, g AS (SELECT *, CASE WHEN epoch_us(ts) - epoch_us(lag(ts) OVER w) < 3 * 3600 * 1000000::BIGINT THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY project_id ORDER BY ts)),

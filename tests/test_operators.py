@@ -115,6 +115,13 @@ def test_tree_depths_treats_a_missing_parent_as_root(spark):
     assert {r["node_id"]: r["depth"] for r in ledger.tree_depths(nodes).collect()} == {"a": 0, "b": 1, "c": 2, "d": 0}
 
 
+def test_deep_trees_and_their_cut_children(spark):
+    nodes = spark.createDataFrame([(str(i), str(i - 1), "t") for i in range(1, 12)] + [("0", None, "t"), ("x", "8", "t")], "node_id string, parent_id string, trace_id string")
+    depths = {r["node_id"]: r["depth"] for r in ledger.tree_depths(nodes, 20).collect()}
+    assert depths == {str(i): i for i in range(12)} | {"x": 9}
+    assert {r["node_id"]: r["truncated"] for r in ledger.truncated_children(nodes).collect()} == {"8": 2}
+
+
 def test_secrets_are_masked(spark):
     text = "call sk-abcdefgh1234 or +49 151 2345678 api_key = hunter2, see /home/someone/file"
     out = one(spark, ledger.redact(F.col("v")), v=text)

@@ -24,3 +24,65 @@ def test_repeated_ids_are_dropped_within_the_watermark(spark, tmp_path):
 @pytest.mark.parametrize("name", ["s10_cache_stream", "s12_alert_stream"])
 def test_state_gives_rows(spark, name):
     assert jobs.QUERIES[name](spark, DATA).count() > 0
+
+
+def shuffled_events(spark, folder, n=40_000):
+    import datetime
+    import random
+
+    from pyspark.sql import functions as F
+
+    rng = random.Random(6)
+    start = datetime.datetime(2024, 1, 1)
+    rows = [(i, str(start + datetime.timedelta(seconds=40 * i)), 1, rng.choice(["error", "view", "purchase", "click"]), 1.0, '{"k": 1}') for i in range(n)]
+    rng.shuffle(rows)
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, event_type string, value double, props string")
+    df.withColumn("ts", F.to_timestamp("ts")).coalesce(1).write.parquet(f"{folder}/events.parquet")
+    return sorted(rows)
+
+
+def test_one_key_with_many_events(spark, tmp_path):
+    rows = shuffled_events(spark, str(tmp_path))
+    breaker, alerts, lookups, run, last, stored = set(), {}, {}, 0, [], None
+    for i, at, _, kind, _, _ in rows:
+        run = run + 1 if kind == "error" else 0
+        if run == 3:
+            breaker.add(i)
+            run = 0
+        last = [*last[-9:], int(kind == "error")]
+        if sum(last) >= 4:
+            alerts[i] = sum(last)
+        if kind == "purchase":
+            stored = i
+        elif kind == "click":
+            lookups[i] = "absent" if stored is None else "hit" if 40 * (i - stored) <= 24 * 3600 else "expired"
+    stream = lambda: jobs.event_stream(spark, str(tmp_path))
+    assert {r["event_id"] for r in jobs.collected(jobs.s11_breaker(stream()), "append").collect()} == breaker
+    assert {r["event_id"]: r["errors"] for r in jobs.collected(jobs.s12_alerts(stream()), "append").collect()} == alerts
+    assert {r["event_id"]: r["result"] for r in jobs.collected(jobs.s10_cache(stream()), "append").collect()} == lookups
+
+
+class Kept:
+    """State of one key between calls."""
+
+    def __init__(self):
+        self.value = None
+
+    exists = property(lambda self: self.value is not None)
+    get = property(lambda self: self.value)
+
+    def update(self, value):
+        self.value = value
+
+
+def test_state_goes_on_in_the_next_batch():
+    import pandas as pd
+
+    flags = [1, 1, 0, 1, 1, 1, 1, 1, 1, 0, 1, 1, 1]
+    rows = pd.DataFrame({"at": pd.date_range("2024-01-01", periods=13, freq="h"), "event_id": range(13), "flag": flags})
+    for function in (jobs._breaker, jobs._last_ten):
+        whole = pd.concat(function(("p",), iter([rows]), Kept()))
+        for cut in range(1, 13):
+            state = Kept()
+            parts = [pd.concat(function(("p",), iter([part]), state)) for part in (rows[:cut], rows[cut:])]
+            assert pd.concat(parts).values.tolist() == whole.values.tolist()
