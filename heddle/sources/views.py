@@ -192,6 +192,42 @@ def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+#: Claim types.
+CLAIM_TYPES = ["definition", "distinction", "example", "finding"]
+
+
+def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence drawn from blocks of twenty characters or more: an excerpt, a claim, its type, and the pages it names.  Some
+    excerpts are too short, altered or the next block's, some ids repeat and some page ranges are wrong."""
+    from pyspark.sql import Window
+
+    i, after = F.col("idx"), F.lead("text").over(Window.partitionBy("doc_id").orderBy("idx"))
+    piece = lambda text, at, size: F.substring(text, at, size)
+    excerpt = (
+        F.when(i % 7 == 3, piece(F.col("text"), 1, 8))
+        .when(i % 11 == 5, F.concat(F.lit("zz"), piece(F.col("text"), 1, 28)))
+        .when((i % 9 == 4) & (F.length("after") >= 20), piece(F.col("after"), 1, 20))
+        .otherwise(F.substr(F.col("text"), (1 + i % 5).cast("int"), F.lit(30)))
+    )
+    return (
+        blocks(spark, sf_dir)
+        .withColumn("after", after)
+        .where(F.length("text") >= 20)
+        .select(
+            "doc_id", "source", "idx", "page", "text",
+            F.concat(F.lit("e"), F.col("doc_id") % 5000, F.lit("-"), i % 40).alias("evidence_id"),
+            excerpt.alias("excerpt"),
+            F.lower(F.trim(piece(F.col("text"), 1, 60))).alias("claim"),
+            F.element_at(F.array(*[F.lit(t) for t in CLAIM_TYPES]), (i % 4 + 1).cast("int")).alias("claim_type"),
+            F.when(i % 3 != 0, F.concat(F.lit("t"), i % 6)).alias("term"),
+            (i % 5 != 0).alias("has_contrast"),
+            F.col("page").alias("page_start"),
+            (F.col("page") + F.when(i % 13 == 0, 1).otherwise(0) - F.when(i % 17 == 0, 2).otherwise(0)).alias("page_end"),
+            ((F.col("doc_id") + i) % 10 / 10).alias("confidence"),
+        )
+    )
+
+
 _WEEK = "strftime(CASE WHEN isodow(ts) = 1 THEN ts::DATE - 7 ELSE date_trunc('week', ts)::DATE END, '%Y-%m-%d')"
 _K = "json_extract_string(props, '$.k')::INT"
 
@@ -254,6 +290,15 @@ VIEWS: dict[str, str] = {
         FROM (SELECT doc_id, lang, source, unnest(l) AS text, unnest(generate_series(1, len(l))) AS i
               FROM (SELECT doc_id, lang, source, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents))
     """,
+    "evidence": f"""
+        SELECT doc_id, source, idx, page, text, 'e' || (doc_id % 5000) || '-' || (idx % 40) AS evidence_id,
+               CASE WHEN idx % 7 = 3 THEN substring(text, 1, 8) WHEN idx % 11 = 5 THEN 'zz' || substring(text, 1, 28)
+                    WHEN idx % 9 = 4 AND length(after) >= 20 THEN substring(after, 1, 20) ELSE substring(text, 1 + (idx % 5)::INT, 30) END AS excerpt,
+               lower(trim(substring(text, 1, 60))) AS claim, [{", ".join(f"'{t}'" for t in CLAIM_TYPES)}][(idx % 4 + 1)::INT] AS claim_type, CASE WHEN idx % 3 <> 0 THEN 't' || (idx % 6) END AS term,
+               idx % 5 <> 0 AS has_contrast, page AS page_start, page + CASE WHEN idx % 13 = 0 THEN 1 ELSE 0 END - CASE WHEN idx % 17 = 0 THEN 2 ELSE 0 END AS page_end,
+               ((doc_id + idx) % 10) / 10 AS confidence
+        FROM (SELECT *, lead(text) OVER (PARTITION BY doc_id ORDER BY idx) AS after FROM blocks) WHERE length(text) >= 20
+    """,
     "turns": "SELECT conv_id AS segment_id, turn AS position, CASE role WHEN 'user' THEN 'A' WHEN 'assistant' THEN 'B' ELSE 'editorial' END AS speaker, coalesce(text, '') AS text FROM conversations",
     "edges": f"""
         SELECT l_partkey AS source, target, [{", ".join(f"'{t}'" for t in EDGE_TYPES)}][p_size % 8 + 1] AS type, l_discount AS weight, floor(l_quantity)::BIGINT AS confidence
