@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heddle.operators import audits, documents, drafts, evidence, graphs, ledger, metrics, plumbing, reviews, scripts, structure
+from heddle.operators import audits, coverage, documents, drafts, evidence, graphs, ledger, metrics, plumbing, reviews, scripts, structure
 from heddle.plans import document_sql, evidence_sql, graph_script_sql, ledger_sql, metric_sql
 from heddle.sources.views import with_views
 from heddle.streaming import jobs
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {key: m.compute for key, m in metrics.METRICS.items()}
 QUERIES["p12_metric_rollup"] = metrics.rollup
-QUERIES |= ledger.QUERIES | documents.QUERIES | evidence.QUERIES | graphs.QUERIES | scripts.QUERIES | jobs.QUERIES | plumbing.QUERIES | audits.QUERIES | drafts.QUERIES | reviews.QUERIES | structure.QUERIES
+QUERIES |= ledger.QUERIES | documents.QUERIES | evidence.QUERIES | graphs.QUERIES | scripts.QUERIES | jobs.QUERIES | plumbing.QUERIES | audits.QUERIES | drafts.QUERIES | reviews.QUERIES | structure.QUERIES | coverage.QUERIES
 
-_SQL = metric_sql.SQL | ledger_sql.SQL | document_sql.SQL | evidence_sql.SQL | graph_script_sql.SQL | jobs.SQL | plumbing.SQL | audits.SQL | drafts.SQL | reviews.SQL | structure.SQL
+_SQL = metric_sql.SQL | ledger_sql.SQL | document_sql.SQL | evidence_sql.SQL | graph_script_sql.SQL | jobs.SQL | plumbing.SQL | audits.SQL | drafts.SQL | reviews.SQL | structure.SQL | coverage.SQL
 ORACLE_SQL: dict[str, str] = {key: with_views(sql) for key, sql in _SQL.items()}
 ORACLE_SQL["p12_metric_rollup"] = " UNION ALL ".join(
     f"SELECT '{key}' AS metric_key, day, dimension_json, value, numerator, denominator FROM ({ORACLE_SQL[key]}) WHERE day IS NOT NULL AND value IS NOT NULL" for key in metric_sql.SQL
