@@ -101,3 +101,55 @@ def test_tier_verdicts(spark):
     calls = spark.createDataFrame(rows, "project_id string, stage string, status string, cost_micros long, input_tokens long")
     got = {r["project_id"]: r["verdict"] for r in ledger.tier_verdicts(calls).collect()}
     assert got == {"switch": "switch", "dear": "keep", "small": "keep", "unpriced": "undecidable", "one arm": "undecidable"}
+
+
+def test_cycles_of_any_length_are_broken_at_their_lightest_edge():
+    import random
+
+    import pandas as pd
+
+    from heddle.operators.structure import break_cycles
+
+    def reaches(edges, a, b):
+        seen, front = set(), [a]
+        while front:
+            x = front.pop()
+            for s, t in edges:
+                if s == x and t not in seen:
+                    seen.add(t)
+                    front.append(t)
+        return b in seen
+
+    rng = random.Random(8)
+    for _ in range(20):
+        pairs = {(rng.randrange(9), rng.randrange(9)) for _ in range(18)}
+        rows = [("c", a, b, "extends", round(rng.random(), 3), rng.randrange(5)) for a, b in pairs if a != b]
+        out = break_cycles(pd.DataFrame(rows, columns=["chapter", "source", "target", "type", "weight", "confidence"]))
+        weight, left = {(r[1], r[2]): r[4] for r in rows}, [(r[1], r[2]) for r in rows]
+        for _, drop in out.sort_values("place").iterrows():
+            edge = (drop["source"], drop["target"])
+            assert reaches(left, edge[1], edge[0])  # it lies on a cycle, and one with no lighter edge
+            lighter = [e for e in left if weight[e] >= weight[edge]]
+            assert reaches([e for e in lighter if e != edge], edge[1], edge[0])
+            left.remove(edge)
+        assert not any(reaches(left, b, a) for a, b in left)
+
+
+def test_components_of_a_long_path(spark):
+    from heddle.operators.structure import components
+
+    pairs = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 100)] + [(200, 300)], "a long, b long")
+    roots = {r["node"]: r["root"] for r in components(pairs).collect()}
+    assert roots == {i: 0 for i in (*range(41), 100, 101)} | {200: 200, 300: 200}
+
+
+def test_masks_cover_each_kind(spark):
+    from pyspark.sql import functions as F
+
+    from heddle.operators.reviews import masked, sensitive
+
+    text = "AIza" + "b" * 30 + " sk-" + "c" * 25 + " 09123456789 +989123456789 00989123456789 C:\\Users\\me\\x /home/me/y"
+    row = spark.createDataFrame([(text,)], "t string").select(masked(F.col("t")).alias("m")).first()["m"]
+    assert row == "[REDACTED_GEMINI_KEY] [REDACTED_SECRET] [REDACTED_PHONE] [REDACTED_PHONE] [REDACTED_PHONE] [HOME]\\x [HOME]/y"
+    names = spark.createDataFrame([("Api-Key",), ("colour",), ("X-Auth-TOKEN",)], "n string").select(sensitive(F.col("n")).alias("s"))
+    assert [r["s"] for r in names.collect()] == [True, False, True]
