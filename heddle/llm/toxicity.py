@@ -39,7 +39,7 @@ from heddle.llm.wordgrams import chunks, shingle_sets
 
 WINDOW, STRIDE = 20, 10
 GRAM = 5
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 16 << 20
+TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 2000, 6 << 20
 DICTIONARY = 1 << 10  # bytes of each
 LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 2.5, 4, 0.02
 FOLDS = 4
@@ -103,8 +103,8 @@ def distinct_texts(texts: list[str]) -> np.ndarray:
 
 
 def ordinary_dictionary(texts: list[bytes]) -> bytes:
-    """What zstandard trains on windows of ordinary texts; windows too few to train on are the dictionary themselves."""
-    windows = [t[a : a + n] for t in texts for a, n in _spans(len(t)).tolist()]
+    """What zstandard trains on windows of ordinary texts, end to end; windows too few to train on are the dictionary themselves."""
+    windows = [t[a : a + WINDOW] for t in texts for a in range(0, len(t), WINDOW)]
     try:
         return zstandard.train_dictionary(DICTIONARY, windows).as_bytes()[-DICTIONARY:]
     except zstandard.ZstdError:
