@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
 Two zstandard dictionaries of equal size are made, each from texts of its own class only to be read with: the
-ordinary one by zstandard's trainer from windows of ordinary texts, the toxic one from the passages of toxic
+ordinary one by zstandard's trainer from ordinary texts, the toxic one from the passages of toxic
 texts that are over-represented there (runs of ``GRAM``-byte strings held by far more toxic texts than the
 ordinary ones let expect, cut down to their strongest part, rarest first, so that the
 commonest have the cheapest offsets).  A window of a text is compressed once with each; the bytes by which
@@ -39,7 +39,7 @@ from heddle.llm.wordgrams import chunks, shingle_sets
 
 WINDOW, STRIDE = 20, 10
 GRAM = 5
-TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 2000, 6 << 20
+TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 12 << 20
 DICTIONARY = 1 << 10  # bytes of each
 LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 2.5, 4, 0.02
 FOLDS = 4
@@ -83,12 +83,15 @@ def _held_by(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
 
 
-def _count(held: tuple[np.ndarray, np.ndarray], grams: np.ndarray) -> np.ndarray:
-    known, n = held
-    if not len(known):
-        return np.zeros(len(grams))
-    at = np.minimum(np.searchsorted(known, grams), len(known) - 1)
-    return np.where(known[at] == grams, n[at], 0)
+def _counts(texts: list[bytes], grams: np.ndarray) -> np.ndarray:
+    """How many of the texts hold each of the (sorted) grams."""
+    out = np.zeros(len(grams), np.int64)
+    if len(grams):
+        for text in texts:
+            here = np.unique(_grams(text))
+            at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
+            out[at[grams[at] == here]] += 1
+    return out
 
 
 def distinct_texts(texts: list[str]) -> np.ndarray:
@@ -103,18 +106,16 @@ def distinct_texts(texts: list[str]) -> np.ndarray:
 
 
 def ordinary_dictionary(texts: list[bytes]) -> bytes:
-    """What zstandard trains on windows of ordinary texts, end to end; windows too few to train on are the dictionary themselves."""
-    windows = [t[a : a + WINDOW] for t in texts for a in range(0, len(t), WINDOW)]
+    """What zstandard trains on ordinary texts; texts too few to train on are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, windows).as_bytes()[-DICTIONARY:]
+        return zstandard.train_dictionary(DICTIONARY, [t for t in texts if len(t) > GRAM]).as_bytes()[-DICTIONARY:]
     except zstandard.ZstdError:
-        return b"\n".join(windows)[-DICTIONARY:].ljust(8, b"\n")
+        return b"\n".join(texts)[-DICTIONARY:].ljust(8, b"\n")
 
 
-def toxic_dictionary(texts: list[bytes], ordinary: list[tuple[np.ndarray, np.ndarray]], ordinary_texts: int) -> bytes:
-    """The over-represented passages of toxic texts; ``ordinary``: grams with the number of ordinary texts that hold them."""
-    grams, n = _held_by(texts)
-    expected = (sum(_count(held, grams) for held in ordinary) + 0.5) * len(texts) / max(1, ordinary_texts)
+def toxic_dictionary(texts: list[bytes], grams: np.ndarray, n: np.ndarray, ordinary: np.ndarray, ordinary_texts: int) -> bytes:
+    """The over-represented passages of toxic texts; ``n`` of them and ``ordinary`` ordinary ones hold each of the grams."""
+    expected = (ordinary + 0.5) * len(texts) / max(1, ordinary_texts)
     z = (n - expected) / np.sqrt(expected)
     marked = (z >= LEAST_Z) & (n >= LEAST_RATIO * expected) & (n >= max(LEAST_TEXTS, LEAST_SHARE * len(texts)))
     grams, z = grams[marked], z[marked]
@@ -187,13 +188,17 @@ class Model:
         t, o = [_folded(x) for x in toxic], [_folded(x) for x in ordinary]
         new_t, new_o = distinct_texts(toxic), distinct_texts(ordinary)
         fold_t, fold_o = np.arange(len(t)) % FOLDS, np.arange(len(o)) % FOLDS
+        learned_t = [[x for x, new, f in zip(t, new_t, fold_t) if new and f == k] for k in range(FOLDS)]
         learned_o = [[x for x, new, f in zip(o, new_o, fold_o) if new and f == k] for k in range(FOLDS)]
-        held = [_held_by(part) for part in learned_o]
         self.ordinary = ordinary_dictionary([x for part in learned_o for x in part])
+        grams, n = _held_by([x for part in learned_t for x in part])
+        grams = grams[n >= LEAST_TEXTS]  # the others can't be marked
+        by_fold = [[_counts(part, grams) for part in learned] for learned in (learned_t, learned_o)]
 
         def toxic_without(fold: int) -> bytes:
             rest = [k for k in range(FOLDS) if k != fold]
-            return toxic_dictionary([x for x, new, f in zip(t, new_t, fold_t) if new and f != fold], [held[k] for k in rest], sum(len(learned_o[k]) for k in rest))
+            in_toxic, in_ordinary = (sum(counts[k] for k in rest) for counts in by_fold)
+            return toxic_dictionary([x for k in rest for x in learned_t[k]], grams, in_toxic, in_ordinary, sum(len(learned_o[k]) for k in rest))
 
         self.toxic = toxic_without(FOLDS)
         x, y = [], []
