@@ -1,7 +1,7 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries of equal size are made, each from texts of its own class only to be read with: the
-ordinary one by zstandard's trainer from ordinary texts, the toxic one from the passages of toxic
+Two zstandard dictionaries of at most ``DICTIONARY`` bytes are made, each of text of its own class: the
+ordinary one by zstandard's trainer from ordinary texts, the toxic one of the passages of toxic
 texts that are over-represented there (runs of ``GRAM``-byte strings held by far more toxic texts than the
 ordinary ones let expect, cut down to their strongest part, rarest first, so that the
 commonest have the cheapest offsets).  A window of a text is compressed once with each; the bytes by which
