@@ -9,7 +9,8 @@ the toxic dictionary does better are its distance.  Each window stands behind a
 both dictionaries end with: without it zstandard would store most windows raw, and their lengths would say nothing.
 The largest distances of a text, how many of its windows reach each threshold, and its
 length go through a logistic calibration, weighted back to the classes' shares among all
-labels.  The calibration sees each sample text only with dictionaries made without its fold.
+labels and, if more than ``MOST_FALSE`` of the ordinary texts would be predicted toxic, shifted until no more are.
+The calibration sees each sample text only with dictionaries made without its fold.
 
 Fitting reads a bounded sample of labelled documents on the driver: the smallest hashes of doc_id, at most
 ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` of them, none over ``common.SAMPLE_TEXT`` bytes, ``SAMPLE_BYTES`` of each class
@@ -43,6 +44,7 @@ TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 12 << 20
 DICTIONARY = 1 << 10  # bytes of each
 LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 2.5, 4, 0.02
 FOLDS = 4
+MOST_FALSE = 0.01  # of the ordinary texts, by folds, that the calibration lets be predicted toxic
 LARGEST, REACHED = 5, (1, 2, 3, 4, 5, 6)  # distances told one by one; thresholds whose windows are counted
 LEAD = bytes(range(1, 9)) + bytes(range(14, 22))
 
@@ -223,6 +225,7 @@ class Model:
             w += step
             if np.abs(step).max() < 1e-8:
                 break
+        w[-1] -= max(0.0, np.quantile((z @ w)[y == 0], 1 - MOST_FALSE))  # at 0.5 no more ordinary texts than that may pass
         self.weights = w
 
     def score(self, features: np.ndarray) -> np.ndarray:
