@@ -54,16 +54,18 @@ class TokenIds:
     vocabulary, which is three times faster and has the same ids (tests compare them);
     others, and those that hold a special token's string, go through ``tokenizers``."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, plain: bool = False) -> None:
+        """``plain``: special tokens' strings in a text are ordinary text."""
         import tiktoken
 
-        self.path, self.exact = path, None
+        self.path, self.exact, self.plain = path, None, plain
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         special = [t["content"] for t in spec.get("added_tokens", [])]
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]  # the public rule of byte-level vocabularies
         byte_of = {chr(b): b for b in printable} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in printable)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.ranks = ranks
         self.fast = tiktoken.Encoding("pieces", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.other = re.compile("|".join([r"[^\x00-ɏ‐-‧€]", *map(re.escape, special)]))
 
@@ -73,9 +75,17 @@ class TokenIds:
                 from tokenizers import Tokenizer
 
                 self.exact = Tokenizer.from_file(self.path)
+                self.exact.encode_special_tokens = self.plain
             return np.array(self.exact.encode(text, add_special_tokens=False).ids, dtype="<u4")
         return self.fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False)
 
+    def tokens(self) -> list[bytes]:
+        """The bytes of each id; of ids that no text has, none."""
+        out = [b""] * (max(self.ranks.values()) + 1)
+        for token, i in self.ranks.items():
+            out[i] = token
+        return out
+
 
 _PIECE = pa.schema([("doc_id", pa.int64()), ("uid", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _PIECE_DDL = "doc_id long, uid long, piece int, start long, length long, ids_crc32 long"
