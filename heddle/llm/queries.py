@@ -74,6 +74,12 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.secret_scan import secret_scan
+
+    return secret_scan(table(spark, sf_dir, "documents"))
+
+
 def op13_align_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -93,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_decontaminate": op10_decontaminate,
+    "op12_secret_scan": op12_secret_scan,
     "op13_align_tokens": op13_align_tokens,
 }
 
@@ -120,7 +127,52 @@ def _license_sql() -> str:
     """.replace("\\\\x", "\\x")
 
 
+def _secrets_sql() -> str:
+    from heddle.llm.secret_scan import ALLOWED, CLASSES, KINDS, PATTERNS, SCALE, VALUE, limit
+
+    def quoted(pattern: str) -> str:
+        return "'" + pattern.replace("'", "''") + "'"
+
+    def values(of) -> str:
+        return "CASE " + " ".join(f"WHEN regexp_matches(match, {quoted(c[0])}) THEN {of(c)}" for c in CLASSES) + " END"
+
+    matches = " UNION ALL ".join(
+        f"SELECT uid, {k} AS k, regexp_extract_all(t, {quoted(p)}) AS m, regexp_extract_all(t, {quoted(p)}, {2 if k == 0 else 0}) AS v, regexp_split_to_array(t, {quoted(p)}) AS g FROM d" for k, p in enumerate(PATTERNS)
+    )
+    names = "[" + ", ".join(map(quoted, KINDS)) + "]"
+    said = f"string_agg({names}[k + 1] || ':' || a || ':' || b, ',' ORDER BY a, k)"
+    return f"""
+        WITH d AS (
+            SELECT doc_id, coalesce(text, '') AS t, row_number() OVER () AS uid FROM documents
+        ), m AS ({matches}), e AS (
+            SELECT uid, k, i, m[i] AS match, v[i] AS value, length(g[i]) AS gap FROM m, unnest(generate_series(1, len(m))) AS u(i)
+        ), p AS (
+            SELECT *, sum(gap + length(match)) OVER (PARTITION BY uid, k ORDER BY i) - length(match) AS pos FROM e
+        ), base AS (
+            SELECT uid, k, pos AS a, pos + length(match) AS b FROM p WHERE k IN (1, 2) OR k = 0 AND length(value) >= {VALUE}
+        ), c AS (
+            SELECT uid, pos, match, {values(lambda c: c[1])} AS w, {values(lambda c: limit(*c[1:]))} AS most FROM p
+            WHERE k = 3 AND regexp_matches(match, '[0-9]') AND regexp_matches(match, '[A-Za-z]') AND NOT regexp_matches(match, {quoted("|".join(f"(?:{p})" for p in ALLOWED))})
+        ), chars AS (
+            SELECT uid, pos, w, most, s, match[s + j] AS ch FROM c, unnest(generate_series(0, length(match) - w)) AS x(s), unnest(generate_series(1, w)) AS y(j)
+        ), counts AS (
+            SELECT uid, pos, w, most, s, count(*) AS n FROM chars GROUP BY uid, pos, w, most, s, ch
+        ), hot AS (
+            SELECT uid, pos, w, s FROM counts GROUP BY uid, pos, w, most, s HAVING sum(round(n * log2(n) * {SCALE})) <= most
+        ), added AS (
+            SELECT uid, 3 AS k, pos + min(s) AS a, pos + max(s) + any_value(w) AS b FROM hot GROUP BY uid, pos
+        ), every AS (
+            FROM base UNION ALL SELECT * FROM added x WHERE NOT EXISTS (FROM base y WHERE y.uid = x.uid AND y.a < x.b AND x.a < y.b)
+        ), told AS (
+            SELECT uid, count(*) FILTER (k = 0) AS n_assign, count(*) FILTER (k = 1) AS n_access, count(*) FILTER (k = 2) AS n_hex, count(*) FILTER (k = 3) AS n_entropy, {said} FILTER (k < 3) AS base, {said} AS spans FROM every GROUP BY uid
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_entropy, 0) AS n_entropy
+        FROM d LEFT JOIN told USING (uid)
+    """
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op12_secret_scan": _secrets_sql(),
     "op5_license_scan": _license_sql(),
     "op2_exact_dedup": r"""
         WITH d AS (
