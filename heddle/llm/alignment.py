@@ -1,9 +1,8 @@
 """Alignment of two tokenizers' tokens by the bytes that they cover.
 
 1. Each task encodes its texts with both tokenizers and lays the tokens of a batch out by byte offset, documents end
-   to end: a start holds its document as well, and as both sides of a document begin at the same one, no token finds
-   another document's.  ``pandas.merge_asof`` finds for each token's start the token of the other side that covers
-   it; both directions together are all overlaps, since of two tokens that overlap the later start lies in the other.
+   to end.  ``pandas.merge_asof``, keyed by document, finds for each token's start the token of the other side that
+   covers it; both directions together are all overlaps, since of two tokens that overlap the later start lies in the other.
 2. Overlapping tokens that end together cut a document into groups; the links of a group are all its pairs of tokens.
    Distinct pairs of ids and their number go to the shared folder with the document, as compact arrays.
 3. An id pair's count - in how many documents it is linked - is summed within each task before it is shuffled.
@@ -91,10 +90,10 @@ def lay_out(pair: Pair, encoded: list[tuple]) -> Layout:
     ids_a, ids_b = (np.concatenate([np.asarray(e[side], dtype=np.int64) for e in encoded] or [np.empty(0, np.int64)]) for side in (0, 1))
     doc_a, doc_b = (np.repeat(np.arange(len(encoded)), [len(e[side]) for e in encoded]) for side in (0, 1))
     end_a, end_b = np.cumsum(pair.len_a[ids_a]), np.cumsum(pair.len_b[ids_b])
-    a = pd.DataFrame({"start": end_a - pair.len_a[ids_a], "a": np.arange(len(ids_a))})
-    b = pd.DataFrame({"start": end_b - pair.len_b[ids_b], "b": np.arange(len(ids_b))})
-    over_b = pd.merge_asof(a, b, on="start")["b"].to_numpy()  # the token of B that covers the start of each of A
-    over_a = pd.merge_asof(b, a, on="start")["a"].to_numpy()
+    a = pd.DataFrame({"doc": doc_a, "start": end_a - pair.len_a[ids_a], "a": np.arange(len(ids_a))})
+    b = pd.DataFrame({"doc": doc_b, "start": end_b - pair.len_b[ids_b], "b": np.arange(len(ids_b))})
+    over_b = pd.merge_asof(a, b, on="start", by="doc")["b"].to_numpy()  # the token of B that covers the start of each of A
+    over_a = pd.merge_asof(b, a, on="start", by="doc")["a"].to_numpy()
     cut_a, cut_b = np.zeros(len(ids_a), dtype=bool), np.zeros(len(ids_b), dtype=bool)
     for i, j in ((a["a"].to_numpy(), over_b), (over_a, b["b"].to_numpy())):
         equal = end_a[i] == end_b[j]
