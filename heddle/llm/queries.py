@@ -74,6 +74,12 @@ def op9_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from heddle.llm.conversation_repair import repair
+
+    return repair(table(spark, sf_dir, "conversations"))
+
+
 def op12_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from heddle.llm.secret_scan import secret_scan
 
@@ -99,6 +105,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_url_filter": op8_url_filter,
     "op9_pack": op9_pack,
     "op10_decontaminate": op10_decontaminate,
+    "op11_conversation_repair": op11_conversation_repair,
     "op12_secret_scan": op12_secret_scan,
     "op13_align_tokens": op13_align_tokens,
 }
@@ -171,7 +178,66 @@ def _secrets_sql() -> str:
     """
 
 
+def _repair_sql() -> str:
+    """Costs, audits and repaired lines of the four states (start, behind a system, user, assistant row), row by row from the end."""
+
+    def least(*options: tuple[str, str]) -> str:  # (condition, a struct of cost, audit, lines)
+        return "list_sort(list_filter([" + ", ".join(f"CASE WHEN {when} THEN {{{what}}} END" for when, what in options) + "], lambda x: x IS NOT NULL))[1]"
+
+    after = {1: 3, 2: 3, 3: 4, 4: 3}  # lists count from 1
+    role = {1: "user", 2: "user", 3: "assistant", 4: "user"}
+
+    def moved(k: int, edit: str, cost: str, line: str) -> str:
+        return f"'c': {cost} + f[{k}].c, 'a': '{edit}' || f[{k}].a, 't': list_prepend({line}, f[{k}].t)"
+
+    def base(k: int) -> str:
+        keeps = [("NOT gone AND initial = '%s'" % role[k][0], moved(after[k], "K", "extra", "role || ':' || text"))]
+        if k == 1:
+            keeps.append(("NOT gone AND initial = 's'", moved(2, "K", "extra", "role || ':' || text")))
+        return least(("true", f"'c': 3 + f[{k}].c, 'a': 'D' || f[{k}].a, 't': f[{k}].t"), *keeps, ("NOT gone", moved(after[k], "R", "2 + extra", f"'{role[k]}:' || text")))
+
+    def inserted(own: str, other: str, name: str) -> str:
+        return least(("true", f"'c': {own}.c, 'a': {own}.a, 't': {own}.t"), ("true", f"'c': 2 + {other}.c, 'a': 'I' || {other}.a, 't': list_prepend('{name}:', {other}.t)"))
+
+    return f"""
+        WITH RECURSIVE crc AS (
+            SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: xor(c >> 1, (c & 1) * 3988292384))) AS table_of
+        ), said AS (
+            SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, list_transform(string_split(coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' '), ''), lambda c: ascii(c)::BIGINT) AS b FROM conversations
+        ), told AS (
+            SELECT said.*, xor(list_reduce(list_prepend(4294967295, b), lambda x, y: xor(table_of[1 + (xor(x, y) & 255)], x >> 8)), 4294967295) % 20 AS kind FROM said, crc
+        ), damaged AS (
+            SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text
+            FROM told, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END))
+        ), placed AS (
+            SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(length(role)::VARCHAR || ':' || role || text)) AS i FROM damaged
+        ), faults AS (
+            SELECT *, role[1] AS initial, regexp_extract(text, '([^\\x20\\x09-\\x0D])[\\x20\\x09-\\x0D]*$', 1) AS last_of, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 AS seen, lag(role[1]) OVER (PARTITION BY conv_id ORDER BY i) AS before FROM placed
+        ), symbols AS (
+            SELECT *, last_of = '' AS blank, last_of <> '' AND seen AS duplicate, last_of <> '' AND NOT seen AND last_of NOT IN ('.', '!', '?') AS truncated, last_of = '' OR seen AS gone, (last_of <> '' AND NOT seen AND last_of NOT IN ('.', '!', '?'))::INT AS extra FROM faults
+        ), counts AS (
+            SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (blank) AS blank, count(*) FILTER (duplicate) AS duplicate, count(*) FILTER (truncated) AS truncated,
+                count(*) FILTER (before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal
+            FROM symbols GROUP BY conv_id
+        ), ways AS (
+            SELECT conv_id, n AS i, [{{'c': 0, 'a': '', 't': []::VARCHAR[]}}, {{'c': 4, 'a': 'II', 't': ['user:', 'assistant:']}}, {{'c': 2, 'a': 'I', 't': ['assistant:']}}, {{'c': 0, 'a': '', 't': []::VARCHAR[]}}] AS f FROM counts
+            UNION ALL
+            SELECT conv_id, i, [{inserted("b1", "x3", "user")}, {inserted("b2", "x3", "user")}, x3, {inserted("b4", "b3", "user")}] FROM (
+                SELECT *, {inserted("b3", "b4", "assistant")} AS x3 FROM (
+                    SELECT w.conv_id, w.i - 1 AS i, {base(1)} AS b1, {base(2)} AS b2, {base(3)} AS b3, {base(4)} AS b4 FROM ways w JOIN symbols r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i
+                )
+            )
+        ), best AS (
+            SELECT conv_id, f[1] AS f FROM ways WHERE i = 0
+        )
+        SELECT o.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal,
+            coalesce(f.c, 0)::BIGINT AS cost, coalesce(f.a, '') AS audit, sha256(coalesce(array_to_string(f.t, chr(10)), '')) AS repaired_sha256
+        FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN counts c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+    """.replace("\\\\x", "\\x")
+
+
 ORACLE_SQL: dict[str, str] = {
+    "op11_conversation_repair": _repair_sql(),
     "op12_secret_scan": _secrets_sql(),
     "op5_license_scan": _license_sql(),
     "op2_exact_dedup": r"""
