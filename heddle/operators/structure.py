@@ -4,7 +4,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,7 +11,6 @@ from heddle.functions.columns import collapse, fold_for_match, share, token_esti
 from heddle.operators.documents import by_doc, heading_runs, pack_in_order
 from heddle.operators.drafts import kinds, packed, violations
 from heddle.operators.evidence import word_list
-from heddle.operators.graphs import strongest_edges
 from heddle.sources.store import materialise
 from heddle.sources.views import blocks, cells, edges, product_events, table
 
@@ -284,65 +282,6 @@ def g08_label_overlap(spark, sf_dir):
     return cells(spark, sf_dir).groupBy("chapter").agg(F.avg(share(F.size(F.array_intersect(a, b)), F.size(a))).alias("overlap"), F.sum(F.size(a)).alias("words"))
 
 
-CYCLE_TYPES = ["prerequisite", "depends_on", "extends"]
-
-
-def capped(spark, sf_dir, most: int = 60) -> DataFrame:
-    """The heaviest edges of each chapter, at most ``most``: a concept map is of bounded size."""
-    c = cells(spark, sf_dir).select("cell", "chapter")
-    inside = strongest_edges(spark, sf_dir).where(F.col("type").isin(CYCLE_TYPES)).join(c.withColumnRenamed("cell", "source"), "source").join(c.select(F.col("cell").alias("target"), F.col("chapter").alias("other")), "target").where("chapter = other")
-    place = F.row_number().over(Window.partitionBy("chapter").orderBy(F.desc("weight"), F.desc("confidence"), "source", "target", "type"))
-    return inside.withColumn("place", place).where(F.col("place") <= most).select("chapter", "source", "target", "type", "weight", "confidence")
-
-
-def find_cycle(out: dict) -> list:
-    """Edges of one cycle of ``out`` (source: edges in order), or none; an edge is (weight, confidence, source, target, type)."""
-    state: dict = {}
-    for start in sorted(out):
-        path, stack = [], [iter(out.get(start, ()))] if start not in state else []
-        if stack:
-            state[start] = 1
-        while stack:
-            edge = next(stack[-1], None)
-            if edge is None:
-                stack.pop()
-                state[path[-1][3] if path else start] = 2
-                if path:
-                    path.pop()
-            elif state.get(edge[3]) == 1:
-                path.append(edge)
-                first = next(i for i, e in enumerate(path) if e[2] == edge[3])
-                return path[first:]
-            elif edge[3] not in state:
-                state[edge[3]] = 1
-                path.append(edge)
-                stack.append(iter(out.get(edge[3], ())))
-    return []
-
-
-def break_cycles(map_edges: pd.DataFrame) -> pd.DataFrame:
-    """The edges to drop of one concept map, in order: the lightest of each cycle found, until there is none."""
-    rows = sorted(map_edges[["weight", "confidence", "source", "target", "type"]].itertuples(index=False, name=None), key=lambda e: (e[2], e[3], e[4]))
-    dropped = []
-    while True:
-        out: dict = {}
-        for e in rows:
-            out.setdefault(e[2], []).append(e)
-        cycle = find_cycle(out)
-        if not cycle:
-            break
-        least = min(cycle)
-        rows.remove(least)
-        dropped.append((map_edges["chapter"].iloc[0], least[2], least[3], least[4], len(cycle), len(dropped) + 1))
-    return pd.DataFrame(dropped, columns=["chapter", "source", "target", "type", "length", "place"])
-
-
-def g12_broken_cycles(spark, sf_dir):
-    """Cycles of any length in each chapter's map, each broken at its lightest edge (weight, confidence, keys).  A map has at most
-    60 edges, so that a chapter is a bounded group."""
-    return capped(spark, sf_dir).groupBy("chapter").applyInPandas(break_cycles, "chapter string, source long, target long, type string, length int, place int")
-
-
 def components(pairs: DataFrame) -> DataFrame:
     """(node, root) of the connected components of ``pairs`` (a, b), by spreading the least node along edges and roots."""
     both = materialise(pairs.select("a", "b").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())

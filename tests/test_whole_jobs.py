@@ -2,7 +2,7 @@
 
 import re
 
-from heddle.operators import audits, documents, graphs, ledger, scripts
+from heddle.operators import documents, graphs, ledger, scripts
 
 def graph_tables(spark, folder, cells, edges):
     """``cells`` (key, size) as parts; ``edges`` (source, target, discount, quantity) as orders of two lines."""
@@ -79,20 +79,6 @@ def test_cut_tails(spark, tmp_path):
     assert got == {i: cut(a, b) for i, (a, b) in enumerate(pairs)} and got[0] and not got[7]
 
 
-def test_text_verdicts(spark, tmp_path):
-    pairs = turn_tables(spark, tmp_path)
-    got = {r["position"]: r for r in audits.t33_text_verdicts(spark, str(tmp_path)).collect()}
-    assert len(got) == len(pairs)
-    for i, (a, b) in enumerate(pairs):
-        similar = 1 - distance(a, b) / max(len(a), len(b)) if a and b else 0
-        w = b.split()
-        grams = [tuple(w[j : j + 6]) for j in range(len(w) - 5)] if len(w) >= 12 else []
-        repeated = len(grams) > len(set(grams))
-        verdict = "pass" if similar >= 0.9 and not repeated and not cut(a, b) else "manual_review" if similar >= 0.78 and not cut(a, b) else "regenerate"
-        assert (abs(got[i]["similarity"] - similar) < 1e-9, got[i]["repeated"], got[i]["truncated"], got[i]["verdict"]) == (True, repeated, cut(a, b), verdict), i
-    assert {r["verdict"] for r in got.values()} == {"pass", "manual_review", "regenerate"}
-
-
 def test_tier_verdicts(spark):
     arms = lambda project, base, other, cost: [(project, "A", s, 100, 1) for s in base] + [(project, "R", s, cost, 1) for s in other]
     ok, bad = "succeeded", "failed"
@@ -103,37 +89,6 @@ def test_tier_verdicts(spark):
     assert got == {"switch": "switch", "dear": "keep", "small": "keep", "unpriced": "undecidable", "one arm": "undecidable"}
 
 
-def test_cycles_of_any_length_are_broken_at_their_lightest_edge():
-    import random
-
-    import pandas as pd
-
-    from heddle.operators.structure import break_cycles
-
-    def reaches(edges, a, b):
-        seen, front = set(), [a]
-        while front:
-            x = front.pop()
-            for s, t in edges:
-                if s == x and t not in seen:
-                    seen.add(t)
-                    front.append(t)
-        return b in seen
-
-    rng = random.Random(8)
-    for _ in range(20):
-        pairs = {(rng.randrange(9), rng.randrange(9)) for _ in range(18)}
-        rows = [("c", a, b, "extends", round(rng.random(), 3), rng.randrange(5)) for a, b in pairs if a != b]
-        out = break_cycles(pd.DataFrame(rows, columns=["chapter", "source", "target", "type", "weight", "confidence"]))
-        weight, left = {(r[1], r[2]): r[4] for r in rows}, [(r[1], r[2]) for r in rows]
-        for _, drop in out.sort_values("place").iterrows():
-            edge = (drop["source"], drop["target"])
-            assert reaches(left, edge[1], edge[0])  # it lies on a cycle, and one with no lighter edge
-            lighter = [e for e in left if weight[e] >= weight[edge]]
-            assert reaches([e for e in lighter if e != edge], edge[1], edge[0])
-            left.remove(edge)
-        assert not any(reaches(left, b, a) for a, b in left)
-
 
 def test_components_of_a_long_path(spark):
     from heddle.operators.structure import components
