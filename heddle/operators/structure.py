@@ -32,18 +32,6 @@ def pathed(spark, sf_dir) -> DataFrame:
     return b.withColumn("h2", F.when(F.col("at1").isNull() | (F.col("at2") > F.col("at1")), F.col("h2")))  # a heading of level 1 ends those below it
 
 
-def b02_heading_paths(spark, sf_dir):
-    """Each document's blocks by the heading path that they stand under."""
-    path = F.concat_ws(" > ", "h1", "h2")
-    return pathed(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct(path).alias("paths"), F.count_if(F.col("h1").isNull() & F.col("h2").isNull()).alias("outside"), F.md5(F.max(path).cast("binary")).alias("last_md5"))
-
-
-def b04_heading_stack(spark, sf_dir):
-    """Depth of the stack at each block: deeper headings leave it when a higher one comes."""
-    depth = F.col("h1").isNotNull().cast("int") + F.col("h2").isNotNull().cast("int")
-    return pathed(spark, sf_dir).groupBy("doc_id", depth.alias("depth")).agg(F.count("*").alias("blocks"))
-
-
 def block_kind():
     t = F.lower(F.col("text"))
     return F.when(F.col("is_heading"), "heading").when(F.col("text").startswith("|"), "table").when(t.rlike("licensed under|copyright|released under"), "front_matter").when(F.col("text").contains("$$"), "formula").otherwise("other")
@@ -436,8 +424,6 @@ _PAIRS = f"""w AS (SELECT cell, chapter, list_distinct({WORDS.format(x="label")}
 SQL = {
     "b01_paragraphs": r"""WITH p AS (SELECT doc_id, list_filter(list_transform(regexp_split_to_array(regexp_replace(coalesce(text, ''), '\r\n?', chr(10), 'g'), '\n[ \t]*\n'), lambda x: trim(x)), lambda x: x <> '') AS p FROM documents)
         SELECT doc_id, len(p)::INT AS paragraphs, md5(array_to_string(p, chr(10) || chr(10))) AS text_md5 FROM p""",
-    "b02_heading_paths": f"WITH {_PATHS} SELECT doc_id, count(DISTINCT concat_ws(' > ', h1, h2)) AS paths, count(*) FILTER (h1 IS NULL AND h2 IS NULL) AS outside, md5(max(concat_ws(' > ', h1, h2))) AS last_md5 FROM pt GROUP BY 1",
-    "b04_heading_stack": f"WITH {_PATHS} SELECT doc_id, (h1 IS NOT NULL)::INT + (h2 IS NOT NULL)::INT AS depth, count(*) AS blocks FROM pt GROUP BY ALL",
     "b05_block_kinds": f"SELECT source, {KIND} AS kind, count(*) AS blocks FROM blocks GROUP BY ALL",
     "b06_clean_texts": "SELECT doc_id, md5(array_to_string(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: rtrim(x)), chr(10))) AS text_md5 FROM documents",
     "b08_tokens": f"SELECT doc_id, {TOKENS} AS tokens FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)",
