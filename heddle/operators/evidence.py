@@ -103,33 +103,6 @@ def e40_priorities(spark, sf_dir, must: int = 3, supporting: int = 5, optional:
     return ranked.groupBy("run_id", tier.alias("tier")).agg(F.count("*").alias("claims"), F.sum("score").alias("score"), F.min("score").alias("least"))
 
 
-def postings(spark, sf_dir, wanted: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """Inverted index over blocks: (term, doc_id, idx, tf, words), and one row with n and mean words; with ``wanted`` (term)
-    only these terms are counted."""
-    b = blocks(spark, sf_dir).select("doc_id", "idx", word_list(F.col("text")).alias("w"))
-    terms = b.select("doc_id", "idx", F.size("w").alias("words"), F.explode_outer("w").alias("term")).where("term is not null")
-    if wanted is not None:
-        terms = terms.join(wanted, "term", "left_semi")
-    some = F.when(F.col("n") > 0, F.col("n"))
-    size = b.select(F.size("w").alias("n")).agg(F.count(some).alias("n"), F.avg(some).alias("mean_words"))
-    return terms.groupBy("term", "doc_id", "idx", "words").agg(F.count("*").alias("tf")), size
-
-
-def e46_bm25(spark, sf_dir, most: int = 10, k1: float = 1.2, b: float = 0.75):
-    """Ten best blocks for each query by BM25; a query is the first 16 distinct words over two letters of a
-    benchmark item, any of which may match.  Scores are rounded to nine places before ranking."""
-    long_words = F.slice(F.array_distinct(F.filter(word_list(F.col("text")), lambda w: F.length(w) > 2)), 1, 16)
-    query = table(spark, sf_dir, "benchmark").select("item_id", F.explode(long_words).alias("term"))
-    met, size = postings(spark, sf_dir, query.select("term").distinct())
-    df = met.groupBy("term").agg(F.count("*").alias("df"))
-    scored = met.join(df, "term").crossJoin(F.broadcast(size))  # one row of totals
-    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weight = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("words") / F.col("mean_words")))
-    hits = scored.select("term", "doc_id", "idx", weight.alias("weight")).join(query, "term").groupBy("item_id", "doc_id", "idx").agg(F.round(F.sum("weight"), 9).alias("score"))
-    place = F.row_number().over(Window.partitionBy("item_id").orderBy(F.desc("score"), "doc_id", "idx"))
-    return hits.withColumn("place", place).where(F.col("place") <= most).select("item_id", "place", "doc_id", "idx", "score")
-
-
 def e60_latest_judgements(spark, sf_dir):
     """The last event of each (user, name); of equal times the larger id."""
     e = real(product_events(spark, sf_dir))

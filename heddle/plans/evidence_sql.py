@@ -34,14 +34,6 @@ SQL: dict[str, str] = {
         WITH c AS (SELECT run_id, call_id, latency_ms, least(100, greatest(0, input_tokens % 90 + CASE WHEN stage = 'A' THEN 15 ELSE 0 END)) AS score FROM model_calls WHERE status = 'succeeded'),
              r AS (SELECT *, row_number() OVER (PARTITION BY run_id ORDER BY score DESC, call_id, latency_ms) AS place FROM c)
         SELECT run_id, CASE WHEN place <= 3 THEN 'must' WHEN place <= 8 THEN 'supporting' WHEN place <= 16 THEN 'optional' ELSE 'deferred' END AS tier, count(*) AS claims, sum(score)::BIGINT AS score, min(score) AS least FROM r GROUP BY ALL""",
-    "e46_bm25": f"""
-        WITH b AS (SELECT * FROM (SELECT doc_id, idx, regexp_extract_all(lower(text), '{WORDS}') AS w FROM blocks) WHERE len(w) > 0), p AS (SELECT doc_id, idx, len(w) AS words, unnest(w) AS term FROM b),
-             t AS (SELECT term, doc_id, idx, words, count(*) AS tf FROM p GROUP BY ALL), s AS (SELECT count(*) AS n, avg(len(w)) AS mean_words FROM b),
-             q0 AS (SELECT item_id, list_filter(regexp_extract_all(lower(coalesce(text, '')), '{WORDS}'), lambda x: length(x) > 2) AS l FROM benchmark),
-             q1 AS (SELECT item_id, term, min(i) AS i FROM (SELECT item_id, unnest(l) AS term, unnest(generate_series(1, len(l))) AS i FROM q0) GROUP BY ALL), q AS (SELECT item_id, term FROM q1 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY i) <= 16),
-             d AS (SELECT term, count(*) AS df FROM t GROUP BY 1),
-             h AS (SELECT item_id, doc_id, idx, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * words / mean_words))), 9) AS score FROM q JOIN t USING (term) JOIN d USING (term), s GROUP BY ALL)
-        SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, idx)::INT AS place, doc_id, idx, score FROM h QUALIFY place <= 10""",
     "e60_latest_judgements": "SELECT user_id, name, event_id, project_id, value FROM core QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY ts DESC, event_id DESC) = 1",
     "e27_conservation": """
         WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT l_orderkey AS id, count(*) AS made FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
