@@ -104,28 +104,46 @@ def marks(df: DataFrame, column: str, bits: int = 24) -> DataFrame:
     return df.select(slot.alias("_slot"), bit.alias("_b")).groupBy("_slot").agg(F.bit_or("_b").alias("_word"))
 
 
+def fresh(docs: DataFrame, *names: str) -> list[str]:
+    """The names, or where a column has one of them (in any case) longer ones that none has."""
+    taken, out = {c.lower() for c in docs.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def own_columns(docs: DataFrame) -> list:
+    return [F.col("`" + c.replace("`", "``") + "`") for c in docs.columns]
+
+
 def told_apart(docs: DataFrame, ids: DataFrame, bits: int = 24) -> tuple[DataFrame, DataFrame]:
     """(rows whose doc_id is surely not in ``ids``, the others): a bitmap of the ids' hashes decides.
 
     The bitmap is a broadcast table of at most 2^(bits-6) longs whatever the input, so that the first part
     needs no shuffle; only the second, which holds all of ``ids`` and a few more, has to be joined."""
+    at, place, word = fresh(docs, "_at", "_slot", "_word")
     slot, bit = marked("doc_id", bits)
-    flagged = docs.withColumn("_at", slot).join(F.broadcast(marks(ids, "doc_id", bits)), F.col("_at") == F.col("_slot"), "left")
-    some = F.coalesce(F.col("_word").bitwiseAND(bit) != 0, F.lit(False))
-    return flagged.where(~some).select(*docs.columns), flagged.where(some).select(*docs.columns)
+    held = marks(ids, "doc_id", bits).select(F.col("_slot").alias(place), F.col("_word").alias(word))
+    flagged = docs.withColumn(at, slot).join(F.broadcast(held), F.col(at) == F.col(place), "left")
+    some = F.coalesce(F.col(word).bitwiseAND(bit) != 0, F.lit(False))
+    return flagged.where(~some).select(*own_columns(docs)), flagged.where(some).select(*own_columns(docs))
 
 
 def without_rows(docs: DataFrame, gone: DataFrame, once: DataFrame | None = None) -> DataFrame:
     """``docs`` without the rows in ``gone`` (doc_id, text_sha256; materialised, each once); of equal rows in ``once``
     (the same columns) one stays.  A null doc_id is a value like others."""
+    sha, one, key = fresh(docs, "_sha", "_id", "_key")
     rest, maybe = told_apart(docs, gone.select("doc_id") if once is None else gone.select("doc_id").unionByName(once.select("doc_id")))
-    keyed = maybe.withColumn("_sha", F.sha2(F.col("text").cast("binary"), 256))
+    keyed = maybe.withColumn(sha, F.sha2(F.col("text").cast("binary"), 256))
 
     def among(rows: DataFrame, how: str) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_key"))
-        return keyed.join(rows, keyed["doc_id"].eqNullSafe(rows["_id"]) & (keyed["_sha"] == rows["_key"]), how)
+        rows = rows.select(F.col("doc_id").alias(one), F.col("text_sha256").alias(key))
+        return keyed.join(rows, keyed["doc_id"].eqNullSafe(rows[one]) & (keyed[sha] == rows[key]), how)
 
     if once is None:
-        return rest.unionByName(among(gone, "left_anti").drop("_sha"))
-    left = rest.unionByName(among(gone.unionByName(once), "left_anti").drop("_sha"))
-    return left.unionByName(among(once, "left_semi").dropDuplicates(["doc_id", "_sha"]).drop("_sha"))
+        return rest.unionByName(among(gone, "left_anti").drop(sha))
+    left = rest.unionByName(among(gone.unionByName(once), "left_anti").drop(sha))
+    return left.unionByName(among(once, "left_semi").dropDuplicates(["doc_id", sha]).drop(sha))

@@ -160,7 +160,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, broadcast_bytes: int =
     )
     grouped = joined.groupBy("uid").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), *[F.first(c).alias(c) for c in key], F.collect_set(hit).alias("spans"), F.collect_set("set_key").alias("sets"))
     counted = materialise(grouped.select("uid", "doc_id", "n_words", covered.alias("n_hit"), "sets", *key))
-    of_sets = counted.where(F.size("sets") > 0).select("uid", F.explode("sets").alias("set_key")).join(sets, "set_key").groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
+    held = counted.where(F.size("sets") > 0).select("uid", F.explode("sets").alias("set_key"))
+    # ids of sets are fewer than the windows' rows, whose bytes are measured; beyond that a set that many documents hold is dealt in parts
+    parts = sets.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    held = held.join(F.broadcast(sets), "set_key") if small else held.withColumn("salt", F.pmod("uid", F.lit(SALTS)).cast("int")).join(parts, ["set_key", "salt"])
+    of_sets = held.groupBy("uid").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ids")))).alias("ids"))
     items = F.coalesce("ids", F.array().cast("array<string>"))
     return counted.join(of_sets, "uid", "left").select(
         "doc_id", "n_words", "n_hit", F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), (F.size("sets") > 0).alias("contaminated"), *key

@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import materialise, tasks_for, told_apart
+from heddle.llm.common import fresh, materialise, tasks_for, told_apart
 
 WHITE = b" \t\n\v\f\r"
 
@@ -228,8 +228,9 @@ def keep_first_copies(docs: DataFrame) -> DataFrame:
     among them the kept row is found by doc_id and text, and of repeated rows one stays."""
     decided = materialise(exact_dedup(docs).select("doc_id", "kept", "text_sha256"))
     rest, maybe = told_apart(docs, decided.where("not kept").select("doc_id"))
-    kept = decided.where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
+    one, key, sha = fresh(docs, "_id", "_key", "_text_sha")
+    kept = decided.where("kept").select(F.col("doc_id").alias(one), F.col("text_sha256").alias(key))
     white = "translate(coalesce(text, ''), concat(' ', chr(9), chr(10), chr(11), chr(12), chr(13)), '')"
-    named = maybe.withColumn("_text_sha", F.sha2(F.expr(white).cast("binary"), 256))
-    found = named.join(kept, named["doc_id"].eqNullSafe(kept["_id"]) & (named["_text_sha"] == kept["_sha"]), "left_semi")
-    return rest.unionByName(found.dropDuplicates(["doc_id", "_text_sha"]).drop("_text_sha"))
+    named = maybe.withColumn(sha, F.sha2(F.expr(white).cast("binary"), 256))
+    found = named.join(kept, named["doc_id"].eqNullSafe(kept[one]) & (named[sha] == kept[key]), "left_semi")
+    return rest.unionByName(found.dropDuplicates(["doc_id", sha]).drop(sha))

@@ -24,7 +24,7 @@ when their Jaccard similarity is at least 0.8.
    root; pairs are never written.  Connected components follow from the roots.
 
 A pair whose similarity is 0.8 or more is left out only if its sketches agree in under 0.5
-(about 2 in 100 million at 0.8) or no run joins it; the target recall is 0.999 for each link.
+(about 2 in 100 million at 0.8) or no run joins it; the target recall is 0.9999 for each link.
 
 Defined results: null, empty and wordless texts have no set, no links and a class of their
 own; texts of one to four words have one shingle; repeated rows are copies of each other;
@@ -345,8 +345,13 @@ def jaccard_join(docs: DataFrame, limit: int = LIMIT, keyed: bool = False, hashe
     found = materialise(grouped(full).mapInArrow(_verify, "rep long, links long, root long"))
     links = found.groupBy("rep").agg(F.sum("links").alias("links"))
     roots = connected_components(found.select(F.col("rep").alias("a"), F.col("root").alias("b")))
-    joined = classes.select("cls", "rep", "size", "copies_id", *firsts).join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
-    named = joined.drop(*firsts).join(joined.groupBy("root").agg(F.min("copies_id").alias("class_id"), *[F.min(name).alias(name) for name in firsts]), "root")
+    joined = classes.select("cls", "rep", "size", "copies_id", *firsts).join(links, "rep", "left").join(roots.withColumnRenamed("node", "rep"), "rep", "left")
+    # a class without links is a component by itself; a component of many classes is named in parts
+    linked = joined.where(F.col("root").isNotNull())
+    of_root = linked.groupBy("root").agg(F.min("copies_id").alias("class_id"), *[F.min(name).alias(name) for name in firsts])
+    of_root = of_root.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = linked.drop(*firsts).withColumn("salt", F.pmod(F.xxhash64("rep"), F.lit(SALTS)).cast("int")).join(of_root, ["root", "salt"]).drop("salt")
+    named = named.unionByName(joined.where(F.col("root").isNull()).withColumn("class_id", F.col("copies_id")).select(*named.columns))
     members = named.select("cls", "class_id", "copies_id", *firsts, (F.col("size") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     elected = [row.eqNullSafe(F.when(F.col("doc_id").isNotNull(), F.col("first")).otherwise(F.col("nameless"))).alias("elected")] if keyed else []
     return sketched.select("doc_id", "cls", *key).join(members, "cls").select("doc_id", "class_id", "n_links", "copies_id", *key, *elected)

@@ -39,7 +39,7 @@ from heddle.llm.common import materialise
 
 CAPACITY = 2048
 GROUPS = 64
-SMALL = 1 / 32  # of the capacity: lengths up to it are not grouped
+SMALL = (1 / 32, 1 / 8, 1 / 4, 1 / 2, 1)  # of the capacity, each tried: lengths up to it are not grouped; with 1 it is best fit alone
 PART = 1 << 18  # pieces of one length that one task ranks
 END_ID = 0
 
@@ -146,6 +146,19 @@ def configurations(sizes: np.ndarray, counts: np.ndarray, capacity: int) -> list
 
 
 def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
+    """The plan of fewest sequences among those with each of ``SMALL``; it never takes more than best fit in falling order."""
+    least = -(-sum(s * n for s, n in counts.items()) // capacity)
+    best = None
+    for small in SMALL:
+        plan = plan_with(counts, small, capacity, groups)
+        if best is None or plan[1] < best[1]:
+            best = plan
+        if best[1] == least:
+            break
+    return best
+
+
+def plan_with(counts: dict[int, int], small: float, capacity: int = CAPACITY, groups: int = GROUPS) -> tuple[np.ndarray, int]:
     """Rows (length, first rank, pieces, first sequence, offset) by length and rank, and the number of sequences."""
     left = dict(counts)
     used = dict.fromkeys(counts, 0)
@@ -167,7 +180,7 @@ def plan_sequences(counts: dict[int, int], capacity: int = CAPACITY, groups: int
     if left.get(capacity):
         made = left[capacity]
         put(capacity, made, 0, 0)
-    large = [s for s in sorted(left, reverse=True) if SMALL * capacity < s < capacity and left[s]]
+    large = [s for s in sorted(left, reverse=True) if small * capacity < s < capacity and left[s]]
     total = sum(left[s] for s in large)
     groups = min(groups, total // 4)  # four pieces at least to a group
     if groups:

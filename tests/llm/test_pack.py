@@ -69,3 +69,35 @@ def test_pack_round_trip(spark):
 
 def test_empty_table(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH).count() == 0
+
+
+def best_fit_decreasing(lengths, capacity):
+    free = []
+    for s in sorted(lengths, reverse=True):
+        fits = [(f, k) for k, f in enumerate(free) if f >= s]
+        if fits:
+            free[min(fits)[1]] -= s
+        else:
+            free.append(capacity - s)
+    return len(free)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_never_more_sequences_than_best_fit(seed):
+    rng = np.random.default_rng(seed)
+    n = int(rng.integers(1, 900))
+    kinds = [rng.integers(1, 257, n), np.clip(rng.lognormal(4, 1, n), 1, 256).astype(int), rng.choice([60, 86, 100, 129, 200], n)]
+    lengths = kinds[seed % 3]
+    plan, made = plan_sequences({int(k): int(v) for k, v in zip(*np.unique(lengths, return_counts=True))}, capacity=256)
+    assert made <= best_fit_decreasing(lengths.tolist(), 256)
+    held = {}
+    for length, _, pieces, first, offset in plan.tolist():
+        for k in range(pieces):
+            held.setdefault(first + k, []).append((offset, length))
+    assert len(held) == made and sum(len(v) for v in held.values()) == n
+    for spans in held.values():
+        at = 0
+        for offset, length in sorted(spans):
+            assert offset == at
+            at += length
+        assert at <= 256
