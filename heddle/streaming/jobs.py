@@ -5,46 +5,47 @@ folder, with a checkpoint location, and return what was written: no row passes t
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from heddle.functions.columns import iso, ref_week
-from heddle.sources.store import fresh_path
+from heddle.sources.store import fresh_path, materialise
 from heddle.sources.views import table
+from heddle.streaming.carried import alert_step, breaker_step, cache_step, carried, session_step
 
 LATE = "2 hours"
+FILES = 32  # of a micro-batch
 
 
-def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The events table as a stream with event time ``at``; a day may come late by two hours."""
-    schema = table(spark, sf_dir, "events").schema
-    raw = spark.readStream.schema(schema).parquet(f"{sf_dir}/events.parquet*")
+def as_events(raw: DataFrame) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
     return raw.select("event_id", F.col("ts").cast("timestamp").alias("at"), F.col("user_id").cast("string").alias("user_id"), "event_type", "value", k.alias("k"), F.concat(F.lit("p"), (F.col("user_id") * 7 + k % 5) % 60).alias("project_id"))
 
 
-def collected(stream: DataFrame, mode: str) -> DataFrame:
+def event_stream(spark: SparkSession, sf_dir: str, files: int = FILES) -> DataFrame:
+    """The events table as a stream with event time ``at``, so many files to a micro-batch; an event may come late by two hours."""
+    raw = spark.readStream.schema(table(spark, sf_dir, "events").schema).option("maxFilesPerTrigger", files)
+    return as_events(raw.parquet(f"{sf_dir}/events.parquet*"))
+
+
+def collected(stream: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
     """Runs a stream over what is there and returns its result table.
 
-    Each micro-batch is written to a folder of its number, so that one that is run again replaces itself; in the mode
-    ``complete`` the last one is the result."""
+    Each micro-batch is written to a folder of its number, so that one that is run again replaces itself; in the mode ``update`` the last row
+    that was written for each of ``keys`` is the result."""
     spark = stream.sparkSession
     path, state = fresh_path(spark), fresh_path(spark)
     spark.createDataFrame([], stream.schema).write.parquet(f"{path}/batch_no=-1")
-    last = [-1]
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/batch_no={number}")
-        last[0] = number
 
     query = stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", state).trigger(availableNow=True).start()
     query.awaitTermination()
-    rows = spark.read.schema(stream.schema).parquet(f"{path}/batch_no={last[0]}" if mode == "complete" else f"{path}/batch_no=*")
+    rows = spark.read.option("basePath", path).parquet(f"{path}/batch_no=*")
+    if keys:
+        others = [c for c in stream.columns if c not in keys]
+        rows = rows.groupBy(*keys).agg(F.max_by(F.struct(*others), "batch_no").alias("last")).select(*keys, "last.*")
     return rows.select(*stream.columns)
 
 
@@ -63,9 +64,10 @@ def s04_distinct(events: DataFrame) -> DataFrame:
     return events.withWatermark("at", LATE).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def s05_sessions(events: DataFrame, gap: str = "3 hours") -> DataFrame:
-    """Sessions of a project: a gap ends one (24 hours in production)."""
-    return events.withWatermark("at", LATE).groupBy(F.session_window("at", gap).alias("w"), "project_id").agg(F.count("*").alias("events"))
+def s05_sessions(events: DataFrame, gap_seconds: int = 3 * 3600) -> DataFrame:
+    """Sessions of a project and their events: a gap ends one (24 hours in production).  Those that may go on are the carried rows."""
+    done, going = carried(slim(events, "project_id", F.lit(1)), SLIM.format("project_id"), SLIM.format("project_id"), session_step(gap_seconds))
+    return done.unionByName(going).select("project_id", F.col("flag").alias("events"))
 
 
 def s06_conversions(events: DataFrame, days: int = 7) -> DataFrame:
@@ -86,93 +88,92 @@ def s09_trailing_actives(events: DataFrame) -> DataFrame:
     return events.withWatermark("at", LATE).groupBy(F.window("at", "7 days", "1 day").alias("w")).agg(F.approx_count_distinct("user_id", 0.01).alias("users"))
 
 
-def in_order(batches: Iterator[pd.DataFrame]) -> pd.DataFrame:
-    """All rows that a micro-batch has of one key, by time and id.  Arrow hands a key over in several chunks that are not
-    in order, so that sorting each alone would be wrong; rows hold a time, a number and a flag only."""
-    return pd.concat(list(batches), ignore_index=True).sort_values(["at", "event_id"], ignore_index=True)
-
-
 def slim(events: DataFrame, key: str, what: Column) -> DataFrame:
     return events.select(key, "at", "event_id", what.cast("int").alias("flag"))
 
 
+SLIM = "{} string, at timestamp, event_id long, flag int"
 BREAKER_OUT = "project_id string, event_id long, errors int"
-
-
-def _breaker(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Counts errors in a row; a third one opens the breaker and is told."""
-    rows = in_order(batches)
-    error = rows["flag"].to_numpy() == 1
-    before = state.get[0] if state.exists else 0
-    run = np.cumsum(~error)  # 0 until the first row that is no error: that run goes on from before
-    total = np.cumsum(error)
-    start = np.maximum.accumulate(np.where(error, 0, total))
-    count = total - start + np.where(run == 0, before, 0)
-    hit = error & (count % 3 == 0)
-    state.update((int(count[-1] % 3) if error[-1] else 0,))
-    yield pd.DataFrame({"project_id": key[0], "event_id": rows["event_id"][hit], "errors": np.int32(3)})
-
-
-def s11_breaker(events: DataFrame) -> DataFrame:
-    """Three errors in a row of a project, with one counter of state for each project."""
-    flagged = slim(events, "project_id", F.col("event_type") == "error")
-    return flagged.groupBy("project_id").applyInPandasWithState(_breaker, BREAKER_OUT, "count int", "append", GroupStateTimeout.NoTimeout)
-
-
 CACHE_OUT = "user_id string, event_id long, result string"
-HOURS_24 = np.timedelta64(24, "h")
 
 
-def _cache(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """An entry lives for 24 hours after it was stored (flag 1); a lookup (flag 2) hits, or says why not."""
-    rows = in_order(batches)
-    stored = rows["at"].where(rows["flag"] == 1).ffill()
-    if state.exists:
-        stored = stored.fillna(pd.Timestamp(state.get[0], unit="us"))
-    result = np.where(stored.isna(), "absent", np.where(rows["at"] - stored <= HOURS_24, "hit", "expired"))
-    if not pd.isna(stored.iloc[-1]):
-        state.update((int(stored.iloc[-1].value // 1000),))
-    asked = (rows["flag"] == 2).to_numpy()
-    yield pd.DataFrame({"user_id": key[0], "event_id": rows["event_id"][asked], "result": result[asked]})
+def s11_breaker(events: DataFrame) -> DataFrame:
+    """Three errors in a row of a project."""
+    return carried(slim(events, "project_id", F.col("event_type") == "error"), SLIM.format("project_id"), BREAKER_OUT, breaker_step)[0]
 
 
 def s10_cache(events: DataFrame) -> DataFrame:
-    """Cache lookups with a time to live, from one time of state for each user: purchases store, clicks look up."""
+    """Cache lookups with a time to live: purchases store, clicks look up."""
     kinds = F.when(F.col("event_type") == "purchase", 1).when(F.col("event_type") == "click", 2)
-    rows = slim(events.where(F.col("event_type").isin("purchase", "click")), "user_id", kinds)
-    return rows.groupBy("user_id").applyInPandasWithState(_cache, CACHE_OUT, "stored long", "append", GroupStateTimeout.NoTimeout)
+    return carried(slim(events.where(F.col("event_type").isin("purchase", "click")), "user_id", kinds), SLIM.format("user_id"), CACHE_OUT, cache_step)[0]
 
 
-def _last_ten(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """Alerts while four or more of a project's last ten events are errors."""
-    rows = in_order(batches)
-    before = np.array(state.get[0] if state.exists else [], dtype=np.int64)[-9:]
-    flags = np.concatenate([before, rows["flag"].to_numpy(dtype=np.int64)])
-    total = np.concatenate([[0], np.cumsum(flags)])
-    at = np.arange(len(before), len(flags)) + 1
-    errors = total[at] - total[np.maximum(at - 10, 0)]
-    state.update((flags[-9:].tolist(),))
-    hit = errors >= 4
-    yield pd.DataFrame({"project_id": key[0], "event_id": rows["event_id"][hit], "errors": errors[hit].astype(np.int32)})
+def s12_alerts(events: DataFrame) -> DataFrame:
+    """Rolling alerts: four errors or more among a project's last ten events."""
+    return carried(slim(events, "project_id", F.col("event_type") == "error"), SLIM.format("project_id"), BREAKER_OUT, alert_step)[0]
 
 
-def s12_alerts(events: DataFrame) -> DataFrame:
-    """Rolling alerts, from a list of nine flags of state for each project."""
-    flagged = slim(events, "project_id", F.col("event_type") == "error")
-    return flagged.groupBy("project_id").applyInPandasWithState(_last_ten, BREAKER_OUT, "last array<int>", "append", GroupStateTimeout.NoTimeout)
+def s03_rollup(raw: DataFrame, late_seconds: int = 2 * 3600) -> DataFrame:
+    """The daily rollup of a stream of events that may come late by any time: (day, event_type, events, k_sum, recomputed).
 
+    What has come is kept by day.  A batch's rows of days that aren't behind the watermark - the latest time of the batches before, less two hours - are
+    added up; a day of which a row is behind it is recomputed from all that has come of it and written as a whole.  All
+    folders have the batch's number, so that a batch that is run again replaces what it wrote."""
+    spark = raw.sparkSession
+    path = fresh_path(spark)
+    landed, sums, marks = f"{path}/landed", f"{path}/sums", f"{path}/marks"
+    counts = [F.count("*").alias("events"), F.sum("k").cast("long").alias("k_sum")]
+    e = raw.select("event_id", "at", "event_type", "k", F.to_date("at").alias("day"))
+    spark.createDataFrame([], "event_type string, events long, k_sum long, whole boolean, day date").write.parquet(f"{sums}/batch_no=-1")
 
-def s03_recomputed(spark: SparkSession, sf_dir: str, since: str = "2024-01-15") -> DataFrame:
-    """The daily rollup after late data: days before ``since`` from the stream, later ones recomputed from the table."""
-    streamed = _day(collected(s01_daily(event_stream(spark, sf_dir)), "complete")).where(F.col("day") < since)
+    def write(batch: DataFrame, number: int) -> None:
+        session = batch.sparkSession
+        batch.write.mode("overwrite").partitionBy("day").parquet(f"{landed}/batch_no={number}")
+        mine = session.read.schema(batch.schema).parquet(f"{landed}/batch_no={number}")
+        known = session.read.schema("batch_no int, latest timestamp").parquet(marks).where(F.col("batch_no") < number).agg(F.max("latest")).head()[0] if number else None
+        mine.agg(F.lit(number).alias("batch_no"), F.max("at").alias("latest")).write.mode("overwrite").parquet(f"{marks}/n={number}")
+        closed = F.lit(False) if known is None else F.unix_micros(F.date_add("day", 1).cast("timestamp")) <= F.unix_micros(F.lit(known)) - late_seconds * 1_000_000
+        late_days = materialise(mine.where(closed).select("day").distinct())
+        fresh = mine.join(late_days, "day", "left_anti").groupBy("day", "event_type").agg(*counts).withColumn("whole", F.lit(False))
+        wanted = [r["day"] for r in late_days.collect()] if late_days.count() <= 1000 else None  # so that only their folders are read
+        come = session.read.option("basePath", landed).schema(f"{LANDED}, batch_no int, day date").parquet(landed).where(F.col("batch_no") <= number)
+        come = come.where(F.col("day").isin(wanted)) if wanted else come
+        whole = come.join(late_days, "day", "left_semi").groupBy("day", "event_type").agg(*counts).withColumn("whole", F.lit(True))
+        columns = ["event_type", "events", "k_sum", "whole", "day"]
+        fresh.select(*columns).unionByName(whole.select(*columns)).write.mode("overwrite").parquet(f"{sums}/batch_no={number}")
+
+    e.writeStream.foreachBatch(write).option("checkpointLocation", fresh_path(spark)).trigger(availableNow=True).start().awaitTermination()
+    rows = spark.read.option("basePath", sums).parquet(f"{sums}/batch_no=*")
+    last = rows.where("whole").groupBy("day").agg(F.max("batch_no").alias("last"))
+    held = rows.join(last, "day", "left").where(F.col("last").isNull() | (F.col("batch_no") > F.col("last")) | F.col("whole") & (F.col("batch_no") == F.col("last")))
+    return held.groupBy("day", "event_type").agg(F.sum("events").alias("events"), F.sum("k_sum").alias("k_sum"), F.max(F.col("last").isNotNull()).alias("recomputed"))
+
+
+LANDED = "event_id long, at timestamp, event_type string, k int"
+
+
+def arrivals(spark: SparkSession, sf_dir: str, batches: int = 3, late: int = 50) -> DataFrame:
+    """The events as they might come: by time, in so many batches, but every fiftieth only with the last one; written once, and read
+    as a stream."""
     e = table(spark, sf_dir, "events")
-    late = e.where(F.to_date("ts") >= F.lit(since)).groupBy("event_type", iso(F.to_date("ts")).alias("day"))
-    return streamed.unionByName(late.agg(F.count("*").alias("events"), F.sum(F.get_json_object("props", "$.k").cast("int")).alias("k_sum")))
+    cuts = e.agg(F.percentile_approx("ts", [k / batches for k in range(1, batches)], 100)).head()[0] or []
+    path, bounds = fresh_path(spark), [None, *cuts, None]
+    slow = F.col("event_id") % late == 0
+    for k, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        here = (F.col("ts") >= F.lit(low) if low is not None else F.lit(True)) & (F.col("ts") < F.lit(high) if high is not None else F.lit(True))
+        part = e.where(here & ~slow if k + 1 < batches else here | slow)
+        part.write.mode("append").parquet(f"{path}/part={k:03d}")  # one after the other: a stream reads files by their age
+    return as_events(spark.readStream.schema(e.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/part=*"))
+
+
+def s03_recomputed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The daily rollup, whatever comes late."""
+    return s03_rollup(arrivals(spark, sf_dir)).select(iso(F.col("day")).alias("day"), "event_type", "events", "k_sum")
 
 
 def s09_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact users of the trailing 7 and 30 days of each day: the stream keeps one row of state for each user and day."""
-    seen = collected(event_stream(spark, sf_dir).groupBy("user_id", F.to_date("at").alias("d")).agg(F.count("*").alias("n")), "complete")
+    seen = collected(event_stream(spark, sf_dir).groupBy("user_id", F.to_date("at").alias("d")).agg(F.count("*").alias("n")), "update", ["user_id", "d"])
     days = seen.select("d").distinct()
     spread = seen.select("user_id", "d", F.explode(F.sequence("d", F.date_add("d", 29))).alias("day"))
     met = spread.join(F.broadcast(days.withColumnRenamed("d", "day")), "day")  # one row for each day
@@ -185,18 +186,18 @@ def _day(df: DataFrame) -> DataFrame:
 
 
 QUERIES = {
-    "s01_daily_stream": lambda spark, sf_dir: _day(collected(s01_daily(event_stream(spark, sf_dir)), "complete")),
-    "s02_weekly_stream": lambda spark, sf_dir: collected(s02_weekly(event_stream(spark, sf_dir)), "complete"),
+    "s01_daily_stream": lambda spark, sf_dir: _day(collected(s01_daily(event_stream(spark, sf_dir)), "update", ["w", "event_type"])),
+    "s02_weekly_stream": lambda spark, sf_dir: collected(s02_weekly(event_stream(spark, sf_dir)), "update", ["week"]),
     "s04_distinct_stream": lambda spark, sf_dir: collected(s04_distinct(event_stream(spark, sf_dir)), "append").groupBy("event_type").agg(F.count("*").alias("events"), F.countDistinct("event_id").alias("ids")),
-    "s05_session_stream": lambda spark, sf_dir: collected(s05_sessions(event_stream(spark, sf_dir)), "complete").groupBy("project_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("largest")),
+    "s05_session_stream": lambda spark, sf_dir: s05_sessions(event_stream(spark, sf_dir)).groupBy("project_id").agg(F.count("*").alias("sessions"), F.sum("events").alias("events"), F.max("events").alias("largest")),
     "s06_conversion_stream": lambda spark, sf_dir: collected(s06_conversions(event_stream(spark, sf_dir)), "append").groupBy("user_id").agg(F.countDistinct("event_id").alias("signups"), F.count("*").alias("purchases")),
-    "s08_latest_stream": lambda spark, sf_dir: collected(s08_latest(event_stream(spark, sf_dir)), "complete"),
-    "s09_actives_stream": lambda spark, sf_dir: _day(collected(s09_trailing_actives(event_stream(spark, sf_dir)), "complete")),
+    "s08_latest_stream": lambda spark, sf_dir: collected(s08_latest(event_stream(spark, sf_dir)), "update", ["project_id"]),
+    "s09_actives_stream": lambda spark, sf_dir: _day(collected(s09_trailing_actives(event_stream(spark, sf_dir)), "update", ["w"])),
     "s03_recomputed_days": s03_recomputed,
     "s09_exact_actives": s09_exact,
-    "s10_cache_stream": lambda spark, sf_dir: collected(s10_cache(event_stream(spark, sf_dir)), "append").groupBy("user_id", "result").agg(F.count("*").alias("lookups")),
-    "s12_alert_stream": lambda spark, sf_dir: collected(s12_alerts(event_stream(spark, sf_dir)), "append"),
-    "s11_breaker_stream": lambda spark, sf_dir: collected(s11_breaker(event_stream(spark, sf_dir)), "append"),
+    "s10_cache_stream": lambda spark, sf_dir: s10_cache(event_stream(spark, sf_dir)).groupBy("user_id", "result").agg(F.count("*").alias("lookups")),
+    "s12_alert_stream": lambda spark, sf_dir: s12_alerts(event_stream(spark, sf_dir)),
+    "s11_breaker_stream": lambda spark, sf_dir: s11_breaker(event_stream(spark, sf_dir)),
 }
 
 _WEEK = "strftime(CASE WHEN isodow(ts) = 1 THEN ts::DATE - 7 ELSE date_trunc('week', ts)::DATE END, '%Y-%m-%d')"
