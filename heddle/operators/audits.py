@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions.columns import fold_for_match, half_even, share, token_estimate
 from heddle.operators.documents import pack_in_order
 from heddle.operators.evidence import word_list
+from heddle.operators.ledger import priced_calls
 from heddle.sources.views import blocks, cells, edges, model_calls, prices, product_events, real, spans, table, turns
 
 
@@ -170,11 +171,17 @@ def q32_outside_evidence(spark, sf_dir):
     return flagged.groupBy((F.col("l_partkey") % 10).alias("bucket")).agg(F.count("*").alias("citations"), F.count_if("outside").alias("outside"), F.avg(F.col("outside").cast("double")).alias("rate"))
 
 
-def q40_stale_approvals(spark, sf_dir):
-    """Approvals whose plan hash is no longer the current one."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", F.md5(F.concat_ws("|", F.col("o_custkey").cast("string"), "o_orderpriority").cast("binary")).alias("current"), F.when(F.col("o_orderkey") % 7 == 0, F.lit("1-URGENT")).otherwise(F.col("o_orderpriority")).alias("then"), "o_custkey")
-    approved = F.md5(F.concat_ws("|", F.col("o_custkey").cast("string"), "then").cast("binary"))
-    return o.groupBy((F.col("o_custkey") % 10).alias("bucket")).agg(F.count("*").alias("approvals"), F.count_if(F.col("current") != approved).alias("stale"))
+def q40_stale_approvals(spark, sf_dir, days: int = 30):
+    """Approvals - of what an order's plan held so many days after it was placed - whose plan has another hash now."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate")
+    item = F.struct("l_linenumber", "l_partkey", "l_suppkey")
+    held = o.join(lines, F.col("o_orderkey") == F.col("l_orderkey"))
+    then = F.when(F.col("l_shipdate") <= F.date_add("o_orderdate", days).cast("timestamp"), item)
+    plans = held.groupBy("o_orderkey", "o_custkey").agg(F.array_sort(F.collect_list(item)).alias("now"), F.array_sort(F.collect_list(then)).alias("then"))
+    text = lambda a: F.array_join(F.transform(a, lambda x: F.concat_ws(":", x["l_linenumber"], x["l_partkey"], x["l_suppkey"])), "|")
+    key = lambda a: F.sha2(text(a).cast("binary"), 256)
+    return plans.groupBy((F.col("o_custkey") % 10).alias("bucket")).agg(F.count("*").alias("approvals"), F.count_if(key("now") != key("then")).alias("stale"), F.count_if(F.size("then") == 0).alias("empty"))
 
 
 def c05_cost_estimate(spark, sf_dir):
@@ -194,11 +201,13 @@ def c09_supported_minutes(spark, sf_dir):
 
 
 def c13_estimate_and_actual(spark, sf_dir):
-    """Estimated against actual cost by stage, over the union of both sides' keys."""
+    """The cost of each stage's calls under the prices in force against what those that succeeded cost, over the union of both sides' keys;
+    a side without a price is null, never 0."""
     c = model_calls(spark, sf_dir)
     actual = c.where("status = 'succeeded'").groupBy("project_id", "stage").agg(F.sum("cost_micros").alias("actual"))
-    estimate = c.where("latency_ms > 50000").groupBy("project_id", "stage").agg(F.sum("input_tokens").alias("estimate"))
-    return estimate.join(actual, ["project_id", "stage"], "full").select("project_id", "stage", F.coalesce("estimate", F.lit(0)).alias("estimate"), F.coalesce("actual", F.lit(0)).alias("actual"))
+    estimate = priced_calls(c, prices(spark, sf_dir)).groupBy("project_id", "stage").agg(F.sum("price_micros").alias("estimate"), F.count_if(F.col("price_micros").isNull()).alias("unpriced"))
+    both = estimate.join(actual, ["project_id", "stage"], "full")
+    return both.select("project_id", "stage", "estimate", "actual", F.coalesce("unpriced", F.lit(0)).alias("unpriced"), share(F.col("actual"), F.col("estimate")).alias("ratio"))
 
 
 def o38_attempts(spark, sf_dir):
@@ -223,22 +232,12 @@ def t28_claim_repeats(spark, sf_dir):
 
 def t29_glossary(spark, sf_dir):
     """Terms with the forms in which they are written: one form is settled, more are a conflict."""
-    term = F.explode_outer(F.regexp_extract_all("text", F.lit(r"([A-Za-z]{9,})")))
+    term = F.explode_outer(F.regexp_extract_all("text", F.lit(r"(\p{L}{9,})")))
     t = turns(spark, sf_dir).select(term.alias("form")).where("form is not null")
     by = t.groupBy(F.lower("form").alias("term")).agg(F.count("*").alias("uses"), F.countDistinct("form").alias("forms"), F.min("form").alias("first_form"))
     return by.where("uses >= 2").select("term", "uses", "forms", F.when(F.col("forms") == 1, F.col("first_form")).alias("preferred"))
 
 
-def t33_text_pairs(spark, sf_dir):
-    """The first 20 words of each turn against the next turn's, ASCII characters only, as its SQL: see ``t33_text_verdicts``
-    for whole texts."""
-    plain = F.regexp_replace(F.lower("text"), "[^ -~]", "")
-    opening = F.array_join(F.slice(F.split(plain, " "), 1, 20), " ")
-    t = turns(spark, sf_dir).select("segment_id", "position", opening.alias("a")).withColumn("b", F.lead("a").over(Window.partitionBy("segment_id").orderBy("position"))).where("b is not null")
-    similar = 1 - F.levenshtein("a", "b") / F.greatest(F.length("a"), F.length("b"), F.lit(1))
-    return t.select("segment_id", "position", similar.alias("similarity"), F.when(similar >= 0.85, "match").when(similar >= 0.3, "partial").otherwise("different").alias("verdict"))
-
-
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] in "bcegoqt" and name[1:3].isdigit()}
 
 _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -246,6 +245,7 @@ _W = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 def _sql() -> dict[str, str]:
     from heddle.plans.document_sql import fold, tokens
+    from heddle.plans.ledger_sql import PRICED
 
     pack = lambda cost, budget: f"""WITH RECURSIVE n AS (SELECT doc_id, idx, ({cost})::BIGINT AS c FROM blocks), w AS (
             SELECT doc_id, idx, 0 AS bin, c AS held, c > {budget} AS big FROM n WHERE idx = 0
@@ -285,20 +285,19 @@ def _sql() -> dict[str, str]:
             SELECT run_id, planned, kept, kept::DOUBLE / nullif(planned, 0) >= 0.85 OR (kept + largest)::DOUBLE / nullif(planned, 0) >= 0.75 AS holds FROM b""",
         "q32_outside_evidence": """WITH l AS (SELECT DISTINCT l_orderkey, l_partkey, l_suppkey FROM lineitem), c AS (SELECT l_partkey, l_suppkey, count(*) AS orders FROM l GROUP BY ALL)
             SELECT l_partkey % 10 AS bucket, count(*) AS citations, count(*) FILTER (orders = 1) AS outside, avg((orders = 1)::INT) AS rate FROM l JOIN c USING (l_partkey, l_suppkey) GROUP BY 1""",
-        "q40_stale_approvals": "SELECT o_custkey % 10 AS bucket, count(*) AS approvals, count(*) FILTER (o_orderkey % 7 = 0 AND o_orderpriority <> '1-URGENT') AS stale FROM orders GROUP BY 1",
+        "q40_stale_approvals": """WITH h AS (SELECT o_orderkey, o_custkey, l_linenumber, l_partkey, l_suppkey, l_shipdate <= o_orderdate::DATE + 30 AS early FROM orders JOIN lineitem ON l_orderkey = o_orderkey),
+            p AS (SELECT o_orderkey, o_custkey, list({'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) AS a, coalesce(list({'a': l_linenumber, 'b': l_partkey, 'c': l_suppkey} ORDER BY l_linenumber, l_partkey, l_suppkey) FILTER (early), []) AS b FROM h GROUP BY ALL)
+            SELECT o_custkey % 10 AS bucket, count(*) AS approvals, count(*) FILTER (a <> b) AS stale, count(*) FILTER (len(b) = 0) AS empty FROM p GROUP BY 1""",
         "c05_cost_estimate": """WITH b AS (SELECT chapter AS model, round_even(sum(minutes) * 300 * 1.3::DOUBLE, 0)::BIGINT AS tokens, count(*) AS cells FROM cells GROUP BY 1), p AS (SELECT model, arg_max(input_per_million, effective_from) AS rate FROM prices GROUP BY 1)
             SELECT model, cells, tokens, round_even(tokens * rate / 1e6, 0)::BIGINT AS cost_micros FROM b LEFT JOIN p USING (model)""",
         "c09_supported_minutes": """WITH b AS (SELECT project_id, sum(latency_ms) / 1000::DOUBLE * 4 / 60 / 1000 AS x, sum(input_tokens) / 20::DOUBLE / 1000 AS y FROM model_calls GROUP BY 1)
             SELECT project_id, least(120, x, y)::DOUBLE AS minutes, CASE WHEN least(120, x, y) = x THEN 'claims' WHEN least(120, x, y) = y THEN 'evidence' ELSE 'most' END AS limited_by FROM b""",
-        "c13_estimate_and_actual": """WITH a AS (SELECT project_id, stage, sum(cost_micros) AS n FROM model_calls WHERE status = 'succeeded' GROUP BY ALL), e AS (SELECT project_id, stage, sum(input_tokens) AS n FROM model_calls WHERE latency_ms > 50000 GROUP BY ALL)
-            SELECT project_id, stage, coalesce(e.n, 0)::BIGINT AS estimate, coalesce(a.n, 0)::BIGINT AS actual FROM e FULL JOIN a USING (project_id, stage)""",
+        "c13_estimate_and_actual": f"""WITH {PRICED}, a AS (SELECT project_id, stage, sum(cost_micros)::BIGINT AS actual FROM model_calls WHERE status = 'succeeded' GROUP BY ALL), e AS (SELECT project_id, stage, sum(price_micros)::BIGINT AS estimate, count(*) FILTER (price_micros IS NULL) AS unpriced FROM p GROUP BY ALL)
+            SELECT project_id, stage, estimate, actual, coalesce(unpriced, 0) AS unpriced, actual::DOUBLE / nullif(estimate::DOUBLE, 0) AS ratio FROM e FULL JOIN a USING (project_id, stage)""",
         "o38_attempts": """WITH b AS (SELECT trace_id, model, count(*) AS attempts, arg_max(status, (started_at, call_id, latency_ms)) AS last_status FROM model_calls GROUP BY ALL) SELECT attempts, last_status, count(*) AS calls FROM b GROUP BY ALL""",
         "o21_trace_runs": "SELECT project_id, count(*) AS roots, max(epoch_ms(started_at) + duration_ms) - min(epoch_ms(started_at)) AS span_ms, string_agg(DISTINCT name, ',' ORDER BY name) AS names FROM spans WHERE status <> 'running' AND parent_id IS NULL GROUP BY 1",
         "t28_claim_repeats": f"SELECT segment_id, word, count(*) AS turns FROM (SELECT segment_id, unnest(list_distinct(regexp_extract_all(lower(text), '{_W}'))) AS word FROM turns) WHERE length(word) >= 8 GROUP BY ALL HAVING count(*) > 2",
-        "t29_glossary": """WITH t AS (SELECT unnest(regexp_extract_all(text, '([A-Za-z]{9,})', 1)) AS form FROM turns) SELECT lower(form) AS term, count(*) AS uses, count(DISTINCT form) AS forms, CASE WHEN count(DISTINCT form) = 1 THEN min(form) END AS preferred FROM t GROUP BY 1 HAVING count(*) >= 2""",
-        "t33_text_pairs": """WITH t AS (SELECT segment_id, position, array_to_string(string_split(regexp_replace(lower(text), '[^ -~]', '', 'g'), ' ')[1:20], ' ') AS a FROM turns), p AS (SELECT *, lead(a) OVER (PARTITION BY segment_id ORDER BY position) AS b FROM t),
-            s AS (SELECT segment_id, position, 1 - levenshtein(a, b) / greatest(length(a), length(b), 1)::DOUBLE AS similarity FROM p WHERE b IS NOT NULL)
-            SELECT *, CASE WHEN similarity >= 0.85 THEN 'match' WHEN similarity >= 0.3 THEN 'partial' ELSE 'different' END AS verdict FROM s""",
+        "t29_glossary": r"""WITH t AS (SELECT unnest(regexp_extract_all(text, '(\p{L}{9,})', 1)) AS form FROM turns) SELECT lower(form) AS term, count(*) AS uses, count(DISTINCT form) AS forms, CASE WHEN count(DISTINCT form) = 1 THEN min(form) END AS preferred FROM t GROUP BY 1 HAVING count(*) >= 2""",
     }
 
 

@@ -103,12 +103,20 @@ def q25_planned_tokens(spark, sf_dir):
     return s.join(o, "segment").groupBy("project").agg(F.sum("planned").alias("planned"), F.sum("kept").alias("kept"), F.max(F.col("planned") - F.col("kept")).alias("largest_loss"))
 
 
-def q31_identifiable(spark, sf_dir):
-    """Texts that letters of their own and four fifths of Latin letters tell to be German or French."""
+#: Letters that only one of the tables' languages has.
+OWN_LETTERS = {"de": "äöß", "fr": "çèêàùâîûëïœ", "es": "ñáíóú¿¡"}
+
+
+def q31_identifiable(spark, sf_dir, least: float = 0.8):
+    """Texts of four fifths Latin letters or more by the language whose own letters they have most of; none where two have as many, or where
+    there are none, as in English."""
     t = F.coalesce("text", F.lit(""))
     latin = share(F.length(F.regexp_replace(t, "[^A-Za-zÀ-ɏ]", "")), F.length(F.regexp_replace(t, r"[ \n]", "")))
-    lang = F.when(t.rlike("[ßäöü]"), "de").when(t.rlike("[çèê]"), "fr")
-    return table(spark, sf_dir, "documents").select("doc_id", F.when(latin >= 0.8, lang).alias("told"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", latin.alias("latin"), *(F.length(F.regexp_replace(F.lower(t), f"[^{letters}]", "")).alias(lang) for lang, letters in OWN_LETTERS.items()))
+    most = F.greatest(*OWN_LETTERS)
+    leaders = F.filter(F.array(*(F.when((F.col(lang) == most) & (most > 0), F.lit(lang)) for lang in OWN_LETTERS)), lambda x: x.isNotNull())
+    told = F.when((F.col("latin") >= least) & (F.size(leaders) == 1), F.get(leaders, F.lit(0)))
+    return rows.select("doc_id", told.alias("told"), most.alias("own_letters"))
 
 
 def q36_fixture_report(spark, sf_dir):
@@ -304,8 +312,9 @@ def _sql() -> dict[str, str]:
         "q16_canonical_texts": r"""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '[\x00-\x08\x0e-\x1f\x7f\x{00ad}\x{feff}]'))::INT AS dropped, md5(regexp_replace(coalesce(text, ''), '[\x00-\x08\x0e-\x1f\x7f\x{00ad}\x{feff}]', '', 'g')) AS text_md5 FROM documents""",
         "q25_planned_tokens": f"""WITH {reviews._S}, g AS (SELECT segment, sum(words)::BIGINT AS planned, coalesce(sum(words) FILTER (flag <> 'R'), 0)::BIGINT AS kept FROM s GROUP BY 1)
             SELECT o_custkey % 50 AS project, sum(planned)::BIGINT AS planned, sum(kept)::BIGINT AS kept, max(planned - kept) AS largest_loss FROM g JOIN orders ON o_orderkey = segment GROUP BY 1""",
-        "q31_identifiable": r"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t FROM documents) SELECT doc_id, CASE WHEN length(regexp_replace(t, '[^A-Za-zÀ-ɏ]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(t, '[ \n]', '', 'g')), 0) >= 0.8
-            THEN CASE WHEN regexp_matches(t, '[ßäöü]') THEN 'de' WHEN regexp_matches(t, '[çèê]') THEN 'fr' END END AS told FROM t""",
+        "q31_identifiable": r"""WITH c AS (SELECT doc_id, length(regexp_replace(coalesce(text, ''), '[^A-Za-zÀ-ɏ]', '', 'g'))::DOUBLE / nullif(length(regexp_replace(coalesce(text, ''), '[ \n]', '', 'g')), 0) AS latin, {counts} FROM documents)
+            SELECT doc_id, CASE WHEN latin >= 0.8 AND greatest({langs}) > 0 AND {ties} = 1 THEN {pick} END AS told, greatest({langs})::INT AS own_letters FROM c""".replace("{counts}", ", ".join(f"length(regexp_replace(lower(coalesce(text, '')), '[^{letters}]', '', 'g')) AS {lang}" for lang, letters in OWN_LETTERS.items()))
+            .replace("{langs}", ", ".join(OWN_LETTERS)).replace("{ties}", " + ".join(f"({lang} = greatest({', '.join(OWN_LETTERS)}))::INT" for lang in OWN_LETTERS)).replace("{pick}", "CASE " + " ".join(f"WHEN {lang} = greatest({', '.join(OWN_LETTERS)}) THEN '{lang}'" for lang in OWN_LETTERS) + " END"),
         "q36_fixture_report": "WITH e AS (SELECT doc_id, avg((page_end >= page_start)::INT) AS located FROM evidence GROUP BY 1), j AS (SELECT coalesce(n_chars, 0) AS n, lang, located FROM documents LEFT JOIN e USING (doc_id)) "
         + structure.kinds("SELECT * FROM j", {"too_small": "n < 400", "no_language": "lang IS NULL", "no_evidence": "located IS NULL", "unlocated": "located < 0.95"}),
         "q37_scope_markers": """WITH b AS (SELECT doc_id, arg_min(text, idx) AS f, arg_max(text, idx) AS l FROM blocks GROUP BY 1), m AS (SELECT doc_id, strpos(text, substring(f, 1, 20)) AS a, strpos(text, substring(l, 1, 20)) AS z FROM documents JOIN b USING (doc_id))

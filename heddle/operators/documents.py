@@ -215,15 +215,6 @@ def q22_gates(spark, sf_dir):
     return long_form.select("gate", "value", limit.alias("threshold"), F.when(F.col("value").isNull(), "skipped").when(held, "passed").otherwise("failed").alias("status"))
 
 
-def q29_character_error(spark, sf_dir):
-    """ASCII characters only, as its SQL: see ``q29_text_metrics`` for whole texts."""
-    plain = F.regexp_replace(F.lower(collapse(F.col("text"))), "[^ -~]", "")
-    items = table(spark, sf_dir, "benchmark").select("item_id", plain.alias("t"))
-    after = items.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    d = F.levenshtein("t", "u")
-    return items.join(after, "item_id").select("item_id", d.cast("long").alias("distance"), (d / F.greatest(F.length("t"), F.lit(1))).alias("error_rate"), (F.col("t") == F.col("u")).alias("exact"))
-
-
 def q29_text_metrics(spark, sf_dir):
     """Each benchmark item against the next, whole texts: edit distances and error rates in characters and in words."""
     items = table(spark, sf_dir, "benchmark").select("item_id", collapse(F.coalesce("text", F.lit(""))).alias("t"))

@@ -111,11 +111,15 @@ def e60_latest_judgements(spark, sf_dir):
 
 
 def e27_conservation(spark, sf_dir):
-    """Audit by full outer join: items of the plan (orders) and of the result (lines), by what is missing where."""
-    plan = table(spark, sf_dir, "orders").where("o_orderkey % 3 <> 0").select(F.col("o_orderkey").alias("id"), F.lit(1).alias("planned"))
-    made = table(spark, sf_dir, "lineitem").where("l_linenumber <= 2").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("made"))
-    state = F.when(F.col("made").isNull(), "missing").when(F.col("planned").isNull(), "unknown").when(F.col("made") > 1, "repeated").otherwise("once")
-    return plan.join(made, "id", "full").groupBy(state.alias("state")).agg(F.count("*").alias("items"))
+    """What becomes of each evidence id (supplier) of an order's lines: lines are claims of two types (A, R) or leave their id unresolved (N).
+    An id must be used or unresolved, never both, and by claims of one type without a repeated text."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey", "l_returnflag", F.concat_ws("|", "l_suppkey", "l_returnflag", "l_quantity").alias("text"))
+    used = F.col("l_returnflag") != "N"
+    by = lines.groupBy("l_orderkey", "l_suppkey").agg(F.count_if(used).alias("used"), F.count_if(~used).alias("unresolved"), F.count_distinct(F.when(used, F.col("l_returnflag"))).alias("types"), F.count_distinct(F.when(used, F.col("text"))).alias("texts"))
+    state = F.when((F.col("used") > 0) & (F.col("unresolved") > 0), "both").when(F.col("types") > 1, "several_types").when(F.col("used") > F.col("texts"), "repeated").when(F.col("used") > 0, "used").otherwise("unresolved")
+    planned = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"))
+    missing = planned.join(lines.select("l_orderkey"), "l_orderkey", "left_anti").agg(F.count("*").alias("ids")).select(F.lit("no_evidence").alias("state"), "ids").where("ids > 0")
+    return by.groupBy(state.alias("state")).agg(F.count("*").alias("ids")).unionByName(missing)
 
 
 def e20_block_scores(spark, sf_dir):

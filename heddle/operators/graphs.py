@@ -31,10 +31,9 @@ def reach(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFram
 
 
 def g02_prerequisite_closure(spark, sf_dir):
-    """A sample that its SQL fixes: every 97th cell and its prerequisites of at most four hops.  The whole job is
-    ``g01_selected_cells``."""
+    """The cells of tier 1 and all that they need, directly or through others, in 25 hops at most."""
     steps = edges(spark, sf_dir).where("type = 'prerequisite'").select(F.col("target").alias("from_cell"), F.col("source").alias("to_cell")).distinct()
-    return reach(cells(spark, sf_dir).where("cell % 97 = 0").select("cell"), steps, 4)
+    return reach(cells(spark, sf_dir).where("tier = 1").select("cell"), steps)
 
 
 def selected_closure(seeds: DataFrame, steps: DataFrame, hops: int = MOST_HOPS) -> DataFrame:

@@ -258,19 +258,6 @@ def o29_reprice(spark, sf_dir):
     return priced.groupBy("project_id").agg(F.count_if(changed).alias("changed"), F.sum("cost_micros").alias("before"), F.sum("price_micros").alias("after"))
 
 
-def o30_tier_verdict(spark, sf_dir):
-    """Calls of stage A against stage R, by project, with the values that its SQL fixes (a fall of 0.015, unpriced calls over
-    4990 tokens only): see ``o30_priced_verdict`` for all calls."""
-    arm = lambda stage, c: F.when(F.col("stage") == stage, c)
-    bad = F.when(F.col("status") == "failed", 1.0).otherwise(0.0)
-    by = model_calls(spark, sf_dir).groupBy("project_id").agg(
-        F.avg(arm("A", bad)).alias("base_rate"), F.avg(arm("R", bad)).alias("other_rate"), F.sum(arm("A", F.col("cost_micros"))).alias("base_cost"), F.sum(arm("R", F.col("cost_micros"))).alias("other_cost"),
-        F.count_if(F.col("stage").isin("A", "R") & ~_priced() & (F.col("input_tokens") > 4990)).alias("unpriced"),
-    )
-    verdict = F.when(F.col("unpriced") > 0, "undecidable").when((F.col("base_rate") - F.col("other_rate") > 0.015) & (share(F.col("other_cost"), F.col("base_cost")) <= 1.2), "switch").otherwise("keep")
-    return by.select("project_id", verdict.alias("verdict"), "unpriced")
-
-
 def tier_verdicts(calls: DataFrame, least_fall: float = 0.15, most_ratio: float = 1.2) -> DataFrame:
     """Switch if the failure rate falls by more than ``least_fall`` at a cost ratio of ``most_ratio`` at most; undecidable if
     any call of either arm is unpriced, an arm is empty or the base costs nothing; else keep."""

@@ -111,15 +111,6 @@ def t35_repeated_phrases(spark, sf_dir, size: int = 6):
     return grams.groupBy("segment_id", "position", "phrase").agg(F.count("*").alias("times")).where("times >= 2")
 
 
-def t36_truncated(spark, sf_dir):
-    """Two tails of six words, ASCII characters only, as its SQL: see ``t36_cut_tails`` for whole tails, six against ten."""
-    tail = F.regexp_replace(F.array_join(F.slice(word_list(F.col("text")), -6, 6), " "), "[^ -~]", "")
-    t = turns(spark, sf_dir).where(F.size(word_list(F.col("text"))) >= 6).select("segment_id", "position", tail.alias("t"))
-    t = t.withColumn("u", F.lead("t").over(in_order())).where("u is not null")
-    similar = 1 - F.levenshtein("t", "u") / F.greatest(F.length("t"), F.length("u"), F.lit(1))
-    return t.select("segment_id", "position", similar.alias("similarity"), (similar < 0.55).alias("cut"))
-
-
 def cut_tail(expected: Column, actual: Column) -> Column:
     """Whether the last six words of one array aren't like the last ten of another; false where there are none."""
     tail = lambda words, n: F.array_join(F.slice(words, -F.least(F.lit(n), F.greatest(F.size(words), F.lit(1))), n), " ")

@@ -32,9 +32,18 @@ def pathed(spark, sf_dir) -> DataFrame:
     return b.withColumn("h2", F.when(F.col("at1").isNull() | (F.col("at2") > F.col("at1")), F.col("h2")))  # a heading of level 1 ends those below it
 
 
+#: Kinds of blocks by how they begin or what they hold, the first that fits.
+KINDS = {
+    "table": r"^\||\t.*\t", "front_matter": r"(?i)licensed under|copyright|released under|all rights reserved|\bisbn\b", "formula": r"\$\$|\\(begin|frac|sum|int)\b|^\$[^$]+\$$", "code": r"^(```|~~~|>>> |def |class |import |#include\b|</?[a-z]+>)|[;{}]$",
+    "caption": r"(?i)^(figure|fig\.|table|abb\.|tabelle) *[0-9]+", "footnote": r"^(\[[0-9]+\]|[*†‡]) ", "list": r"^([-•*+]|[0-9]{1,3}[.)]) ",
+}
+
+
 def block_kind():
-    t = F.lower(F.col("text"))
-    return F.when(F.col("is_heading"), "heading").when(F.col("text").startswith("|"), "table").when(t.rlike("licensed under|copyright|released under"), "front_matter").when(F.col("text").contains("$$"), "formula").otherwise("other")
+    out = F.lit("other")
+    for kind, pattern in reversed(KINDS.items()):
+        out = F.when(F.col("text").rlike(pattern), kind).otherwise(out)
+    return F.when(F.col("is_heading"), "heading").otherwise(out)
 
 
 def b05_block_kinds(spark, sf_dir):
@@ -283,22 +292,44 @@ def components(pairs: DataFrame) -> DataFrame:
         roots = now.select("node", F.col("now").alias("root"))
 
 
-def label_pairs(spark, sf_dir, least: float = 0.85) -> DataFrame:
-    """Pairs of cells whose labels' word sets have a Jaccard similarity of ``least``: those that share one of their rarest
-    words, so many that a similar pair can't miss, are compared."""
-    words = cells(spark, sf_dir).select("cell", "chapter", F.array_distinct(word_list(F.col("label"))).alias("w")).where(F.size("w") > 0)
-    flat = words.select("cell", "chapter", "w", F.explode("w").alias("word"))
+def label_classes(spark, sf_dir) -> DataFrame:
+    """(cell, chapter, w, cls): cells with their labels' word sets, and the least cell of the same set."""
+    words = cells(spark, sf_dir).select("cell", "chapter", F.array_sort(F.array_distinct(word_list(F.col("label")))).alias("w")).where(F.size("w") > 0)
+    return words.withColumn("key", F.array_join("w", " ")).withColumn("cls", F.min("cell").over(Window.partitionBy("key"))).drop("key")
+
+
+def class_pairs(classes: DataFrame, least: float = 0.85) -> DataFrame:
+    """(a, b) of different word sets (cls, w) with a Jaccard similarity of ``least``: sets that share one of their rarest words, so many that a
+    similar pair can't miss, where sizes and places of the word allow the similarity, are compared."""
+    one = classes.where("cell = cls").select("cls", "w", F.size("w").alias("n"))
+    flat = one.select("cls", "n", F.explode("w").alias("word"))
     df = flat.groupBy("word").agg(F.count("*").alias("df"))
-    place = F.row_number().over(Window.partitionBy("cell").orderBy("df", "word"))
-    prefix = flat.join(df, "word").withColumn("place", place).where(F.col("place") <= F.size("w") - F.ceil(F.size("w") * F.lit(least)) + 1)
-    a, b = prefix.select("word", F.col("cell").alias("a"), F.col("w").alias("wa"), F.col("chapter").alias("ca")), prefix.select("word", F.col("cell").alias("b"), F.col("w").alias("wb"), F.col("chapter").alias("cb"))
-    met = a.join(b, "word").where("a < b")
-    return met.where(F.size(F.array_intersect("wa", "wb")) >= least * F.size(F.array_union("wa", "wb"))).select("a", "b", "ca", "cb").distinct()
+    place = F.row_number().over(Window.partitionBy("cls").orderBy("df", "word"))
+    prefix = flat.join(df, "word").withColumn("place", place).where(F.col("place") <= F.col("n") - F.ceil(F.col("n") * F.lit(least)) + 1)
+    a, b = (prefix.select("word", F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("place").alias(f"p{x}")) for x in "ab")
+    left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) + 1  # words that may be shared from this one on
+    met = a.join(b, "word").where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= least * F.greatest("na", "nb")) & (left * (1 + least) >= least * (F.col("na") + F.col("nb")))).select("a", "b").distinct()
+    sets = one.select("cls", "w")
+    both = met.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
+    return both.where(F.size(F.array_intersect("wa", "wb")) >= least * F.size(F.array_union("wa", "wb"))).select("a", "b")
+
+
+def label_pairs(spark, sf_dir, least: float = 0.85) -> DataFrame:
+    """All pairs of cells whose labels' word sets have a Jaccard similarity of ``least``, with their chapters: those of one set and those of
+    similar sets, which is as many rows as there are pairs."""
+    classes = materialise(label_classes(spark, sf_dir))
+    pairs = class_pairs(classes, least)
+    alike = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).unionByName(classes.select(F.col("cls").alias("a"), F.col("cls").alias("b")).distinct())
+    x, y = (classes.select(F.col("cls").alias(f"k{n}"), F.col("cell").alias(n), F.col("chapter").alias(f"c{n}")) for n in "ab")
+    met = alike.toDF("ka", "kb").join(x, "ka").join(y, "kb")
+    return met.where("a < b").select("a", "b", "ca", "cb")
 
 
 def g13_label_components(spark, sf_dir):
-    """Groups of cells whose labels are nearly equal, directly or through others."""
-    return components(label_pairs(spark, sf_dir)).groupBy(F.col("root").alias("least_cell")).agg(F.count("*").alias("cells"), F.sum("node").alias("cell_sum"))
+    """Groups of cells whose labels are nearly equal, directly or through others.  Only sets are paired; cells of one set hang on its first."""
+    classes = materialise(label_classes(spark, sf_dir))
+    links = class_pairs(classes).unionByName(classes.where("cell <> cls").select(F.col("cls").alias("a"), F.col("cell").alias("b")))
+    return components(links).groupBy(F.col("root").alias("least_cell")).agg(F.count("*").alias("cells"), F.sum("node").alias("cell_sum"))
 
 
 def g14_label_similarity(spark, sf_dir):
@@ -404,7 +435,7 @@ WS = r"[ \t\n\x0B\f\r]+"
 _FLAT = f"trim(regexp_replace(text, '{WS}', ' ', 'g'))"
 TOKENS = f"(CASE WHEN length({_FLAT}) = 0 THEN 0 ELSE greatest(1, ceil(length({_FLAT}) / 3.5)) END)::BIGINT"
 WORDS = r"regexp_extract_all(lower({x}), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
-KIND = "CASE WHEN is_heading THEN 'heading' WHEN starts_with(text, '|') THEN 'table' WHEN regexp_matches(lower(text), 'licensed under|copyright|released under') THEN 'front_matter' WHEN contains(text, '$$') THEN 'formula' ELSE 'other' END"
+KIND = "CASE WHEN is_heading THEN 'heading' " + " ".join("WHEN regexp_matches(text, '{}') THEN '{}'".format(pattern.replace("'", "''"), kind) for kind, pattern in KINDS.items()) + " ELSE 'other' END"
 _RUNS = "r AS (SELECT *, sum(is_heading::INT) OVER (PARTITION BY doc_id ORDER BY idx)::BIGINT AS run FROM blocks)"
 _PATHS = """l AS (SELECT *, CASE WHEN is_heading THEN CASE WHEN length(text) <= 25 THEN 1 ELSE 2 END END AS level FROM blocks),
     q AS (SELECT *, last_value(CASE WHEN level = 1 THEN text END IGNORE NULLS) OVER w AS h1, last_value(CASE WHEN level = 1 THEN idx END IGNORE NULLS) OVER w AS at1, last_value(CASE WHEN level = 2 THEN text END IGNORE NULLS) OVER w AS g2,

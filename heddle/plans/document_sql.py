@@ -83,7 +83,10 @@ SQL: dict[str, str] = {
     "q22_gates": f"""WITH {FEATURES}, r AS (SELECT avg(quality) AS quality, avg((verdict = 'retry')::INT) AS retried, avg((blocks = 0)::INT) AS empty FROM labels JOIN scored USING (doc_id)), u AS (
             SELECT 'quality' AS gate, quality AS value, 0.8::DOUBLE AS threshold FROM r UNION ALL SELECT 'retried', retried, 0.05 FROM r UNION ALL SELECT 'empty', empty, 0 FROM r)
         SELECT *, CASE WHEN value IS NULL THEN 'skipped' WHEN CASE WHEN gate = 'quality' THEN value >= threshold ELSE value <= threshold END THEN 'passed' ELSE 'failed' END AS status FROM u""",
-    "q29_character_error": f"""
-        WITH i AS (SELECT item_id, regexp_replace(lower({collapse("text")}), '[^ -~]', '', 'g') AS t FROM benchmark)
-        SELECT a.item_id, levenshtein(a.t, b.t) AS distance, levenshtein(a.t, b.t) / greatest(length(a.t), 1)::DOUBLE AS error_rate, a.t = b.t AS exact FROM i a JOIN i b ON b.item_id = a.item_id + 1""",
+    # edit distances count bytes: characters, and words, are first numbered, which 127 different ones of a pair allow
+    "q29_text_metrics": f"""
+        WITH i AS (SELECT item_id, {collapse("coalesce(text, '')")} AS t FROM benchmark), p AS (SELECT a.item_id, a.t, b.t AS u, list_distinct(string_split(a.t || ' ' || b.t, '')) AS cs, list_filter(string_split(a.t, ' '), lambda w: w <> '') AS v, list_filter(string_split(b.t, ' '), lambda w: w <> '') AS x FROM i a JOIN i b ON b.item_id = a.item_id + 1),
+            q AS (SELECT *, list_distinct(v || x) AS ws FROM p), d AS (SELECT *, levenshtein(array_to_string(list_transform(string_split(t, ''), lambda c: chr(list_position(cs, c)::INT)), ''), array_to_string(list_transform(string_split(u, ''), lambda c: chr(list_position(cs, c)::INT)), '')) AS n,
+                levenshtein(coalesce(array_to_string(list_transform(v, lambda c: chr(list_position(ws, c)::INT)), ''), ''), coalesce(array_to_string(list_transform(x, lambda c: chr(list_position(ws, c)::INT)), ''), '')) AS m FROM q)
+        SELECT item_id, n AS distance, n / greatest(length(t), 1)::DOUBLE AS error_rate, m AS word_distance, m / greatest(len(v), 1)::DOUBLE AS word_error_rate, t = u AS exact FROM d""",
 }

@@ -36,8 +36,9 @@ SQL: dict[str, str] = {
         SELECT run_id, CASE WHEN place <= 3 THEN 'must' WHEN place <= 8 THEN 'supporting' WHEN place <= 16 THEN 'optional' ELSE 'deferred' END AS tier, count(*) AS claims, sum(score)::BIGINT AS score, min(score) AS least FROM r GROUP BY ALL""",
     "e60_latest_judgements": "SELECT user_id, name, event_id, project_id, value FROM core QUALIFY row_number() OVER (PARTITION BY user_id, name ORDER BY ts DESC, event_id DESC) = 1",
     "e27_conservation": """
-        WITH p AS (SELECT o_orderkey AS id FROM orders WHERE o_orderkey % 3 <> 0), m AS (SELECT l_orderkey AS id, count(*) AS made FROM lineitem WHERE l_linenumber <= 2 GROUP BY 1)
-        SELECT CASE WHEN m.id IS NULL THEN 'missing' WHEN p.id IS NULL THEN 'unknown' WHEN made > 1 THEN 'repeated' ELSE 'once' END AS state, count(*) AS items FROM p FULL JOIN m ON p.id = m.id GROUP BY 1""",
+        WITH b AS (SELECT l_orderkey, l_suppkey, count(*) FILTER (l_returnflag <> 'N') AS used, count(*) FILTER (l_returnflag = 'N') AS unresolved, count(DISTINCT l_returnflag) FILTER (l_returnflag <> 'N') AS types, count(DISTINCT (l_returnflag, l_quantity)) FILTER (l_returnflag <> 'N') AS texts FROM lineitem GROUP BY ALL)
+        SELECT CASE WHEN used > 0 AND unresolved > 0 THEN 'both' WHEN types > 1 THEN 'several_types' WHEN used > texts THEN 'repeated' WHEN used > 0 THEN 'used' ELSE 'unresolved' END AS state, count(*) AS ids FROM b GROUP BY 1
+        UNION ALL SELECT 'no_evidence', n FROM (SELECT count(*) AS n FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)) WHERE n > 0""",
     "e20_block_scores": f"""
         WITH b AS (SELECT doc_id, idx, source, is_heading, list_distinct(regexp_extract_all(lower(text), '{WORDS}')) AS w FROM blocks), c AS (SELECT source, word, count(*) AS n FROM (SELECT source, unnest(w) AS word FROM b) WHERE length(word) > 4 GROUP BY ALL),
              t AS (SELECT source, list(word) AS terms FROM (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, word) <= 20) GROUP BY 1), p AS (

@@ -15,8 +15,13 @@ def share(n: str, d: str) -> str:
 
 SQL: dict[str, str] = {
     "g02_prerequisite_closure": """
-        WITH RECURSIVE s AS (SELECT DISTINCT target AS f, source AS t FROM edges WHERE type = 'prerequisite'), r AS (SELECT cell, 0 AS hop FROM cells WHERE cell % 97 = 0 UNION SELECT s.t, hop + 1 FROM r JOIN s ON s.f = r.cell WHERE hop < 4)
+        WITH RECURSIVE s AS (SELECT DISTINCT target AS f, source AS t FROM edges WHERE type = 'prerequisite'), r AS (SELECT cell, 0 AS hop FROM cells WHERE tier = 1 UNION SELECT s.t, hop + 1 FROM r JOIN s ON s.f = r.cell WHERE hop < 25)
         SELECT cell, min(hop) AS hop FROM r GROUP BY 1""",
+    "g01_selected_cells": """
+        WITH RECURSIVE s AS (SELECT DISTINCT target AS f, source AS t FROM edges WHERE type = 'prerequisite' AND source IN (SELECT cell FROM cells)),
+        r AS (SELECT cell, 0 AS hop FROM cells WHERE tier <= 2 UNION SELECT s.t, hop + 1 FROM r JOIN s ON s.f = r.cell WHERE hop < 25), m AS (SELECT cell, min(hop) AS hop FROM r GROUP BY 1),
+        o AS (SELECT cell, hop, cell AS origin FROM m WHERE hop = 0 UNION ALL SELECT m.cell, m.hop, min(o.origin) FROM o JOIN s ON s.f = o.cell JOIN m ON m.cell = s.t AND m.hop = o.hop + 1 GROUP BY m.cell, m.hop)
+        SELECT cell, hop, origin FROM o""",
     "g09_strongest_edges": f"WITH {BEST} SELECT * FROM best",
     "g03_promoted_tiers": f"""WITH {BEST}, o AS (SELECT source AS cell, count(*) AS n FROM best WHERE type = 'prerequisite' GROUP BY 1)
         SELECT cell, tier, coalesce(n, 0) AS prerequisite_out, greatest(1, tier - CASE WHEN coalesce(n, 0) >= 6 THEN 2 WHEN coalesce(n, 0) >= 3 THEN 1 ELSE 0 END) AS promoted FROM cells LEFT JOIN o USING (cell)""",
@@ -72,9 +77,6 @@ SQL: dict[str, str] = {
         SELECT segment_id, sum(c)::BIGINT AS sentences, sum(b)::BIGINT AS chunks FROM (SELECT segment_id, position, count(*) AS c, max(bin) + 1 AS b FROM w GROUP BY ALL) GROUP BY 1""",
     "t35_repeated_phrases": f"""
         SELECT segment_id, position, array_to_string(w[i : i + 5], ' ') AS phrase, count(*) AS times FROM (SELECT *, unnest(generate_series(1, len(w) - 5)) AS i FROM (SELECT segment_id, position, {W} AS w FROM turns) WHERE len(w) >= 12) GROUP BY ALL HAVING count(*) >= 2""",
-    "t36_truncated": f"""
-        WITH t AS (SELECT segment_id, position, regexp_replace(array_to_string(w[-6:], ' '), '[^ -~]', '', 'g') AS t FROM (SELECT segment_id, position, {W} AS w FROM turns) WHERE len(w) >= 6), u AS (SELECT *, lead(t) OVER (PARTITION BY segment_id ORDER BY position) AS u FROM t)
-        SELECT segment_id, position, 1 - levenshtein(t, u) / greatest(length(t), length(u), 1)::DOUBLE AS similarity, 1 - levenshtein(t, u) / greatest(length(t), length(u), 1)::DOUBLE < 0.55 AS cut FROM u WHERE u IS NOT NULL""",
     "t40_identical_retries": f"WITH c AS (SELECT run_id, stage || '|' || model || '|' || status AS mark, lag(stage || '|' || model || '|' || status) OVER ({CALL_ORDER}) AS before FROM model_calls) SELECT run_id, count(*) AS repeats, count(DISTINCT mark) AS marks FROM c WHERE mark = before GROUP BY 1",
     "t41_backoff": f"""
         WITH c AS (SELECT run_id, status, row_number() OVER ({CALL_ORDER}) AS a FROM model_calls WHERE status <> 'succeeded'), s AS (SELECT *, CASE WHEN status = 'rejected' THEN 'not_retryable' WHEN a >= 3 THEN 'attempts_used' ELSE 'retry' END AS stop FROM c)

@@ -76,10 +76,10 @@ SQL: dict[str, str] = {
     "c02_priced_calls": f"WITH {PRICED} SELECT project_id, stage, sum(price_micros)::BIGINT AS price_micros, count(*) FILTER (price_micros IS NULL) AS unpriced_count, max(price_micros) AS dearest FROM p GROUP BY ALL",
     "c14_totals_if_priced": f"WITH {PRICED} SELECT run_id, CASE WHEN count(price_micros) = count(*) THEN sum(price_micros)::BIGINT END AS total_micros, count(*) AS calls FROM p GROUP BY 1",
     "o29_reprice": f"WITH {PRICED} SELECT project_id, count(*) FILTER (cost_micros IS DISTINCT FROM price_micros) AS changed, sum(cost_micros)::BIGINT AS before, sum(price_micros)::BIGINT AS after FROM p WHERE status <> 'rejected' GROUP BY 1",
-    "o30_tier_verdict": """
-        WITH b AS (SELECT project_id, avg((status = 'failed')::INT) FILTER (stage = 'A') AS r0, avg((status = 'failed')::INT) FILTER (stage = 'R') AS r1, sum(cost_micros) FILTER (stage = 'A') AS c0, sum(cost_micros) FILTER (stage = 'R') AS c1,
-                          count(*) FILTER (stage IN ('A', 'R') AND cost_micros IS NULL AND input_tokens > 4990) AS unpriced FROM model_calls GROUP BY 1)
-        SELECT project_id, CASE WHEN unpriced > 0 THEN 'undecidable' WHEN r0 - r1 > 0.015 AND c1::DOUBLE / nullif(c0, 0) <= 1.2 THEN 'switch' ELSE 'keep' END AS verdict, unpriced FROM b""",
+    "o30_priced_verdict": """
+        WITH b AS (SELECT project_id, avg((status = 'failed')::INT) FILTER (stage = 'A') - avg((status = 'failed')::INT) FILTER (stage = 'R') AS fall, sum(cost_micros) FILTER (stage = 'R')::DOUBLE / nullif(sum(cost_micros) FILTER (stage = 'A'), 0) AS ratio,
+                          count(*) FILTER (stage IN ('A', 'R') AND cost_micros IS NULL) AS unpriced FROM model_calls GROUP BY 1)
+        SELECT project_id, CASE WHEN unpriced > 0 OR fall IS NULL OR ratio IS NULL THEN 'undecidable' WHEN fall > 0.15 AND ratio <= 1.2 THEN 'switch' ELSE 'keep' END AS verdict, unpriced FROM b""",
     "c08_calibration": "SELECT project_id, stage, median(input_tokens / (latency_ms / 60000.0::DOUBLE)) AS tokens_per_minute, count(*) AS samples, count(*) >= 3 AS ready FROM model_calls WHERE status = 'succeeded' AND latency_ms > 0 GROUP BY ALL",
     "o32_redact": f"WITH r AS (SELECT doc_id, coalesce(text, '') AS t, {_redacted()} AS x FROM documents) SELECT doc_id, (length(t) - length(x))::BIGINT AS shorter_by, md5(x) AS text_md5 FROM r",
 }
