@@ -35,14 +35,6 @@ def b23_canonical_hashes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.to_json(F.struct("doc_id", F.coalesce("lang", F.lit("")).alias("lang"), F.coalesce("source", F.lit("")).alias("source"))).cast("binary"), 256).alias("hash"))
 
 
-def b26_detected_chapters(spark, sf_dir):
-    """Two detectors (runs under any heading, runs under headings of level 1), and what they come to together."""
-    p = heading_runs(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct("run").alias("by_heading"))
-    t = pathed(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct(F.coalesce("at1", F.lit(-1))).alias("by_level"))
-    state = F.when((F.col("by_heading") < 2) & (F.col("by_level") < 2), "single").when(F.col("by_heading") == F.col("by_level"), "agreed").when(F.col("by_level") < 2, "headings_only").otherwise("disagreed")
-    return p.join(t, "doc_id").select("doc_id", "by_heading", "by_level", state.alias("state"))
-
-
 def b30_detector_agreement(spark, sf_dir):
     """Share of blocks that both detectors give the same chapter number."""
     p = pathed(spark, sf_dir)
@@ -297,8 +289,6 @@ def _sql() -> dict[str, str]:
             SELECT doc_id, count(*) FILTER (NOT joins) AS blocks, count(*) FILTER (joins) AS merged, sum(tokens)::BIGINT AS tokens FROM j GROUP BY 1""",
         "b17_identity_texts": f"WITH f AS (SELECT doc_id, {fold('text')} AS t FROM blocks) SELECT doc_id, count(DISTINCT t) AS texts, md5(max(t)) AS greatest_md5 FROM f GROUP BY 1",
         "b23_canonical_hashes": """SELECT doc_id, sha256('{"doc_id":' || doc_id || ',"lang":"' || coalesce(lang, '') || '","source":"' || coalesce(source, '') || '"}') AS hash FROM documents""",
-        "b26_detected_chapters": f"""WITH {runs}, {paths}, a AS (SELECT doc_id, count(DISTINCT run) AS by_heading FROM r GROUP BY 1), b AS (SELECT doc_id, count(DISTINCT coalesce(at1, -1)) AS by_level FROM pt GROUP BY 1)
-            SELECT doc_id, by_heading, by_level, CASE WHEN by_heading < 2 AND by_level < 2 THEN 'single' WHEN by_heading = by_level THEN 'agreed' WHEN by_level < 2 THEN 'headings_only' ELSE 'disagreed' END AS state FROM a JOIN b USING (doc_id)""",
         "b30_detector_agreement": f"""WITH {paths}, s AS (SELECT doc_id, sum(is_heading::INT) OVER w AS a, sum((coalesce(level, 0) = 1)::INT) OVER w AS b FROM pt WINDOW w AS (PARTITION BY doc_id ORDER BY idx))
             SELECT doc_id, avg((a = b)::INT) AS same, avg((a = b)::INT) >= 0.8 AS agree FROM s GROUP BY 1""",
         "b33_level_runs": f"""WITH {paths}, c AS (SELECT *, CASE WHEN coalesce(h1, '') <> coalesce(lag(h1) OVER (PARTITION BY doc_id ORDER BY idx), '') THEN 1 ELSE 0 END AS change FROM pt),

@@ -44,13 +44,6 @@ def e02_first_spans(spark, sf_dir):
     return evidence_hits(spark, sf_dir).groupBy("item_id", "doc_id").agg(F.min(F.struct("doc_at", "item_at", "gram")).alias("m")).select("item_id", "doc_id", F.col("m.doc_at").alias("word_at"), "m.gram")
 
 
-def e13_neighbor_context(spark, sf_dir, radius: int = 2):
-    """Size of the context of each long block: the blocks up to two places away."""
-    w = Window.partitionBy("doc_id").orderBy("idx").rowsBetween(-radius, radius)
-    b = blocks(spark, sf_dir).withColumns({"characters": F.sum(F.length("text")).over(w), "near": F.count("*").over(w)})
-    return b.where(F.length("text") >= 200).select("doc_id", "idx", "near", "characters")
-
-
 def e22_budgeted_selection(spark, sf_dir, share_of_total: float = 0.4):
     """Best blocks first until a document's token target is reached; the block that reaches it is still taken."""
     tokens = token_estimate(F.col("text"))

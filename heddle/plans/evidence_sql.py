@@ -15,7 +15,6 @@ SQL: dict[str, str] = {
     "e04_excerpt_coverage": f"""WITH {HITS}, p AS (SELECT DISTINCT item_id, doc_id, item_words, unnest(generate_series(item_at, item_at + 4)) AS word FROM hits)
         SELECT item_id, doc_id, count(*) AS covered_words, count(*)::DOUBLE / any_value(item_words) AS coverage FROM p GROUP BY ALL""".replace("GROUP BY ALL", "GROUP BY item_id, doc_id"),
     "e02_first_spans": f"WITH {HITS} SELECT item_id, doc_id, doc_at AS word_at, gram FROM hits QUALIFY row_number() OVER (PARTITION BY item_id, doc_id ORDER BY doc_at, item_at, gram) = 1",
-    "e13_neighbor_context": "SELECT * FROM (SELECT doc_id, idx, count(*) OVER w AS near, (sum(length(text)) OVER w)::BIGINT AS characters FROM blocks WINDOW w AS (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)) SEMI JOIN (SELECT doc_id AS d, idx AS i FROM blocks WHERE length(text) >= 200) ON doc_id = d AND idx = i",
     "e22_budgeted_selection": f"""
         WITH b AS (SELECT doc_id, idx, {tokens()} AS tokens, length(text) % 97 + CASE WHEN is_heading THEN 100 ELSE 0 END AS score FROM blocks), r AS (
             SELECT *, coalesce(sum(tokens) OVER (PARTITION BY doc_id ORDER BY score DESC, idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(tokens) OVER (PARTITION BY doc_id) AS total FROM b)
