@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from heddle.functions.columns import collapse, share
 from heddle.operators.documents import pack_in_order
+from heddle.operators.graphs import g01_selected_cells
 from heddle.operators.splitting import with_paths
 from heddle.operators.structure import KIND, block_kind
 from heddle.sources.views import blocks, evidence, product_events, table, turns
@@ -182,6 +183,55 @@ def e89_judgement_snapshots(spark, sf_dir):
     return out.select("event_id", "project_id", "evidence_id", "doc_id", "idx", "page_start", "page_end", "chapter", "section", F.col("claim").alias("claim_text"), F.coalesce("source", F.lit("untitled")).alias("source_title"), label.alias("locator_label"), "extraction_identity", "reconciler_identity")
 
 
+# Plans, gates and samples
+
+
+def e83_skeleton_deviations(spark, sf_dir, tolerance: float = 2.0):
+    """Plans (an order's lines as they are shipped) against their skeletons (the lines as they are numbered), place by place: the first deviation of
+    each, in the number of segments, ids, dynamic or minutes."""
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_returnflag", "l_quantity", "l_shipdate")
+    numbered = lambda *by: F.row_number().over(Window.partitionBy("l_orderkey").orderBy(*by))
+    cells_of = lambda rows, x: rows.select("l_orderkey", "place", *(F.col(c).alias(f"{x}_{n}") for c, n in (("l_partkey", "id"), ("l_returnflag", "dynamic"), ("l_quantity", "minutes"))))
+    skeleton = cells_of(lines.withColumn("place", numbered("l_linenumber", "l_partkey", "l_suppkey")), "s")
+    shipped = lines.where("l_returnflag <> 'R' OR l_quantity > 5")  # short segments that are disputed aren't planned
+    plan = cells_of(shipped.withColumn("place", numbered("l_shipdate", "l_linenumber", "l_partkey", "l_suppkey")), "p")
+    both = skeleton.join(plan, ["l_orderkey", "place"], "full")
+    counted = F.count("s_id").over(Window.partitionBy("l_orderkey")) != F.count("p_id").over(Window.partitionBy("l_orderkey"))
+    fault = F.when(~F.col("s_id").eqNullSafe(F.col("p_id")), "ids").when(~F.col("s_dynamic").eqNullSafe(F.col("p_dynamic")), "dynamic").when(F.abs(F.col("s_minutes") - F.col("p_minutes")) > tolerance, "minutes")
+    marked = both.withColumn("number", counted).withColumn("fault", F.when(F.col("number"), "number").otherwise(fault))
+    first = marked.groupBy("l_orderkey").agg(F.min(F.when(F.col("fault").isNotNull(), F.struct(F.when(F.col("fault") == "number", 0).otherwise(F.col("place")).alias("place"), "fault"))).alias("f"))
+    return first.groupBy(F.coalesce("f.fault", F.lit("none")).alias("deviation"), F.coalesce("f.place", F.lit(0)).alias("place")).agg(F.count("*").alias("plans"))
+
+
+def q35_bound_audio(spark, sf_dir):
+    """Audio gates: audio is made from the turns that the two speakers have; it is bound if the script holds no others by now, and verified if no spoken
+    turn is blank."""
+    t = turns(spark, sf_dir)
+    key = lambda kept: F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.when(kept, F.struct("position", "speaker", "text")))), lambda x: F.concat_ws(":", x["position"], x["speaker"], x["text"])), "\n").cast("binary"), 256)
+    spoken = F.col("speaker") != "editorial"
+    by = t.groupBy("segment_id").agg(key(F.lit(True)).alias("script"), key(spoken).alias("made_from"), F.count_if(spoken).alias("spoken"), F.count_if(spoken & (F.trim("text") == "")).alias("blank"))
+    gate = F.when(F.col("spoken") == 0, "not_reached").when((F.col("script") == F.col("made_from")) & (F.col("blank") == 0), "pass").otherwise("blocked")
+    return by.select("segment_id", (F.col("script") == F.col("made_from")).alias("bound"), gate.alias("audio_qa"))
+
+
+def b60_sample_pages(spark, sf_dir):
+    """The first, middle and last page of each document and how much they hold."""
+    b = blocks(spark, sf_dir).groupBy("doc_id", "page").agg(F.count("*").alias("blocks"), F.sum(F.length("text")).alias("characters"))
+    last = b.groupBy("doc_id").agg(F.max("page").alias("n"))
+    wanted = last.select("doc_id", F.explode(F.array_distinct(F.array(F.lit(1).cast("long"), 1 + F.floor(F.col("n") / 2), F.col("n")))).alias("page"))
+    return wanted.join(b, ["doc_id", "page"], "left").select("doc_id", "page", F.coalesce("blocks", F.lit(0)).alias("blocks"), F.coalesce("characters", F.lit(0)).alias("characters"))
+
+
+def e65_extraction_seeds(spark, sf_dir, core_share: float = 0.35):
+    """Where a chapter is meant as a whole - a third of its cells and more are of tier 1 - extraction starts from the cells in scope and what they need, which may
+    extend it; else from all its cells."""
+    c = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("cell"), F.col("p_brand").alias("chapter"), (1 + F.col("p_size") % 3).alias("tier"))
+    chosen = g01_selected_cells(spark, sf_dir).select("cell", "hop")
+    by = c.join(chosen, "cell", "left").groupBy("chapter").agg(F.count("*").alias("cells"), F.avg((F.col("tier") == 1).cast("double")).alias("core"), F.count("hop").alias("chosen"), F.count_if(F.col("hop") > 0).alias("needed"))
+    whole = F.col("core") >= core_share
+    return by.select("chapter", F.when(whole, F.col("chosen")).otherwise(F.col("cells")).alias("seeds"), whole.alias("whole"), (whole & (F.col("needed") > 0)).alias("extended"))
+
+
 QUERIES = {name: fn for name, fn in list(globals().items()) if name[:1] in "beqt" and name[1:3].isdigit()}
 
 
@@ -201,6 +251,9 @@ def _sql() -> dict[str, str]:
     )
     fits = lambda d: f"chapters{d} >= 2 AND median{d} >= {LEAST_BLOCKS} AND max{d} <= {MOST_SHARE} * n"
     pick = lambda k: f"CASE WHEN depth = 0 THEN {k}0 ELSE {k}1 END"
+    from heddle.plans.graph_script_sql import SQL as GRAPHS
+
+    chosen = GRAPHS["g01_selected_cells"].strip().removeprefix("WITH RECURSIVE ").rsplit("SELECT cell, hop, origin FROM o", 1)[0].rstrip()
     return {
         "q10_parser_metrics": f"""WITH {paths}, {kinds}, o AS (SELECT doc_id, 'lines' AS parser, idx, page, text, kind, is_heading, path FROM kb UNION ALL SELECT doc_id, 'long', idx, CASE WHEN idx % 35 < 5 THEN page - idx % 5 ELSE page END AS page, text, kind, is_heading, path FROM kb WHERE length(text) > 30),
             p AS (SELECT *, lower({squeezed("text")}) AS norm, (page < lag(page) OVER (PARTITION BY doc_id, parser ORDER BY idx))::INT AS back FROM o WHERE page > 0),
@@ -222,6 +275,18 @@ def _sql() -> dict[str, str]:
             us AS (SELECT key AS k, row_number() OVER (PARTITION BY key ORDER BY pos, b) AS r, length(s) + 1 AS tokens, alone, s FROM u), {_packed("pu", "us", 121, 1 << 40)},
             c AS (SELECT k, bin, string_agg(s, ' ' ORDER BY r) AS t FROM us JOIN pu USING (k, r) GROUP BY ALL)
             SELECT split_part(k, ':', 1)::BIGINT AS segment_id, split_part(k, ':', 2)::BIGINT AS position, bin::INT AS chunk, length(t)::INT AS characters, md5(t) AS text_md5 FROM c""",
+        "e83_skeleton_deviations": """WITH s AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS place, l_partkey AS id, l_returnflag AS dynamic, l_quantity AS minutes FROM lineitem),
+            p AS (SELECT l_orderkey AS k, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber, l_partkey, l_suppkey) AS place, l_partkey AS id, l_returnflag AS dynamic, l_quantity AS minutes FROM lineitem WHERE l_returnflag <> 'R' OR l_quantity > 5),
+            b AS (SELECT k, place, s.id AS a, p.id AS b, s.dynamic IS DISTINCT FROM p.dynamic AS d, abs(s.minutes - p.minutes) > 2 AS m FROM s FULL JOIN p USING (k, place)), c AS (SELECT *, count(a) OVER (PARTITION BY k) <> count(b) OVER (PARTITION BY k) AS number FROM b),
+            f AS (SELECT k, CASE WHEN number THEN 0 ELSE place END AS place, CASE WHEN number THEN 'number' WHEN a IS DISTINCT FROM b THEN 'ids' WHEN d THEN 'dynamic' WHEN m THEN 'minutes' END AS fault FROM c),
+            g AS (SELECT k, min({'place': place, 'fault': fault}) FILTER (fault IS NOT NULL) AS f FROM f GROUP BY 1) SELECT coalesce(f.fault, 'none') AS deviation, coalesce(f.place, 0)::INT AS place, count(*) AS plans FROM g GROUP BY ALL""",
+        "q35_bound_audio": """WITH b AS (SELECT segment_id, coalesce(string_agg(position || ':' || speaker || ':' || text, chr(10) ORDER BY position, speaker, text), '') AS script, coalesce(string_agg(position || ':' || speaker || ':' || text, chr(10) ORDER BY position, speaker, text) FILTER (speaker <> 'editorial'), '') AS made,
+                count(*) FILTER (speaker <> 'editorial') AS spoken, count(*) FILTER (speaker <> 'editorial' AND trim(text) = '') AS blank FROM turns GROUP BY 1)
+            SELECT segment_id, script = made AS bound, CASE WHEN spoken = 0 THEN 'not_reached' WHEN script = made AND blank = 0 THEN 'pass' ELSE 'blocked' END AS audio_qa FROM b""",
+        "b60_sample_pages": """WITH b AS (SELECT doc_id, page, count(*) AS blocks, sum(length(text))::BIGINT AS characters FROM blocks GROUP BY ALL), w AS (SELECT doc_id, unnest(list_distinct([1, 1 + max(page) // 2, max(page)])) AS page FROM b GROUP BY doc_id)
+            SELECT doc_id, page, coalesce(blocks, 0) AS blocks, coalesce(characters, 0) AS characters FROM w LEFT JOIN b USING (doc_id, page)""",
+        "e65_extraction_seeds": f"""WITH RECURSIVE {chosen}, y AS (SELECT chapter, count(*) AS cells, avg((tier = 1)::INT::DOUBLE) AS core, count(o.hop) AS chosen, count(*) FILTER (o.hop > 0) AS needed FROM cells LEFT JOIN o USING (cell) GROUP BY 1)
+            SELECT chapter, CASE WHEN core >= 0.35 THEN chosen ELSE cells END AS seeds, core >= 0.35 AS whole, core >= 0.35 AND needed > 0 AS extended FROM y""",
         "e89_judgement_snapshots": f"""WITH {paths}, o AS (SELECT evidence_id, min({{'doc_id': doc_id, 'idx': idx, 'page_start': page_start, 'page_end': page_end, 'excerpt': excerpt, 'claim': claim, 'claim_type': claim_type, 'source': source}}) AS m FROM evidence GROUP BY 1),
             j AS (SELECT event_id, project_id, 'e' || (user_id::BIGINT % 5000) || '-' || (k % 50) AS evidence_id FROM core_events WHERE name IS NOT NULL),
             d AS (SELECT doc_id, sha256(max(coalesce(text, ''))) AS reconciler_identity FROM documents GROUP BY 1)

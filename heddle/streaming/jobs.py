@@ -67,7 +67,7 @@ def s04_distinct(events: DataFrame) -> DataFrame:
 def s05_sessions(events: DataFrame, gap_seconds: int = 3 * 3600) -> DataFrame:
     """Sessions of a project and their events: a gap ends one (24 hours in production).  Those that may go on are the carried rows."""
     done, going = carried(slim(events, "project_id", F.lit(1)), SLIM.format("project_id"), SLIM.format("project_id"), session_step(gap_seconds))
-    return done.unionByName(going).select("project_id", F.col("flag").alias("events"))
+    return done.unionByName(going).select("project_id", F.col("flag").cast("long").alias("events"))
 
 
 def s06_conversions(events: DataFrame, days: int = 7) -> DataFrame:
