@@ -10,7 +10,8 @@ both dictionaries end with: without it zstandard would store most windows raw, a
 The largest distances of a text, how many of its windows reach each threshold, and its
 length go through a logistic calibration, weighted back to the classes' shares among all
 labels and, if more than ``MOST_FALSE`` of the ordinary texts would be predicted toxic, shifted until no more are.
-The calibration sees each sample text only with dictionaries made without its fold.
+The calibration sees each sample text only with a toxic dictionary made without its fold; the ordinary one, of which it
+takes little, is the same for all folds.
 
 Fitting reads a bounded sample of labelled documents on the driver: the smallest hashes of doc_id, at most
 ``TOXIC_DOCS`` and ``ORDINARY_DOCS`` of them, none over ``common.SAMPLE_TEXT`` bytes, ``SAMPLE_BYTES`` of each class
