@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -11,6 +13,16 @@ from pyspark.sql import functions as F
 from heddle.sources.store import forget, materialise, written  # noqa: F401 - for the modules of this package
 
 
+def give_back() -> None:
+    """Returns to the system what the driver's Python has freed but its allocators keep: a session runs on after a fit."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library keeps less
+        pass
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -81,6 +93,8 @@ def bitmap(df: DataFrame, column: str, bits: int = 24) -> bytes:
     out = np.zeros(1 << (bits - 6), dtype=np.int64)
     got = rows.toPandas()
     out[got["w"].to_numpy(dtype=np.int64)] = got["b"].to_numpy(dtype=np.int64)
+    del got
+    give_back()
     return out.tobytes()
 
 

@@ -36,7 +36,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from heddle.llm.common import held_out, sample_texts
+from heddle.llm.common import give_back, held_out, sample_texts
 from heddle.llm.wordgrams import chunks, shingle_sets
 
 WINDOW, STRIDE = 20, 10
@@ -241,7 +241,11 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     chosen = known.where("label = 1").orderBy(*order).limit(TOXIC_DOCS).unionByName(known.where("label = 0").orderBy(*order).limit(ORDINARY_DOCS))
     rows = sample_texts(docs, chosen, SAMPLE_BYTES)
     texts = {v: rows.loc[rows["label"] == v, "text"].tolist() for v in (0, 1)}
-    return Model(texts[1], texts[0], totals.get(1, 0) / max(1, totals.get(1, 0) + totals.get(0, 0)))
+    del rows
+    model = Model(texts[1], texts[0], totals.get(1, 0) / max(1, totals.get(1, 0) + totals.get(0, 0)))
+    del texts
+    give_back()
+    return model
 
 
 def _scored(model: Model):
