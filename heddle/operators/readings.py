@@ -91,7 +91,7 @@ def spoken_chunks(rows: DataFrame, text: str, keys: list[str], most: int) -> Dat
     """(``keys``, chunk, text): sentences packed in order into chunks of at most ``most`` characters; a longer sentence by itself, packed by words; a word
     over it is a chunk of its own."""
     flat = rows.withColumn("_t", collapse(F.regexp_replace(F.col(text), r"\s+", " ")))
-    parts = flat.select(*keys, F.posexplode(F.filter(F.transform(F.split("_t", r"(?<=[.!?؟؛])\s+"), F.trim), lambda s: s != "")).alias("_at", "_s"))
+    parts = flat.select(*keys, F.posexplode(F.filter(F.transform(F.split("_t", r"(?<=[.!?؟؛])\s+"), lambda x: F.trim(x)), lambda s: s != "")).alias("_at", "_s"))
     item = lambda s, alone: F.struct((F.length(s) + 1).cast("long").alias("tokens"), alone.alias("alone"), s.alias("s"))  # noqa: E731  a space behind each
     words = F.filter(F.split("_s", " "), lambda w: w != "")
     long = parts.where(F.length("_s") > most).select(*keys, "_at", F.transform(words, lambda w: item(w, F.lit(False))).alias("_i"))

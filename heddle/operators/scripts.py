@@ -98,7 +98,7 @@ def t27_arms(spark, sf_dir):
 
 def t31_segments(spark, sf_dir, most: int = 300):
     """Sentences of each turn packed in order into chunks of at most 300 characters (900 in production)."""
-    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), F.trim), lambda s: s != "")
+    sentences = F.filter(F.transform(F.split("text", r"(?<=[.!?])\s+"), lambda x: F.trim(x)), lambda s: s != "")
     t = turns(spark, sf_dir).select("segment_id", "position", F.transform(sentences, lambda s: F.struct(F.length(s).cast("long").alias("tokens"), F.lit(False).alias("alone"))).alias("items")).where(F.size("items") > 0)
     packed = t.select("segment_id", "position", "items", pack_in_order(F.col("items"), most, most).alias("bins"))
     return packed.groupBy("segment_id").agg(F.sum(F.size("items")).alias("sentences"), F.sum(F.array_max("bins") + 1).alias("chunks"))

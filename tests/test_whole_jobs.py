@@ -108,3 +108,18 @@ def test_masks_cover_each_kind(spark):
     assert row == "[REDACTED_GEMINI_KEY] [REDACTED_SECRET] [REDACTED_PHONE] [REDACTED_PHONE] [REDACTED_PHONE] [HOME]\\x [HOME]/y"
     names = spark.createDataFrame([("Api-Key",), ("colour",), ("X-Auth-TOKEN",)], "n string").select(sensitive(F.col("n")).alias("s"))
     assert [r["s"] for r in names.collect()] == [True, False, True]
+
+
+def test_blocks_keep_digits_that_are_their_place(spark, tmp_path):
+    from heddle.sources.views import blocks
+
+    text = "0 call 555-8630\n 1 of 171 \n\n2\n 33 \n"
+    spark.createDataFrame([(1, text, "en", "s")], "doc_id long, text string, lang string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r["idx"], r["text"]) for r in blocks(spark, str(tmp_path)).orderBy("idx").collect()]
+    assert got == [(0, "0 call 555-8630"), (1, "1 of 171"), (2, "2"), (3, "33")]
+
+
+def test_sentences_keep_digits_that_are_their_place(spark, tmp_path):
+    text = "0 is first. Then 11! 2 " + "x" * 290 + ". 3"
+    spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    assert [(r["sentences"], r["chunks"]) for r in scripts.t31_segments(spark, str(tmp_path)).collect()] == [(4, 2)]
