@@ -123,3 +123,23 @@ def test_sentences_keep_digits_that_are_their_place(spark, tmp_path):
     text = "0 is first. Then 11! 2 " + "x" * 290 + ". 3"
     spark.createDataFrame([(1, 0, "user", text)], "conv_id long, turn int, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
     assert [(r["sentences"], r["chunks"]) for r in scripts.t31_segments(spark, str(tmp_path)).collect()] == [(4, 2)]
+
+
+def test_similar_labels_are_paired_in_parts_and_counted_by_set(spark, tmp_path, monkeypatch):
+    from heddle.operators import structure
+
+    six = "a b c d e f"
+    labels = [six] * 9 + [six + " g"] * 4 + ["x y"] * 5 + ["x"] * 2 + [""]
+    cells = [(k, None if k % 4 == 3 else f"b{k % 3}", label) for k, label in enumerate(labels)]
+    spark.createDataFrame([(k, 1, chapter, label, "t") for k, chapter, label in cells], "p_partkey long, p_size int, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    sets = {k: set(label.split()) for k, _, label in cells}
+    alike = [(a, b) for a, ca, _ in cells for b, cb, _ in cells if a < b and sets[a] and sets[b] and len(sets[a] & sets[b]) >= 0.85 * len(sets[a] | sets[b])]
+    monkeypatch.setattr(structure, "CELLS_IN_PART", 2)
+    assert sorted((r["a"], r["b"]) for r in structure.g14_label_similarity(spark, str(tmp_path)).collect()) == alike
+    chapters, expected = {k: c for k, c, _ in cells}, {}
+    for a, b in alike:
+        ca, cb = chapters[a], chapters[b]
+        key = (min((c for c in (ca, cb) if c), default=None), "merged" if ca is not None and ca == cb else "flagged")
+        expected[key] = expected.get(key, 0) + 1
+    monkeypatch.setattr(structure, "label_pairs", None)  # the pairs themselves aren't made for their number
+    assert {(r["chapter"], r["kind"]): r["pairs"] for r in structure.g29_normalised_cells(spark, str(tmp_path)).collect()} == expected
