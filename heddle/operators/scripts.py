@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from heddle.functions.columns import edit_similarity, fold_for_sound, jaccard, share
 from heddle.operators.documents import pack_in_order
 from heddle.operators.evidence import word_list
-from heddle.sources.views import blocks, model_calls, product_events, real, turns
+from heddle.sources.views import lines_of, model_calls, product_events, real, table, turns
 
 
 def in_order(key: str = "segment_id", *order: str):
@@ -30,13 +30,28 @@ def shingles(df: DataFrame, size: int = 3) -> DataFrame:
     return worded.withColumn("grams", F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - size + 1), lambda i: F.array_join(F.slice("w", i, size), " "))))
 
 
+def lines_with_likes(docs: DataFrame, least: float, size: int = 3) -> DataFrame:
+    """(doc_id, idx, text) of the lines of ``docs`` (doc_id, text) that may be as similar as ``least`` to another of their document: at least that
+    part of a line's runs of words is in another line too, which a document's own row tells.  All lines of a doc_id with several rows."""
+    grams = lambda w: F.when(F.size(w) >= size, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(*(F.get(w, i + k) for k in range(size)))))).otherwise(F.array().cast("array<bigint>"))
+    several = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("_id"), F.lit(True).alias("several"))
+    rows = docs.withColumn("several", F.lit(False)) if several.isEmpty() else docs.join(several, docs["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id")
+    rows = rows.select("doc_id", F.coalesce("several", F.lit(False)).alias("several"), lines_of("text").alias("lines"))
+    rows = rows.withColumn("sets", F.transform(F.transform("lines", lambda x: word_list(x)), grams))
+    rows = rows.withColumn("all", F.array_sort(F.flatten("sets")))
+    rows = rows.withColumn("met", F.array_distinct(F.filter("all", lambda h, i: h == F.get(F.col("all"), i + 1))))
+    likely = lambda s: F.col("several") | ((F.size(s) > 0) & (F.size(F.array_intersect(s, F.col("met"))) >= F.size(s) * least - 1e-6))
+    kept = F.zip_with("lines", "sets", lambda x, s: F.when(likely(s), x))
+    return rows.select("doc_id", F.posexplode_outer(kept).alias("idx", "text")).where("text is not null").withColumn("idx", F.col("idx").cast("long"))
+
+
 def t03_near_repeats(spark, sf_dir, least: float = 0.6):
     """Pairs of different places of a document whose texts have a trigram similarity of 0.6 or more.
 
-    Equal texts are one row with all their places first.  Prefix filter: two sets can only be that similar
+    Only lines that share enough of their grams with others go on.  Equal texts are one row with all their places first.  Prefix filter: two sets can only be that similar
     if they share one of their rarest grams, so candidates meet on those alone and are then compared
     exactly."""
-    same = blocks(spark, sf_dir).groupBy("doc_id", "text").agg(F.min("idx").alias("position"), F.count("*").alias("times"))
+    same = lines_with_likes(table(spark, sf_dir, "documents").select("doc_id", "text"), least).groupBy("doc_id", "text").agg(F.min("idx").alias("position"), F.count("*").alias("times"))
     t = shingles(same).select("doc_id", "position", "times", "grams")
     each = t.select("doc_id", "position", F.size("grams").alias("size"), F.explode_outer("grams").alias("gram"))  # outer: else a filter on the grams moves below the words
     rarity = each.groupBy("doc_id", "gram").agg(F.count("*").alias("df"))

@@ -143,3 +143,14 @@ def test_similar_labels_are_paired_in_parts_and_counted_by_set(spark, tmp_path,
         expected[key] = expected.get(key, 0) + 1
     monkeypatch.setattr(structure, "label_pairs", None)  # the pairs themselves aren't made for their number
     assert {(r["chapter"], r["kind"]): r["pairs"] for r in structure.g29_normalised_cells(spark, str(tmp_path)).collect()} == expected
+
+
+def test_only_lines_with_likes_are_compared(spark, tmp_path):
+    near = "one two three four five six seven eight nine ten"
+    docs = [(1, f"{near}\nquite another line of many words here\n{near} eleven\n{near}"), (2, "no line is like the other here\nand this one is all on its own"), (3, f"{near}\nalone"), (3, f"x\nsolitary words only\n{near} more")]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    frame = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    kept = sorted((r["doc_id"], r["idx"]) for r in scripts.lines_with_likes(frame, 0.6).collect())
+    assert kept == [(1, 0), (1, 2), (1, 3), (3, 0), (3, 0), (3, 1), (3, 1), (3, 2)]
+    got = sorted((r["doc_id"], r["position"], r["later"], round(r["similarity"], 6)) for r in scripts.t03_near_repeats(spark, str(tmp_path)).collect())
+    assert got == [(1, 0, 0, 1.0), (1, 0, 2, round(8 / 9, 6)), (3, 0, 2, round(8 / 9, 6))]
