@@ -77,3 +77,11 @@ def test_letters_without_marks(spark):
     texts = ["Été naïve Łódź", "éa", "ǍǙẦ ﬁ", ""]
     got = [x[0] for x in spark.createDataFrame([(t,) for t in texts], "t string").select(textindex.plain_letters(F.col("t"))).collect()]
     assert got == ["ete naive łodz", "ea", "aua ﬁ", ""]
+
+
+def test_terms_are_stored_once_with_their_numbers_of_blocks(spark, tmp_path):
+    rows = [(1, 0, "river stone river", ["Stone"]), (1, 1, "river", []), (2, 0, "...", [])]
+    index = textindex.build(spark.createDataFrame(rows, "doc_id long, idx long, text string, path array<string>"), f"{tmp_path}/index")
+    assert sorted((r["term"], r["df"]) for r in index.terms().collect()) == [("river", 2), ("stone", 1)]
+    got = sorted((r["term"], r["doc_id"], r["idx"], r["tf"], r["words"], r["df"]) for r in index.postings().collect())
+    assert got == [("river", 1, 0, 2, 4, 2), ("river", 1, 1, 1, 1, 2), ("stone", 1, 0, 2, 4, 1)]
