@@ -21,7 +21,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that executors
 
 #: The types of edges that must not form a cycle.
 CYCLE_TYPES = ["prerequisite", "depends_on", "extends"]
-IN_ONE_TASK = 200_000  # edges of a group that one task breaks; larger ones are split first
+IN_ONE_TASK = 1_000_000  # edges that one task holds; what is larger is split first
 
 
 def _nodes(edges: DataFrame, end: str) -> DataFrame:
@@ -36,27 +36,42 @@ def _both_in(edges: DataFrame, nodes: DataFrame, how: str = "left_semi") -> Data
 
 
 def _spread_greatest(edges: DataFrame) -> DataFrame:
-    """(part, node, colour): the greatest node from which each one can be reached."""
+    """(part, node, colour): the greatest node from which each one can be reached.  Nodes send their colour on only when it has changed."""
     colours = materialise(_nodes(edges, "source").union(_nodes(edges, "target")).distinct().withColumn("colour", F.col("node")))
+    changed = colours
     while True:
-        sent = edges.join(colours.withColumnRenamed("node", "source"), ["part", "source"]).groupBy("part", F.col("target").alias("node")).agg(F.max("colour").alias("sent"))
+        sent = edges.join(changed.withColumnRenamed("node", "source"), ["part", "source"]).groupBy("part", F.col("target").alias("node")).agg(F.max("colour").alias("sent"))
         now = materialise(colours.join(sent, ["part", "node"], "left").select("part", "node", "colour", F.greatest("colour", F.coalesce("sent", "colour")).alias("now")))
-        if now.where("now <> colour").isEmpty():
-            return now.select("part", "node", "colour")
         colours = now.select("part", "node", F.col("now").alias("colour"))
+        changed = now.where("now <> colour").select("part", "node", F.col("now").alias("colour"))
+        if changed.isEmpty():
+            return colours
 
 
-def strong_components(edges: DataFrame) -> DataFrame:
+def _small_components(group: pd.DataFrame) -> pd.DataFrame:
+    held = pd.Series(components_of(list(zip(group["source"].tolist(), group["target"].tolist()))))
+    held = held[held.duplicated(keep=False)]
+    return pd.DataFrame({"part": group["part"].iloc[0], "node": held.index, "root": held.to_numpy()})
+
+
+def strong_components(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
     """(part, node, root) of the strong components of two nodes or more of ``edges`` (part, source, target); parts don't touch.
 
     Nodes without an edge in or out go.  Each colour then holds the whole component of its greatest node - what reaches that node
-    inside the colour - and no other component lies in two colours."""
+    inside the colour - and no other component lies in two colours.  Once no more than ``in_one_task`` edges are left, the rest is searched part by part."""
     left = materialise(edges.select("part", "source", "target").where("source <> target").distinct())
-    found = []
+    size, found = left.count(), []
     while True:
+        before = size
         left = materialise(_both_in(left, _nodes(left, "source").intersect(_nodes(left, "target"))))
-        if left.isEmpty():
+        size = left.count()
+        if size <= in_one_task:
+            if size:
+                kind = left.schema["source"].dataType.simpleString()
+                found.append(materialise(left.groupBy("part").applyInPandas(_small_components, f"part string, node {kind}, root {kind}")))
             break
+        if size < 0.9 * before:
+            continue
         colours = _spread_greatest(left)
         ends = [colours.select("part", F.col("node").alias(end), F.col("colour").alias(f"{end}_colour")) for end in ("source", "target")]
         inside = materialise(left.join(ends[0], ["part", "source"]).join(ends[1], ["part", "target"]).where("source_colour = target_colour").select("part", "source", "target", F.col("source_colour").alias("root")))
@@ -140,8 +155,16 @@ def lightest_of_cycles(edges: list[tuple[int, int, int]], begin: int, end: int)
 
 
 def _broken(group: pd.DataFrame) -> pd.DataFrame:
-    rows = list(zip(group["place"].tolist(), group["a"].tolist(), group["b"].tolist()))
-    return pd.DataFrame({"place": sorted(lightest_of_cycles(rows, int(group["low"].iloc[0]), int(group["high"].iloc[0])))}, dtype="int64")
+    group = group.sort_values("place")
+    own = int((group["place"] < group["low"]).sum())  # places inside the group, so that halves are halves
+    rows = list(zip(range(len(group)), group["a"].tolist(), group["b"].tolist()))
+    return group.iloc[sorted(lightest_of_cycles(rows, own, len(rows)))][["place"]]
+
+
+def _bounded(parts: DataFrame) -> DataFrame:
+    """``parts`` (part, a, b, place, low) with the bounds of the places that are still open; parts where none is open go."""
+    bounds = parts.where("place >= low").groupBy("part").agg(F.min("place").alias("low"), (F.max("place") + 1).alias("high"))
+    return parts.drop("low").join(bounds, "part")
 
 
 def cycle_breakers(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFrame:
@@ -150,38 +173,35 @@ def cycle_breakers(edges: DataFrame, in_one_task: int = IN_ONE_TASK) -> DataFram
     Groups of edges that more than one task should hold are halved by place until they are small: the components of the heavier
     half connect some ends, whose edges stay together, and are contracted for the rest."""
     marked = materialise(edges.select(F.lit("").alias("part"), F.col("source").alias("a"), F.col("target").alias("b"), "place"))
-    roots = strong_components(marked.select("part", F.col("a").alias("source"), F.col("b").alias("target")))
+    roots = strong_components(marked.select("part", F.col("a").alias("source"), F.col("b").alias("target")), in_one_task)
     a, b = (roots.select(F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
-    left = marked.join(a, "a").join(b, "b").where("ra = rb").select(F.col("ra").cast("string").alias("part"), "a", "b", "place")
-    # places of a component's own edges, so that halves are halves
-    left = materialise(left.withColumn("own", F.row_number().over(Window.partitionBy("part").orderBy("place")).cast("long") - 1))
-    names = left.select("part", F.col("own").alias("own_place"), F.col("place").alias("whole"), F.col("part").alias("component"))
-    bounds = left.groupBy("part").agg(F.lit(0).cast("long").alias("low"), F.count("*").alias("high"))
-    left = materialise(left.join(bounds, "part").select("part", F.col("part").alias("component"), "a", "b", F.col("own").alias("place"), "low", "high"))
-    gone = []
+    left = marked.join(a, "a").join(b, "b").where("ra = rb").select(F.col("ra").cast("string").alias("part"), "a", "b", "place", F.lit(0).cast("long").alias("low"))
+    left, small, gone = materialise(_bounded(left)), [], []
     while True:
-        sizes = left.groupBy("part").agg(F.count("*").alias("edges"))
-        large = materialise(sizes.where(F.col("edges") > in_one_task).select("part"))
+        large = materialise(left.groupBy("part").agg(F.count("*").alias("edges")).where(F.col("edges") > in_one_task).select("part"))
+        small.append(left.join(large, "part", "left_anti"))
         if large.isEmpty():
             break
-        small, big = left.join(large, "part", "left_anti"), materialise(left.join(large, "part", "left_semi"))
+        big = materialise(left.join(large, "part", "left_semi"))
         last = F.col("high") - F.col("low") <= 1
         middle = F.when(last, F.col("high")).otherwise(F.floor((F.col("low") + F.col("high")) / 2))
-        roots = strong_components(big.where(F.col("place") < middle).select("part", F.col("a").alias("source"), F.col("b").alias("target")))
+        roots = strong_components(big.where(F.col("place") < middle).select("part", F.col("a").alias("source"), F.col("b").alias("target")), in_one_task)
         a, b = (roots.select("part", F.col("node").alias(n), F.col("root").alias(f"r{n}")) for n in ("a", "b"))
         held = materialise(big.join(a, ["part", "a"], "left").join(b, ["part", "b"], "left").withColumns({"ra": F.coalesce("ra", "a"), "rb": F.coalesce("rb", "b"), "middle": middle, "last": last}))
         joined = F.col("ra") == F.col("rb")
-        gone.append(materialise(held.where(joined & (F.col("place") >= F.when(F.col("last"), F.col("low")).otherwise(F.col("middle")))).select("component", "place")))
+        gone.append(held.where(joined & (F.col("place") >= F.when(F.col("last"), F.col("low")).otherwise(F.col("middle")))).select("place"))
         held = held.where("not last")
-        first = held.where(joined & (F.col("place") < F.col("middle"))).select(F.concat("part", F.lit("<"), "ra").alias("part"), "component", "a", "b", "place", "low", F.col("middle").alias("high"))
-        second = held.where(~joined).select(F.concat("part", F.lit(">")).alias("part"), "component", F.col("ra").alias("a"), F.col("rb").alias("b"), "place", F.col("middle").alias("low"), "high")
-        both = first.unionByName(second)
-        open_ = F.max("place").over(Window.partitionBy("part")) >= F.col("low")  # else none of the part's edges can go any more
-        left = materialise(small.unionByName(both.withColumn("open", open_).where("open").drop("open")))
-    small = left.groupBy("part", "component").applyInPandas(lambda key, group: _broken(group).assign(component=key[1])[["component", "place"]], "component string, place long")
+        first = held.where(joined & (F.col("place") < F.col("middle"))).select(F.concat("part", F.lit("<"), "ra").alias("part"), "a", "b", "place", "low")
+        second = held.where(~joined).select(F.concat("part", F.lit(">")).alias("part"), F.col("ra").alias("a"), F.col("rb").alias("b"), "place", F.col("middle").alias("low"))
+        left = materialise(_bounded(first.unionByName(second)))
+    out = small[0]
+    for more in small[1:]:
+        out = out.unionByName(more)
+    tasks = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # named, so that small groups with long work aren't put into few tasks
+    out = out.repartition(tasks, "part").groupBy("part").applyInPandas(_broken, "place long")
     for more in gone:
-        small = small.unionByName(more)
-    return small.join(names.select("component", F.col("own_place").alias("place"), "whole"), ["component", "place"]).select(F.col("whole").alias("place"))
+        out = out.unionByName(more)
+    return out
 
 
 def ordered_edges(spark, sf_dir) -> DataFrame:
@@ -189,7 +209,7 @@ def ordered_edges(spark, sf_dir) -> DataFrame:
     e = strongest_edges(spark, sf_dir).where(F.col("type").isin(CYCLE_TYPES))
     # ranks by range: a part's own place behind the number of those in the parts before it
     keys = [F.desc("weight"), F.desc("confidence"), F.desc("source"), F.desc("target"), F.desc("type")]
-    ranged = materialise(e.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()))
+    ranged = materialise(materialise(e).repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("id", F.monotonically_increasing_id()))
     counts = ranged.groupBy(F.shiftright("id", 33).alias("at")).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(Window.orderBy("at")) - F.col("n")).select("at", "before")  # one row a partition
     return ranged.withColumn("at", F.shiftright("id", 33)).join(F.broadcast(before), "at").select((F.col("before") + F.col("id") - F.shiftleft("at", 33)).alias("place"), "source", "target", "type", "weight", "confidence")

@@ -65,3 +65,16 @@ def test_without_cycles(spark):
     frame = spark.createDataFrame([(0, 1, 2), (1, 2, 3)], "place long, source long, target long")
     assert cycles.cycle_breakers(frame).collect() == []
     assert cycles.cycle_breakers(frame.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("in_one_task", [1000, 5])
+def test_strong_components_in_one_task_or_many(spark, in_one_task):
+    pairs = [e[1:] for e in graph(4, 24, 40)] + [(200 + i, 201 + i) for i in range(15)] + [(209, 203), (214, 211)]
+    frame = spark.createDataFrame([(part, a, b) for part in ("x", "y") for a, b in pairs], "part string, source long, target long")
+    got = {}
+    for r in cycles.strong_components(frame, in_one_task).collect():
+        got.setdefault((r["part"], r["root"]), set()).add(r["node"])
+    nodes = sorted({n for p in pairs for n in p})
+    expected = {frozenset(m for m in nodes if m == n or reaches(pairs, n, m) and reaches(pairs, m, n)) for n in nodes}
+    for part in ("x", "y"):
+        assert {frozenset(v) for (p, _), v in got.items() if p == part} == {c for c in expected if len(c) > 1}
