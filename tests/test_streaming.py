@@ -129,3 +129,25 @@ def test_open_spans_time_out(spark, tmp_path, monkeypatch):
     got = timeouts.run(stream, 24 * 60)
     assert sorted(r["span_id"] for r in got.where("trace_id <> 'h'").collect()) == ["a1"]
     assert got.where("trace_id = 'h'").agg(F.countDistinct("span_id")).head()[0] == 400
+
+
+def test_spans_are_told_right_however_files_are_dealt(spark, tmp_path):
+    import datetime
+
+    from heddle.streaming import timeouts
+
+    t = lambda h: datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    files = [  # two parts, since none and since hour 50; each in files that aren't in the order of time
+        [("a", "a1", "p", True, "started", t(1), None), ("a", "a2", "p", False, "ended", t(49), None)],
+        [("b", "b1", "p", True, "started", t(2), None), ("b", "b1", "p", True, "ended", t(3), None)],
+        [("a", "a1", "p", True, "ended", t(2), None), ("a", "a2", "p", False, "started", t(48), None), ("c", "c1", "q", True, "started", t(0), None)],
+        [("d", "d1", "q", True, "started", t(90), t(50))],
+        [("d", "d2", "q", False, "started", t(51), t(50)), ("e", "e1", "q", True, "started", t(99), t(50))],
+        [("d", "d2", "q", False, "ended", t(52), t(50))],
+        [("", "", "", False, "now", t(120), t(120))],
+    ]
+    schema = "trace_id string, span_id string, project_id string, is_root boolean, kind string, at timestamp, since timestamp"
+    for k, rows in enumerate(files):
+        spark.createDataFrame(rows, schema).coalesce(1).write.parquet(f"{tmp_path}/part={k:03d}")
+    got = timeouts.run(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/part=*"), 24 * 60)
+    assert sorted(r["span_id"] for r in got.collect()) == ["c1", "d1"]
