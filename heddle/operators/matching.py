@@ -10,6 +10,7 @@ from __future__ import annotations
 import sys
 from fractions import Fraction
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
@@ -23,6 +24,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])  # so that executors
 
 SCALES = (0.8, 1.0, 1.2)  # widths of windows, in parts of a sentence's words
 FOUND = 0.85
+GRAM = 3  # characters of the runs by which windows are told apart before they are compared
 PASSES, REVIEW = 0.9, 0.78
 
 
@@ -40,35 +42,40 @@ def _words(text: Column) -> Column:
 def windows_near(said: list[str], words: list[str], least: Fraction) -> list[tuple[int, int, int]]:
     """(sentence, first word, word behind) of all windows that may be as similar as ``least`` to a sentence.
 
-    d edits leave one of d + 1 pieces of the sentence whole: only windows that begin, give or take d characters, where
-    they would with such a piece in its place are named.  None that is similar enough is left out."""
-    text, start_of, at = " ".join(words), [], 0
-    for word in words:
-        start_of.append(at)
-        at += len(word) + 1
-    word_at = {}  # character -> first word that begins there or later
-    for i, start in reversed(list(enumerate(start_of))):
-        word_at[start] = i
-    places: dict[int, dict[str, list[int]]] = {}
+    Windows whose length alone asks for too many edits go.  An edit spoils at most ``GRAM`` of a sentence's runs of characters: the others are in the window, at
+    their place give or take the edits, and windows that hold fewer go.  None that is similar enough is left out."""
+    text = " ".join(words)
+    ends = np.cumsum([len(word) + 1 for word in words]) - 1
+    starts = ends - np.array([len(word) for word in words])
+    at: dict[str, list[int]] = {}
     out = []
     for no, sentence in enumerate(said):
-        n = len(sentence.split())
+        n, size = len(sentence.split()), len(sentence)
         if not n:
             continue
         if len(words) <= n:
             out.append((no, 0, len(words)))
             continue
-        edits = int((1 - least) / least * len(sentence))
-        size = len(sentence) // (edits + 1)
-        if size not in places:
-            grams: dict[str, list[int]] = {}
-            for k in range(len(text) - size + 1):
-                grams.setdefault(text[k : k + size], []).append(k)
-            places[size] = grams
-        shifts = {p - k * size for k in range(edits + 1) for p in places[size].get(sentence[k * size : (k + 1) * size], ())}
-        starts = {word_at[c] for shift in shifts for c in range(shift - edits, shift + edits + 1) if c in word_at}
-        widths = sorted({max(1, round(n * scale)) for scale in SCALES})
-        out += [(no, i, i + width) for i in sorted(starts) for width in widths if i + width <= len(words)]
+        if not at:
+            for k in range(len(text) - GRAM + 1):
+                at.setdefault(text[k : k + GRAM], []).append(k)
+        edits = int((1 - least) / least * size)
+        found = [(k, at[sentence[k : k + GRAM]]) for k in range(size - GRAM + 1) if sentence[k : k + GRAM] in at]
+        if len(found) < size - GRAM + 1 - GRAM * edits:
+            continue
+        runs = np.repeat([k for k, _ in found], [len(places) for _, places in found]).astype(np.int64)
+        begin = np.array([p for _, places in found for p in places], np.int64) - runs
+        low, high = begin - edits, begin + edits + 1
+        same = runs[1:] == runs[:-1]
+        low[1:][same] = np.maximum(low[1:][same], high[:-1][same])  # a run counts once for a beginning
+        low, high = (np.clip(x, 0, len(text)) for x in (low, high))
+        held = np.cumsum(np.bincount(low, minlength=len(text) + 1) - np.bincount(high, minlength=len(text) + 1))
+        for width in sorted({max(1, round(n * scale)) for scale in SCALES}):
+            first = starts[: max(0, len(words) - width + 1)]
+            length = ends[width - 1 :][: len(first)] - first
+            most = np.maximum(length, size) * (least.denominator - least.numerator) // least.denominator
+            near = (abs(length - size) <= most) & (held[first] >= size - GRAM + 1 - GRAM * most)
+            out += [(no, i, i + width) for i in np.flatnonzero(near).tolist()]
     return out
 
 

@@ -117,3 +117,17 @@ def test_no_similar_window_is_left_out():
             for i in range(len(words) - w + 1):
                 if n and len(words) > n and similar(sentence, " ".join(words[i : i + w])) >= 0.85:
                     assert (0, i, i + w) in near
+
+
+def test_few_windows_are_compared_and_none_is_lost():
+    from fractions import Fraction
+
+    r, least = random.Random(5), Fraction(17, 20)
+    names = ["".join(r.choice("abcdefghij") for _ in range(r.randrange(2, 9))) for _ in range(60)]
+    words = [r.choice(names) for _ in range(300)]
+    said = [" ".join(words[k : k + 9]) for k in range(0, 280, 14)]
+    said = ["".join(c if r.random() > 0.06 else r.choice(["", "q", c + c]) for c in s) for s in said] + [" ".join(r.choice(names) for _ in range(7)) for _ in range(5)] + ["ab cd", "a", ""]
+    got = set(matching.windows_near(said, words, least))
+    every = {(no, i, i + w) for no, s in enumerate(said) if s for w in {max(1, round(len(s.split()) * x)) for x in matching.SCALES} for i in range(len(words) - w + 1)}
+    near = {c for c in every if similar(said[c[0]], " ".join(words[c[1] : c[2]])) >= 0.85}
+    assert near and near <= got <= every and len(got) < len(every) / 20
