@@ -106,14 +106,20 @@ def o08_trace_nodes(spark, sf_dir):
     )
 
 
+def root_nodes(nodes: DataFrame) -> DataFrame:
+    """Nodes whose parent is missing; those that name none aren't shuffled, since a join would put them all into one task."""
+    known = nodes.select(F.col("node_id").alias("parent_id"))
+    columns = ["node_id", "parent_id", "trace_id"]
+    return nodes.where("parent_id is null").select(*columns).unionByName(nodes.where("parent_id is not null").join(known, "parent_id", "left_anti").select(*columns))
+
+
 def tree_depths(nodes: DataFrame, limit: int = 8) -> DataFrame:
     """node_id, trace_id, depth of each node; a node whose parent is missing is a root.
 
     One equi-join a level with what is left of the nodes; each level is written once, so that the next doesn't make it
     again.  Nodes deeper than ``limit`` are left out here and counted by ``truncated_children``."""
     nodes = materialise(nodes.select("node_id", "parent_id", "trace_id"))
-    known = nodes.select(F.col("node_id").alias("parent_id")).distinct()
-    level = materialise(nodes.join(known, "parent_id", "left_anti").select("node_id", "trace_id", F.lit(0).alias("depth")))
+    level = materialise(root_nodes(nodes).select("node_id", "trace_id", F.lit(0).alias("depth")))
     levels = [level]
     for depth in range(1, limit + 1):
         above = level.select(F.col("node_id").alias("parent_id"))

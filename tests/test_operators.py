@@ -135,3 +135,27 @@ def test_rollup_overwrites_only_its_own_partitions(spark, tmp_path):
         metrics.write_rollup(spark.createDataFrame(rows, schema), f"{tmp_path}/rollup")
     got = {(r["metric_key"], str(r["day"])): r["value"] for r in spark.read.parquet(f"{tmp_path}/rollup").collect()}
     assert got == {("a", "2024-01-01"): 1.0, ("a", "2024-01-02"): 9.0, ("b", "2024-01-01"): 3.0}
+
+
+def test_nodes_without_a_parent_are_not_put_into_one_task(spark):
+    from pyspark.sql import functions as F
+
+    nodes = spark.range(0, 4000, 1, 8).select(F.concat(F.lit("n"), "id").alias("node_id"), F.when(F.col("id") % 4 == 0, F.concat(F.lit("n"), F.col("id") + 1)).alias("parent_id"), F.lit("t").alias("trace_id"))
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        sizes = ledger.root_nodes(nodes).rdd.mapPartitions(lambda rows: [sum(1 for _ in rows)]).collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    assert sum(sizes) == 3000 and max(sizes) <= 375
+
+
+def test_conservation_deals_each_line_once(spark, tmp_path):
+    from heddle.operators import evidence
+
+    lines = [(1, 7, "A", 5.0), (1, 7, "A", 5.0), (1, 8, "A", 5.0), (1, 8, "R", 5.0), (2, 7, "N", 1.0), (2, 7, "A", 1.0), (2, 8, "N", 1.0), (2, 8, "N", 1.0), (3, 7, "R", None), (3, 7, "R", 2.0), (3, 8, None, 1.0)]
+    spark.createDataFrame(lines, "l_orderkey long, l_suppkey long, l_returnflag string, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(k,) for k in (1, 2, 3, 4)], "o_orderkey long").write.parquet(f"{tmp_path}/orders.parquet")
+    got = evidence.e27_conservation(spark, str(tmp_path))
+    assert {r["state"]: r["ids"] for r in got.collect()} == {"repeated": 1, "several_types": 1, "both": 1, "unresolved": 2, "used": 1, "no_evidence": 1}
+    assert "Expand" not in got._jdf.queryExecution().executedPlan().toString()
