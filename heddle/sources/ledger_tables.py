@@ -52,7 +52,7 @@ def write(df: DataFrame, name: str, path: str) -> tuple[DataFrame, DataFrame]:
     for column in TABLES[name][1]:
         lacks = lacks | F.col(column).isNull()
     good = rows.where(~lacks).withColumn("month", F.date_format(TABLES[name][2], "yyyy-MM"))
-    good.repartition("month", F.pmod(F.xxhash64(TABLES[name][1][0]), F.lit(4))).sortWithinPartitions("month", TABLES[name][2]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("month").parquet(path)
+    good.repartition("month", F.pmod(F.xxhash64(TABLES[name][1][0]), F.lit(4))).sortWithinPartitions("month", TABLES[name][2]).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option("compression", "zstd").partitionBy("month").parquet(path)
     return read(df.sparkSession, name, path), rows.where(lacks)
 
 
@@ -63,21 +63,21 @@ def read(spark: SparkSession, name: str, path: str, since: str | None = None, un
     return df.where(F.col("month") <= until) if until else df
 
 
-def _later(start: str, millis: str):
-    return F.timestamp_micros(F.unix_micros(start) + F.col(millis) * 1000)
+def _later(start, millis):
+    return F.timestamp_micros(F.unix_micros(start) + (F.col(millis) if isinstance(millis, str) else millis) * 1000)
 
 
 def ledger_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls - the rows of a trace and model - with their attempts in order; the last one decides."""
-    c = model_calls(spark, sf_dir).withColumn("ended_at", _later("started_at", "latency_ms"))
-    one = F.struct("started_at", "call_id", "latency_ms", "ended_at", "status", "stage", "provider", "project_id", "run_id", "is_synthetic", "input_tokens", "output_tokens", "cost_micros")
+    c = model_calls(spark, sf_dir)
+    one = F.struct("started_at", "call_id", "latency_ms", "status", "stage", "provider", "project_id", "run_id", "is_synthetic", "input_tokens", "output_tokens", "cost_micros")
     by = c.groupBy("trace_id", "model").agg(F.array_sort(F.collect_list(one)).alias("a"))
-    attempts = F.transform("a", lambda x, i: F.struct((i + 1).alias("provider_attempt"), x["status"].alias("status"), x["started_at"].alias("started_at"), x["ended_at"].alias("ended_at"), x["latency_ms"].alias("latency_ms"), (x["status"] != "succeeded").alias("retryable")))
+    attempts = F.transform("a", lambda x, i: F.struct((i + 1).alias("provider_attempt"), x["status"].alias("status"), x["started_at"].alias("started_at"), _later(x["started_at"], x["latency_ms"]).alias("ended_at"), x["latency_ms"].alias("latency_ms"), (x["status"] != "succeeded").alias("retryable")))
     last = F.element_at("a", -1)
     total = lambda k: F.aggregate("a", F.lit(0).cast("bigint"), lambda s, x: s + F.coalesce(x[k], F.lit(0)))
     return by.select(
         F.concat_ws("/", "trace_id", "model").alias("call_id"), "trace_id", last["project_id"].alias("project_id"), last["run_id"].alias("run_id"), last["stage"].alias("stage"), last["provider"].alias("provider"),
-        F.col("model").alias("requested_model"), F.col("model").alias("resolved_model"), last["status"].alias("status"), F.element_at("a", 1)["started_at"].alias("started_at"), last["ended_at"].alias("ended_at"),
+        F.col("model").alias("requested_model"), F.col("model").alias("resolved_model"), last["status"].alias("status"), F.element_at("a", 1)["started_at"].alias("started_at"), _later(last["started_at"], last["latency_ms"]).alias("ended_at"),
         total("latency_ms").alias("latency_ms"), total("input_tokens").alias("input_tokens"), total("output_tokens").alias("output_tokens"), total("cost_micros").alias("cost_micros"), last["is_synthetic"].alias("is_synthetic"), attempts.alias("attempts"),
     )
 
