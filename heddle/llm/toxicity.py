@@ -2,13 +2,13 @@
 
 Two zstandard dictionaries of at most ``DICTIONARY`` bytes are made, each of text of its own class: the
 ordinary one by zstandard's trainer from ordinary texts, the toxic one of the passages of toxic
-texts that are over-represented there (runs of ``GRAM``-byte strings held by far more toxic texts than the
-ordinary ones let expect, cut down to their strongest part, rarest first, so that the
+texts that are over-represented there (strings of ``GRAMS`` bytes held by far more toxic texts than the
+ordinary ones let expect; where they overlap, each text names the strongest; rarest first, so that the
 commonest have the cheapest offsets).  A window of a text is compressed once with each; the bytes by which
 the toxic dictionary does better are its distance.  Each window stands behind a short lead that
 both dictionaries end with: without it zstandard would store most windows raw, and their lengths would say nothing.
-The largest distances of a text, how many of its windows reach each threshold, and its
-length go through a logistic calibration, weighted back to the classes' shares among all
+The largest distances of a text, how many of its windows reach each threshold (each distinct window once: a phrase
+repeated a hundred times tells no more than once), and its length go through a logistic calibration, weighted back to the classes' shares among all
 labels and, if more than ``MOST_FALSE`` of the ordinary texts would be predicted toxic, shifted until no more are.
 The calibration sees each sample text only with a toxic dictionary made without its fold; the ordinary one, of which it
 takes little, is the same for all folds.
@@ -40,10 +40,11 @@ from heddle.llm.common import give_back, held_out, sample_texts
 from heddle.llm.wordgrams import chunks, shingle_sets
 
 WINDOW, STRIDE = 20, 10
-GRAM = 5
+GRAMS = 6, 8  # bytes
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 12 << 20
 DICTIONARY = 1 << 10  # bytes of each
-LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 2.5, 4, 0.02
+LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 12.0, 4, 0.02
+STRONG = 0.8  # of the strongest gram of a passage: what its neighbours must have to belong to it
 FOLDS = 4
 MOST_FALSE = 0.01  # of the ordinary texts, by folds, that the calibration lets be predicted toxic
 LARGEST, REACHED = 5, (1, 2, 3, 4, 5, 6)  # distances told one by one; thresholds whose windows are counted
@@ -71,27 +72,38 @@ def _spans(n: int) -> np.ndarray:
     return np.stack([start, np.clip(n - start, 0, WINDOW)], axis=1)
 
 
-def _grams(raw: bytes) -> np.ndarray:
+def _again(rows: np.ndarray, lengths: np.ndarray, owner: np.ndarray) -> np.ndarray:
+    """Which windows repeat one before them of the same text."""
+    key = owner.astype(np.uint64)
+    for j in range(rows.shape[1]):
+        key = (key ^ np.where(j < lengths, rows[:, j] + np.uint64(1), np.uint64(0))) * np.uint64(0x9E3779B97F4A7C15)
+        key ^= key >> np.uint64(29)
+    out = np.ones(len(key), bool)
+    out[np.unique(key, return_index=True)[1]] = False
+    return out
+
+
+def _grams(raw: bytes, size: int) -> np.ndarray:
     data = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = max(0, len(data) - GRAM + 1)
+    n = max(0, len(data) - size + 1)
     out = np.zeros(n, np.uint64)
-    for j in range(GRAM):
+    for j in range(size):
         out = (out << np.uint64(8)) | data[j : j + n]
     return out
 
 
-def _held_by(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def _held_by(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     """All grams with the number of texts that hold them."""
-    each = [np.unique(_grams(t)) for t in texts]
+    each = [np.unique(_grams(t, size)) for t in texts]
     return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
 
 
-def _counts(texts: list[bytes], grams: np.ndarray) -> np.ndarray:
+def _counts(texts: list[bytes], grams: np.ndarray, size: int) -> np.ndarray:
     """How many of the texts hold each of the (sorted) grams."""
     out = np.zeros(len(grams), np.int64)
     if len(grams):
         for text in texts:
-            here = np.unique(_grams(text))
+            here = np.unique(_grams(text, size))
             at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
             out[at[grams[at] == here]] += 1
     return out
@@ -111,36 +123,56 @@ def distinct_texts(texts: list[str]) -> np.ndarray:
 def ordinary_dictionary(texts: list[bytes]) -> bytes:
     """What zstandard trains on ordinary texts; texts too few to train on are the dictionary themselves."""
     try:
-        return zstandard.train_dictionary(DICTIONARY, [t for t in texts if len(t) > GRAM]).as_bytes()[-DICTIONARY:]
+        return zstandard.train_dictionary(DICTIONARY, [t for t in texts if len(t) > GRAMS[0]]).as_bytes()[-DICTIONARY:]
     except zstandard.ZstdError:
         return b"\n".join(texts)[-DICTIONARY:].ljust(8, b"\n")
 
 
-def toxic_dictionary(texts: list[bytes], grams: np.ndarray, n: np.ndarray, ordinary: np.ndarray, ordinary_texts: int) -> bytes:
-    """The over-represented passages of toxic texts; ``n`` of them and ``ordinary`` ordinary ones hold each of the grams."""
-    expected = (ordinary + 0.5) * len(texts) / max(1, ordinary_texts)
-    z = (n - expected) / np.sqrt(expected)
-    marked = (z >= LEAST_Z) & (n >= LEAST_RATIO * expected) & (n >= max(LEAST_TEXTS, LEAST_SHARE * len(texts)))
-    grams, z = grams[marked], z[marked]
+def _marked(grams: np.ndarray, n: np.ndarray, ordinary: np.ndarray, toxic_texts: int, ordinary_texts: int) -> tuple[np.ndarray, np.ndarray]:
+    """The over-represented grams and how much each tells: the texts that hold it, by the logarithm of how many times more they are than expected."""
+    expected = (ordinary + 0.5) * toxic_texts / max(1, ordinary_texts)
+    some = ((n - expected) / np.sqrt(expected) >= LEAST_Z) & (n >= LEAST_RATIO * expected) & (n >= max(LEAST_TEXTS, LEAST_SHARE * toxic_texts))
+    return grams[some], n[some] * np.log(n[some] / expected[some])
+
+
+def _passages(text: bytes, marked: dict[int, tuple[np.ndarray, np.ndarray]]) -> set[bytes]:
+    """The strongest passage wherever marked grams overlap by more than a byte."""
+    starts, ends, weights = [], [], []
+    for size, (grams, weight) in marked.items():
+        here = _grams(text, size)
+        if len(here) and len(grams):
+            at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
+            found = np.flatnonzero(grams[at] == here)
+            starts.append(found)
+            ends.append(found + size)
+            weights.append(weight[at[found]])
+    out: set[bytes] = set()
+    if not starts or not sum(map(len, starts)):
+        return out
+    start, end, weight = np.concatenate(starts), np.concatenate(ends), np.concatenate(weights)
+    order = np.argsort(start, kind="stable")
+    start, end, weight = start[order], end[order], weight[order]
+    for run in np.split(np.arange(len(start)), np.flatnonzero(start[1:] >= np.maximum.accumulate(end)[:-1] - 1) + 1):
+        most = weight[run].max()
+        i = run[np.argmax(weight[run])]
+        last, a, b = start[i], start[i], end[i]
+        for j in run[(weight[run] >= STRONG * most) & (run > i)]:
+            if start[j] > last + 1:
+                break
+            last, b = start[j], max(b, end[j])
+        out.add(text[a:b])
+    return out
+
+
+def toxic_dictionary(texts: list[bytes], marked: dict[int, tuple[np.ndarray, np.ndarray]]) -> bytes:
+    """The over-represented passages of toxic texts, by the marked grams of each size."""
     found: Counter[bytes] = Counter()
     for text in texts:
-        here = _grams(text)
-        if not len(here) or not len(grams):
-            continue
-        at = np.minimum(np.searchsorted(grams, here), len(grams) - 1)
-        weight = np.where(grams[at] == here, z[at], 0.0)
-        place = np.flatnonzero(weight)
-        for run in np.split(place, np.flatnonzero(np.diff(place) > 1) + 1):
-            if len(run):
-                run = run[weight[run] >= weight[run].max() / 2]
-                found[text[run[0] : run[-1] + GRAM]] += 1
-    kept, covered, size = [], set(), 0
+        found.update(_passages(text, marked))
+    kept: list[bytes] = []
     for passage, texts_of in sorted(found.items(), key=lambda x: (-x[1], len(x[0]), x[0])):
-        own = {passage[i : i + GRAM] for i in range(len(passage) - GRAM + 1)}
-        if texts_of >= max(3, LEAST_SHARE / 2 * len(texts)) and size + len(passage) <= DICTIONARY and not own <= covered:
-            covered |= own
+        if texts_of >= max(3, LEAST_SHARE / 2 * len(texts)) and sum(map(len, kept)) + len(passage) <= DICTIONARY and not any(passage in k for k in kept):
             kept.append(passage)
-            size += len(passage)
     return b"".join(reversed(kept)).ljust(8, b"\n")
 
 
@@ -152,6 +184,10 @@ class Distance:
 
     def of_windows(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """(distance of every window, number of windows of each text)."""
+        return self._compared(texts)[:2]
+
+    def _compared(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """As ``of_windows``, with the windows themselves and their lengths."""
         spans = [_spans(len(t)) for t in texts]
         counts = np.array([len(s) for s in spans])
         cuts = np.concatenate(spans)
@@ -163,12 +199,14 @@ class Distance:
         segments = np.stack([np.arange(len(cuts)) * led.shape[1], cuts[:, 1] + len(LEAD)], axis=1).astype(np.uint64)
         buffer = zstandard.BufferWithSegments(led.tobytes(), segments.tobytes())
         a, b = (np.fromiter(map(len, out), np.int64, len(out)) for out in (c.multi_compress_to_buffer(buffer) for c in self.compressors))
-        return a - b, counts
+        return a - b, counts, led[:, len(LEAD) :], cuts[:, 1]
 
     def features(self, texts: list[bytes]) -> np.ndarray:
-        saved, counts = self.of_windows(texts)
+        saved, counts, windows, lengths = self._compared(texts)
         first = np.cumsum(counts) - counts
         owner = np.repeat(np.arange(len(texts)), counts)
+        some = np.flatnonzero(saved >= REACHED[0])
+        saved[some[_again(windows[some], lengths[some], owner[some])]] = 0
         order = np.lexsort((-saved, owner))
         out = np.zeros((len(texts), LARGEST + len(REACHED) + 1))
         for k in range(LARGEST):
@@ -194,14 +232,17 @@ class Model:
         learned_t = [[x for x, new, f in zip(t, new_t, fold_t) if new and f == k] for k in range(FOLDS)]
         learned_o = [[x for x, new, f in zip(o, new_o, fold_o) if new and f == k] for k in range(FOLDS)]
         self.ordinary = ordinary_dictionary([x for part in learned_o for x in part])
-        grams, n = _held_by([x for part in learned_t for x in part])
-        grams = grams[n >= LEAST_TEXTS]  # the others can't be marked
-        by_fold = [[_counts(part, grams) for part in learned] for learned in (learned_t, learned_o)]
+        every = {}
+        for size in GRAMS:
+            grams, n = _held_by([x for part in learned_t for x in part], size)
+            grams = grams[n >= LEAST_TEXTS]  # the others can't be marked
+            every[size] = grams, [[_counts(part, grams, size) for part in learned] for learned in (learned_t, learned_o)]
 
         def toxic_without(fold: int) -> bytes:
             rest = [k for k in range(FOLDS) if k != fold]
-            in_toxic, in_ordinary = (sum(counts[k] for k in rest) for counts in by_fold)
-            return toxic_dictionary([x for k in rest for x in learned_t[k]], grams, in_toxic, in_ordinary, sum(len(learned_o[k]) for k in rest))
+            texts, ordinary_texts = [x for k in rest for x in learned_t[k]], sum(len(learned_o[k]) for k in rest)
+            sums = {size: (grams, *(sum(counts[k] for k in rest) for counts in by_fold)) for size, (grams, by_fold) in every.items()}
+            return toxic_dictionary(texts, {size: _marked(*x, len(texts), ordinary_texts) for size, x in sums.items()})
 
         self.toxic = toxic_without(FOLDS)
         x, y = [], []

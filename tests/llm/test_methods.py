@@ -53,6 +53,34 @@ def test_distances_are_differences_of_compressed_lengths():
     assert got.tolist() == expected and counts.sum() == len(expected) and max(expected) > 2
 
 
+def test_toxicity_finds_inflected_words_and_not_repetition():
+    """Toxic words of one stem and many endings; ordinary texts that repeat a few words hundreds of times."""
+    rng = random.Random(5)
+    parts = "er st an in on ver le de que au ei oi ch ta ro mi sa".split()
+    word = lambda: "".join(rng.choices(parts, k=rng.randint(1, 4)))
+
+    def ordinary():
+        if rng.random() < 0.3:
+            return " ".join(w for w in (word() for _ in range(6)) for _ in range(rng.randint(40, 80)))
+        return " ".join(word() for _ in range(200))
+
+    def toxic():
+        words = [word() for _ in range(rng.randint(80, 200))]
+        for _ in range(4):
+            words.insert(rng.randrange(len(words)), rng.choice(["loweida", "vequta"]) + word())
+        return " ".join(words)
+
+    model = toxicity.Model([toxic() for _ in range(300)], [ordinary() for _ in range(1200)], 0.1)
+    distance = toxicity.Distance(model.ordinary, model.toxic)
+    caught, wrong = (model.score(distance.features([make().encode() for _ in range(300)])) >= 0.5 for make in (toxic, ordinary))
+    assert caught.mean() >= 0.8 and wrong.mean() <= 0.02
+
+    same = b"loweidaste vequtaver und mehr"
+    many = distance.features([same, b"".join([same.ljust(30)] * 50)])
+    reached = slice(toxicity.LARGEST, -1)
+    assert (many[1, reached] <= many[0, reached] + np.log(3)).all()
+
+
 def test_kept_rules_by_hand(spark):
     rng = random.Random(1)
     texts = ["| " * rng.randint(3, 9) + prose(rng, 9) if i % 2 else prose(rng, 12) + "." for i in range(200)] + ["", None]
