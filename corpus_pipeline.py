@@ -1,7 +1,7 @@
 """Corpus pipeline: the stages that turn ``documents`` into packed training sequences.
 
 Each stage takes (spark, docs, sf_dir) and works on all rows that its predecessor kept; all but the
-last return the columns of ``documents``.
+last return the columns of ``documents``.  Each begins by giving back what the driver keeps of the stages before it.
 """
 
 from __future__ import annotations
@@ -10,31 +10,36 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from heddle.llm import decontaminate, exact_dedup, jaccard_join, pack, toxicity
-from heddle.llm.common import forget, materialise, table, written
+from heddle.llm.common import forget, give_back, materialise, table, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the compression-distance classifier predicts toxic go."""
+    give_back()
     return toxicity.drop_toxic(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts stays."""
+    give_back()
     return exact_dedup.keep_first_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by a shingle similarity of 0.8 or more stays."""
+    give_back()
     return jaccard_join.keep_one_of_each(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share a window of words with the benchmark go."""
+    give_back()
     return decontaminate.drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What is left, packed into sequences of 2048 tokens."""
+    give_back()
     return pack.pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 

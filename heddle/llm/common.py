@@ -10,11 +10,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heddle.sources.store import forget, materialise, written  # noqa: F401 - for the modules of this package
+from heddle.sources import store
+from heddle.sources.store import forget, written  # noqa: F401 - for the modules of this package
 
 
 def give_back() -> None:
-    """Returns to the system what the driver's Python has freed but its allocators keep: a session runs on after a fit."""
+    """Returns to the system what the driver has freed but keeps, its Python's allocators and its JVM's heap: a session runs on after a fit."""
+    spark = SparkSession.getActiveSession()
+    if spark is not None:
+        spark.sparkContext._jvm.System.gc()  # shrinks the heap, and lets Spark drop broadcasts and shuffles of plans that are gone
     gc.collect()
     pa.default_memory_pool().release_unused()
     try:
@@ -23,6 +27,13 @@ def give_back() -> None:
         pass
 
 
+def materialise(df: DataFrame) -> DataFrame:
+    """As ``store.materialise``; what the driver needed for it is given back."""
+    out = store.materialise(df)
+    give_back()
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -41,6 +41,7 @@ from heddle.llm.wordgrams import chunks, shingle_sets
 
 WINDOW, STRIDE = 20, 10
 GRAMS = 6, 8  # bytes
+PARTS = 4  # in which grams are counted, a power of two
 TOXIC_DOCS, ORDINARY_DOCS, SAMPLE_BYTES = 2000, 4000, 12 << 20
 DICTIONARY = 1 << 10  # bytes of each
 LEAST_Z, LEAST_RATIO, LEAST_TEXTS, LEAST_SHARE = 6.0, 12.0, 4, 0.02
@@ -93,9 +94,18 @@ def _grams(raw: bytes, size: int) -> np.ndarray:
 
 
 def _held_by(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
-    """All grams with the number of texts that hold them."""
-    each = [np.unique(_grams(t, size)) for t in texts]
-    return np.unique(np.concatenate([np.zeros(0, np.uint64), *each]), return_counts=True)
+    """The grams that ``LEAST_TEXTS`` texts hold, with the number of texts; only one of ``PARTS`` of all grams is in memory at a time."""
+    found = []
+    for part in range(PARTS):
+        each = [np.zeros(0, np.uint64)]
+        for text in texts:
+            grams = _grams(text, size)
+            each.append(np.unique(grams[(grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32) & np.uint64(PARTS - 1) == part]))
+        grams, n = np.unique(np.concatenate(each), return_counts=True)
+        found.append((grams[n >= LEAST_TEXTS], n[n >= LEAST_TEXTS]))
+    grams, n = (np.concatenate(x) for x in zip(*found))
+    order = np.argsort(grams)
+    return grams[order], n[order]
 
 
 def _counts(texts: list[bytes], grams: np.ndarray, size: int) -> np.ndarray:
@@ -234,8 +244,7 @@ class Model:
         self.ordinary = ordinary_dictionary([x for part in learned_o for x in part])
         every = {}
         for size in GRAMS:
-            grams, n = _held_by([x for part in learned_t for x in part], size)
-            grams = grams[n >= LEAST_TEXTS]  # the others can't be marked
+            grams, _ = _held_by([x for part in learned_t for x in part], size)  # the others can't be marked
             every[size] = grams, [[_counts(part, grams, size) for part in learned] for learned in (learned_t, learned_o)]
 
         def toxic_without(fold: int) -> bytes:
