@@ -179,3 +179,17 @@ def test_blocks_of_odd_characters_agree_with_sql(spark, tmp_path):
         out = entry.queries()[name](spark, str(tmp_path))
         got, want = sorted(map(repr, map(tuple, out.collect()))), sorted(map(repr, con.execute(sql[name]).fetchall()))
         assert got == want, (name, [x for x in got if x not in want][:3], [x for x in want if x not in got][:3])
+
+
+def test_arabic_marks_are_folded_as_in_sql(spark, tmp_path):
+    """All between the first and the last mark go, signs and dotless letters among them, and nothing beside them."""
+    duckdb = pytest.importorskip("duckdb")
+    import __spark_entry__ as entry
+
+    rows = [(x, f"{chr(x)}\nab{chr(x)}c {chr(x)}\n{chr(x)}z", "en", "s") for x in range(0x600, 0x700)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    sql, con = entry.oracle_sql(), duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    for name in ("b17_identity_texts", "b19_equal_documents"):
+        got, want = sorted(map(repr, map(tuple, entry.queries()[name](spark, str(tmp_path)).collect()))), sorted(map(repr, con.execute(sql[name]).fetchall()))
+        assert got == want, (name, [x for x in got if x not in want][:3], [x for x in want if x not in got][:3])
