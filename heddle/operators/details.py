@@ -27,7 +27,8 @@ def b11_merged_neighbours(spark, sf_dir, small: int = 10):
 
 
 def b17_identity_texts(spark, sf_dir):
-    return blocks(spark, sf_dir).groupBy("doc_id").agg(F.countDistinct(fold_for_match(F.col("text"))).alias("texts"), F.md5(F.max(fold_for_match(F.col("text"))).cast("binary")).alias("greatest_md5"))
+    folded = blocks(spark, sf_dir).select("doc_id", fold_for_match(F.col("text")).alias("t")).distinct()
+    return folded.groupBy("doc_id").agg(F.count("t").alias("texts"), F.md5(F.max("t").cast("binary")).alias("greatest_md5"))
 
 
 def b23_canonical_hashes(spark, sf_dir):
