@@ -40,6 +40,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -56,6 +57,7 @@ BINS = 64
 LIKELY = 0.5
 LIMIT = 8192
 HASHES = 2_000_000  # of a block: two of them are compared at once, 32 MB a copy
+PAIRS = 1 << 20  # that a task holds at once
 
 HOT = 256  # rows of a bucket from which its join is dealt in ``SALTS`` parts
 SALTS = 16
@@ -146,14 +148,15 @@ def _sketches(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint16).reshape(-1, BINS)
 
 
-def likely_pairs(n: np.ndarray, sketches: np.ndarray, block: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows whose sizes and sketches allow the similarity."""
+def likely_pairs(n: np.ndarray, sketches: np.ndarray, block: np.ndarray, across: bool, part: slice = slice(None)) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows whose sizes and sketches allow the similarity, of each row with larger ones; ``part``: only those of
+    these rows in the order of size."""
     order = np.argsort(n, kind="stable")
     n, s, block = n[order], sketches[order], block[order]
     filled = s != 0
     to = np.searchsorted(n, n / SIMILAR + 1e-9, side="right")
     left, right = [], []
-    for i in range(len(n) - 1):
+    for i in range(len(n) - 1)[part]:
         a, b = i + 1, int(to[i])
         if b <= a:
             continue
@@ -171,95 +174,104 @@ def likely_pairs(n: np.ndarray, sketches: np.ndarray, block: np.ndarray, across:
     return np.concatenate(left), np.concatenate(right)
 
 
-def _owned(group: pa.Table, left: np.ndarray, right: np.ndarray, sketches: np.ndarray) -> np.ndarray:
-    """Which pairs belong to this bucket: the smallest that both have chosen, on each level."""
-    path = [x % 2**64 for x in (*group.column("path")[0].as_py(), group.column("bucket")[0].as_py())]
-    top = np.uint64(path[0])
-    tokens = group.column("tokens").to_pylist()
-    below = [set(np.array(t, np.int64).view(np.uint64)[np.array(t, np.int64).view(np.uint64) < top].tolist()) for t in tokens]
-    own = np.array([below[i].isdisjoint(below[j]) for i, j in zip(left.tolist(), right.tolist())], dtype=bool)
+class Shared:
+    """How many values the rows of a group have in common with one of them: an inverted index over all rows' values.
+
+    ``values``: those of the rows one after another, of each row ``sizes`` many and each once."""
+
+    def __init__(self, values: np.ndarray, sizes: np.ndarray) -> None:
+        order = np.argsort(values, kind="stable")
+        new = np.ones(len(values), dtype=bool)
+        new[1:] = np.diff(values[order]) != 0
+        self.number = np.empty(len(values), np.int32)
+        self.number[order] = np.cumsum(new, dtype=np.int32) - 1
+        self.holders = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)[order]
+        self.start = np.append(np.flatnonzero(new), len(values))
+        self.first = np.append(0, np.cumsum(sizes))
+
+    def with_row(self, i: int) -> np.ndarray:
+        """For each row; a bounded number of holders is looked at at once."""
+        mine = self.number[self.first[i] : self.first[i + 1]]
+        start, count = self.start[mine], self.start[mine + 1] - self.start[mine]
+        common = np.zeros(len(self.first) - 1, np.int64)
+        for part in np.array_split(np.arange(len(mine)), 1 + int(count.sum()) // PAIRS):
+            c = count[part]
+            at = np.repeat(start[part] - np.cumsum(c) + c, c) + np.arange(c.sum())
+            common += np.bincount(self.holders[at], minlength=len(common))
+        return common
+
+
+def _smaller(group: pa.Table, sketches: np.ndarray) -> list[Shared]:
+    """On each level, the chosen buckets of each row that are smaller than the group's."""
+    path = np.array([*group.column("path")[0].as_py(), group.column("bucket")[0].as_py()], np.int64).view(np.uint64)
+    tokens = group.column("tokens").combine_chunks()
+    values, row = tokens.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(tokens)), tokens.value_lengths().to_numpy())
+    under = values < path[0]
+    levels = [Shared(values[under], np.bincount(row[under], minlength=len(tokens)))]
     for parent, bucket in zip(path, path[1:]):
-        if not own.any():
-            break
-        subs = [set(x[(x != 0) & (x < np.uint64(bucket))].tolist()) for x in sub_buckets(parent, sketches)]
-        own &= np.array([subs[i].isdisjoint(subs[j]) for i, j in zip(left.tolist(), right.tolist())], dtype=bool)
-    return own
+        parts, sizes = [], []
+        for first in range(0, len(sketches), 512):
+            subs = sub_buckets(int(parent), sketches[first : first + 512])
+            under = (subs != 0) & (subs < bucket)
+            parts.append(subs[under])
+            sizes.append(under.sum(axis=1))
+        levels.append(Shared(np.concatenate(parts), np.concatenate(sizes)))
+    return levels
 
 
 _KEYS = ["bucket", "one", "two"]
 
 
-def _pairs(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    sketches = _sketches(group.column("sketch"))
+def _pairs(group: pa.Table) -> Iterator[tuple[int, np.ndarray]]:
+    """A row of the group and those that make likely pairs with it, again and again: a group of near copies has as many pairs as
+    the square of its rows, and only a bounded number is held at once.  A pair belongs to the smallest bucket that both have
+    chosen, on each level, and is left out elsewhere."""
+    n, sketches = group.column("n").to_numpy(), _sketches(group.column("sketch"))
     block, across = group.column("block").to_numpy(), group.column("one")[0] != group.column("two")[0]
-    left, right = likely_pairs(group.column("n").to_numpy(), sketches, block, across)
-    if len(left):
-        own = _owned(group, left, right, sketches)
-        left, right = left[own], right[own]
-    return left, right
+    smaller = None
+    step = max(1, PAIRS // len(n))
+    for first in range(0, len(n) - 1, step):
+        left, right = likely_pairs(n, sketches, block, across, slice(first, first + step))
+        edges = np.flatnonzero(np.diff(left, prepend=-1))
+        for a, b in zip(edges, np.append(edges[1:], len(left))):
+            smaller = smaller or _smaller(group, sketches)
+            i, js = int(left[a]), right[a:b]
+            for level in smaller:
+                js = js[level.with_row(i)[js] == 0]
+            if len(js):
+                yield i, js
 
 
 def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in runs(batches, _KEYS):
-        left, right = _pairs(group)
-        rows = np.unique(np.concatenate([left, right]))
-        if len(rows):
-            for batch in group.select(["bucket", "path", "one", "two", "block", "rep"]).take(rows).combine_chunks().to_batches():
+        some = np.zeros(len(group), dtype=bool)
+        for i, js in _pairs(group):
+            some[i] = some[js] = True
+        if some.any():
+            for batch in group.select(["bucket", "path", "one", "two", "block", "rep"]).filter(pa.array(some)).combine_chunks().to_batches():
                 yield batch
 
 
-def similarities(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Exact Jaccard similarities of some pairs, by an inverted index over the group's sets."""
-    out = np.zeros(len(left))
-    sizes = np.array([len(s) for s in sets])
-    values, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    row = np.repeat(np.arange(len(sets)), sizes)
-    holders = row[np.argsort(inverse, kind="stable")]
-    count = np.bincount(inverse, minlength=len(values))
-    start = np.cumsum(count) - count
-    first = np.cumsum(sizes) - sizes
-    order = np.argsort(left, kind="stable")
-    edges = np.flatnonzero(np.diff(left[order], prepend=-1))
-    for a, b in zip(edges, np.append(edges[1:], len(order))):
-        i, js = left[order[a]], right[order[a:b]]
-        mine = inverse[first[i] : first[i] + sizes[i]]
-        c = count[mine]
-        at = np.repeat(start[mine] - np.cumsum(c) + c, c) + np.arange(c.sum())
-        common = np.bincount(holders[at], minlength=len(sets))[js]
-        out[order[a:b]] = common / (sizes[i] + sizes[js] - common)
-    return out
-
-
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for group in runs(batches, _KEYS):
-        left, right = _pairs(group)
-        if not len(left):
-            continue
-        sets = [np.frombuffer(x, np.uint64) for x in group.column("set").to_pylist()]
-        linked = similarities(sets, left, right) >= SIMILAR - 1e-12
-        left, right = left[linked], right[linked]
-        if not len(left):
-            continue
-        size, rep = group.column("size").to_numpy(), group.column("rep").to_numpy()
-        links = np.bincount(left, size[right], len(rep)) + np.bincount(right, size[left], len(rep))
-        root = list(range(len(rep)))
-
-        def find(x: int) -> int:
-            while root[x] != x:
-                root[x] = root[root[x]]
-                x = root[x]
-            return x
-
-        for a, b in zip(left.tolist(), right.tolist()):
-            a, b = find(a), find(b)
-            if a != b:
-                if rep[a] > rep[b]:
-                    a, b = b, a
-                root[b] = a
+        sets, size, rep = None, group.column("size").to_numpy(), group.column("rep").to_numpy()
+        links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+        for i, js in _pairs(group):
+            if sets is None:
+                lengths = pc.binary_length(group.column("set")).to_numpy() // 8
+                sets = Shared(np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in group.column("set")]), lengths)
+            common = sets.with_row(i)[js]
+            js = js[common / (lengths[i] + lengths[js] - common) >= SIMILAR - 1e-12]
+            if not len(js):
+                continue
+            links[i] += size[js].sum()
+            links[js] += size[i]
+            met = np.unique(root[np.append(js, i)])
+            if len(met) > 1:
+                root[np.isin(root, met)] = met[rep[met].argmin()]
         rows = np.flatnonzero(links > 0)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(rep[rows]), pa.array(links[rows].astype(np.int64)), pa.array(np.array([rep[find(int(i))] for i in rows], dtype=np.int64))], names=["rep", "links", "root"]
-        )
+        if len(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(rep[rows]), pa.array(links[rows]), pa.array(rep[root[rows]])], names=["rep", "links", "root"])
 
 
 def _sets_of(wanted: bytes):
