@@ -85,3 +85,19 @@ def test_terms_are_stored_once_with_their_numbers_of_blocks(spark, tmp_path):
     assert sorted((r["term"], r["df"]) for r in index.terms().collect()) == [("river", 2), ("stone", 1)]
     got = sorted((r["term"], r["doc_id"], r["idx"], r["tf"], r["words"], r["df"]) for r in index.postings().collect())
     assert got == [("river", 1, 0, 2, 4, 2), ("river", 1, 1, 1, 1, 2), ("stone", 1, 0, 2, 4, 1)]
+
+
+def test_scores_stay_in_their_tasks(spark, tmp_path, monkeypatch):
+    r = random.Random(3)
+    rows = [(None if d == 3 else d % 40, i, " ".join(r.choice(WORDS) for _ in range(r.randrange(0, 14))), []) for d in range(44) for i in range(20)]  # four documents share their ids with others
+    index = textindex.build(spark.createDataFrame(rows, "doc_id long, idx long, text string, path array<string>"), f"{tmp_path}/index")
+    asked = [(q, None if q == 5 else "x", t) for q in range(6) for t in r.sample(["ete", "river", "uber", "42", "łodz", "the", "nothing"], 4)] + [(2, "x", "stone"), (2, "x", "stone")]
+    queries = spark.createDataFrame(asked, "q int, `a b` string, term string")
+    monkeypatch.setattr(textindex, "SCORES", 60, raising=False)
+    found = index.search(queries, ["q", "a b"], 4)
+    got = sorted(found.collect(), key=str)
+    rows_of = found.groupBy("q").count().collect()
+    assert {x["q"]: x["count"] for x in rows_of} == dict.fromkeys(range(6), 4)
+    monkeypatch.setattr(textindex, "ASKED", 0, raising=False)
+    assert got == sorted(index.search(queries, ["q", "a b"], 4).collect(), key=str)
+    assert "postings" not in "".join(found.inputFiles())  # these are met term by term, with a shuffle of every score
