@@ -147,6 +147,17 @@ def test_similar_labels_are_paired_in_parts_and_counted_by_set(spark, tmp_path,
     assert {(r["chapter"], r["kind"]): r["pairs"] for r in structure.g29_normalised_cells(spark, str(tmp_path)).collect()} == expected
 
 
+def test_pairs_of_labels_are_dealt_to_all_tasks(spark, tmp_path):
+    from heddle.operators import structure
+
+    six = "a b c d e f"
+    cells = [(k, six) for k in range(9)] + [(k, six + " g") for k in range(6, 12)] + [(None, six)]  # some cells twice, with like labels
+    spark.createDataFrame([(k, 1, "b", label, "t") for k, label in cells], "p_partkey long, p_size int, p_brand string, p_name string, p_type string").write.parquet(f"{tmp_path}/part.parquet")
+    pairs = structure.g14_label_similarity(spark, str(tmp_path))
+    assert sorted(map(tuple, pairs.collect())) == sorted((a, b) for a, _ in cells for b, _ in cells if a is not None and b is not None and a < b)
+    assert pairs.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))  # the lists are small, what they make isn't
+
+
 def test_only_lines_with_likes_are_compared(spark, tmp_path):
     near = "one two three four five six seven eight nine ten"
     docs = [(1, f"{near}\nquite another line of many words here\n{near} eleven\n{near}"), (2, "no line is like the other here\nand this one is all on its own"), (3, f"{near}\nalone"), (3, f"x\nsolitary words only\n{near} more")]
